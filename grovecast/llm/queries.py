@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, suffixdedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_suffix": suffixdedup.op4_suffix,
 }
 
 ORACLES: dict[str, str] = {}
