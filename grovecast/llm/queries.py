@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, suffixdedup
+from . import decontam, simhash, suffixdedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_suffix": suffixdedup.op4_suffix,
+    "op8_decontam": decontam.op8_decontam,
 }
 
 ORACLES: dict[str, str] = {}
