@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, simhash, suffixdedup
+from . import decontam, pii, simhash, suffixdedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_suffix": suffixdedup.op4_suffix,
     "op8_decontam": decontam.op8_decontam,
+    "op9_pii": pii.op9_pii,
 }
 
 ORACLES: dict[str, str] = {}
