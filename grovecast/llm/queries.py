@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, pii, simhash, suffixdedup
+from . import decontam, htmltext, langid, pii, simhash, suffixdedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_langid": langid.op7_langid,
     "op8_decontam": decontam.op8_decontam,
     "op9_pii": pii.op9_pii,
+    "op10_html": htmltext.op10_html,
 }
 
 ORACLES: dict[str, str] = {}
