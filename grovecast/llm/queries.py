@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, pii, simhash, suffixdedup
+from . import decontam, htmltext, langid, pii, quality, simhash, suffixdedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_suffix": suffixdedup.op4_suffix,
+    "op5_quality": quality.op5_quality,
     "op7_langid": langid.op7_langid,
     "op8_decontam": decontam.op8_decontam,
     "op9_pii": pii.op9_pii,
