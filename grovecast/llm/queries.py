@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, packing, pii, quality, rules, simhash, suffixdedup
+from . import decontam, htmltext, langid, lmscore, packing, pii, quality, rules, simhash, suffixdedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_lmscore": lmscore.op2_lmscore,
     "op3_packing": packing.op3_packing,
     "op4_suffix": suffixdedup.op4_suffix,
     "op5_quality": quality.op5_quality,
