@@ -370,6 +370,14 @@ def removed_ranges(first: list[bytes], last: list[bytes], length: int) -> tuple[
     return a[at], b[np.concatenate([at[1:], [len(a)]]) - 1]
 
 
+def _zip_texts(batches):
+    """Texts as compressed bytes: a join moves half as much."""
+    for b in batches:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        texts = [zip_.compress(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "mark", "text"])
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, starts, stops, kept]) of each row of docs (doc_id, text).
 
@@ -383,16 +391,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     far = np.iinfo(np.int64).max
     found = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     mark = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).cast("long") if repeats else F.lit(0).cast("long")
-    left = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.coalesce("doc_id", F.lit(int(far)))).withColumn("mark", mark)
+    left = docs.select(F.col("doc_id").cast("long"), mark.cast("long").alias("mark"), F.col("text").cast("string"))
+    left = left.mapInArrow(_zip_texts, "doc_id long, mark long, text binary").withColumn("key", F.coalesce("doc_id", F.lit(int(far))))
     both = left.join(found.withColumnRenamed("doc_id", "key"), ["key", "mark"], "left").select("doc_id", "text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
     extra = ", starts array<long>, stops array<long>, kept binary" if keep_text else ""
 
     def finish(batches):
         for b in batches:
-            offs, data = text_buffers(b.column(1))
+            unzip = zstandard.ZstdDecompressor()
             rows = []
-            for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                t = data[offs[k] : offs[k + 1]]
+            for z, x, y in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                t = np.frombuffer(unzip.decompress(z), np.uint8)
                 lo, hi = removed_ranges(x or [], y or [], length)
                 gone = int((hi - lo).sum())
                 if gone:
