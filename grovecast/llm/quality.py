@@ -215,11 +215,12 @@ class Head:
         self.text, self.page = w["text"], w["page"]
         z = np.stack([text.dot(self.text[:-1]) + self.text[-1], page.dot(self.page[:-1]) + self.page[-1]], axis=1)[held]
         yh = y[held]
+        calm = 0.3 / len(yh)  # few labels must not make a view too sure
         self.scale = []
         for c in range(2):  # Platt's calibration of each view
-            self.scale.append(logistic(Dense(z[:, [c]] / 5), yh, np.ones(len(yh)), 1, 1e-3, 300))
+            self.scale.append(logistic(Dense(z[:, [c]] / 5), yh, np.ones(len(yh)), 1, calm, 300))
         both = np.stack([z[:, c] / 5 * self.scale[c][0] + self.scale[c][1] for c in range(2)], axis=1)
-        self.mix = logistic(Dense(np.clip(both, -12, 12)), yh, np.ones(len(yh)), 2, 1e-3, 300)
+        self.mix = logistic(Dense(np.clip(both, -12, 12)), yh, np.ones(len(yh)), 2, calm, 300)
 
     def scores(self, text_sum: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text view, page view, combined) probabilities."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -180,12 +180,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
 def deduplicate(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
     """The rows of docs, with all their columns, that keep one document of each near-duplicate group: its least doc_id.
 
-    Rows without a doc_id cannot be told apart and stay. Rows that repeat a kept doc_id are reduced to one.
+    Rows without a doc_id cannot be told apart and stay. Rows that share a doc_id stand or fall together, and of those
+    that stand one stays: the one whose text comes first in byte order.
     """
-    found = near_duplicates(docs, width, most)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    kept = kept.dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, width, most).where("doc_id is not null")
+    # each doc_id once, and whether it names several rows
+    keep = found.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count("*").alias("rows")).where("doc_id = root")
+    keep = cut(keep.select(F.col("doc_id").alias("__keep"), F.col("rows").alias("__rows")))
+    kept = docs.join(keep.select("__keep"), docs["doc_id"] == F.col("__keep"), "left_semi")
+    if not keep.where("__rows > 1").isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
