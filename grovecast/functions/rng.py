@@ -24,10 +24,14 @@ def uniform(*keys: Column | int) -> Column:
     h = F.pmod(h, F.lit(P))
     for b, c in ROUNDS:
         # bound once by a lambda variable, so that a round reads its input instead of computing it twice
-        h = F.transform(F.array(h), lambda x, b=b, c=c: F.pmod(x * F.pmod(x + b, F.lit(P)) + c, F.lit(P)))[0]
+        h = F.transform(F.array(h), _round(b, c))[0]
     return (h + F.lit(0.5)) / F.lit(float(P))
 
 
+def _round(b: int, c: int):
+    return lambda x: F.pmod(x * F.pmod(x + F.lit(b), F.lit(P)) + F.lit(c), F.lit(P))
+
+
 def uniform_np(*keys) -> np.ndarray:
     h = np.zeros(np.broadcast(*[np.asarray(k) for k in keys]).shape, np.int64)
     for k, f in zip(keys, FACTORS, strict=False):

@@ -43,7 +43,7 @@ def soft_assign(points: DataFrame, centres: DataFrame, norm: str = "L2", ratio:
 
 def nearest(queries: DataFrame, sample: DataFrame, k: int, norm: str = "L2", within: float | None = None) -> DataFrame:
     """(id, seq, distance, rank): the k nearest rows of a bounded sample (seq, point) to each query (id, x)."""
-    d = queries.join(small(sample), how="cross").select("id", "seq", NORMS[norm](F.col("x"), F.col("point")).alias("distance"))
+    d = queries.select("id", "x").join(small(sample.select("seq", "point")), how="cross").select("id", "seq", NORMS[norm](F.col("x"), F.col("point")).alias("distance"))
     if within is not None:
         d = d.where(F.col("distance") < within)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "seq"))

@@ -1,10 +1,16 @@
-"""The library's queries by name, with the SQL that gives the same rows."""
+"""The library's queries by name, with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import series_queries, table_queries
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+MODULES = (series_queries, table_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding scored against a forest trained on a time-decayed sample of the table."""
+    return QUERIES["anomaly_score"](spark, sf_dir)
