@@ -8,6 +8,7 @@ a function of its sample alone. Boxes are nested, so the leaf-to-root recursions
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -56,43 +57,103 @@ class Tree:
 
     @classmethod
     def build(cls, points: np.ndarray, tree: int = 0, seed: int = 42) -> Tree:
-        x = np.asarray(points, np.float64)
-        if not len(x):
+        return cls.build_many([points], [tree], seed)[0]
+
+    @classmethod
+    def build_many(cls, samples: list[np.ndarray], numbers: list[int], seed: int = 42) -> list[Tree]:
+        """Several trees at once, all nodes of a level together; `numbers` name the trees to the draws."""
+        if any(not len(x) for x in samples):
             raise ValueError("a tree needs points")
-        rows = {f: [] for f in cls.FIELDS}
-
-        def add(index: np.ndarray, parent: int, depth: int, path: int) -> int:
-            me = len(rows["left"])
-            part = x[index]
-            low, high = part.min(0), part.max(0)
-            for f, v in (("left", -1), ("right", -1), ("parent", parent), ("dim", -1), ("cut", 0.0), ("mass", len(index)), ("depth", depth), ("path", path), ("leaf", int(index.min())), ("low", low), ("high", high)):
-                rows[f].append(v)
-            todo.append((me, index, low, high, depth, path))
-            return me
-
-        todo: list = []
-        add(np.arange(len(x)), -1, 0, 1)
-        while todo:
-            me, index, low, high, depth, path = todo.pop()
+        x = np.concatenate([np.asarray(s, np.float64) for s in samples])
+        sizes = np.array([len(s) for s in samples])
+        local = np.concatenate([np.arange(n) for n in sizes])
+        order = np.arange(len(x))
+        # one segment of `order` for each open node: its tree, parent, side, path
+        start, tree = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.arange(len(samples))
+        parent, side, path = np.full(len(samples), -1), np.zeros(len(samples), np.int64), np.ones(len(samples), np.int64)
+        made, depth, levels = np.zeros(len(samples), np.int64), 0, []
+        numbers = np.asarray(numbers, np.int64)
+        while len(start):
+            count = np.diff(np.concatenate([start, [len(order)]]))
+            part = x[order]
+            low, high = np.minimum.reduceat(part, start), np.maximum.reduceat(part, start)
+            first = np.minimum.reduceat(local[order], start)
             ranges = high - low
-            total = ranges.sum()
-            if not total > 0:
-                continue
-            r = float(uniform_np(path, tree, 3, seed)) * total
-            run = np.cumsum(ranges)
-            d = int(min(np.searchsorted(run, r, "right"), len(run) - 1))
-            while ranges[d] <= 0:  # rounding at the end of the line
-                d -= 1
-            cut = low[d] + (r - (run[d] - ranges[d]))
-            if cut >= high[d]:
-                cut = np.nextafter(high[d], low[d])
-            cut = max(cut, low[d])
-            goes = x[index, d] <= cut
-            rows["dim"][me], rows["cut"][me], rows["leaf"][me] = d, float(cut), -1
-            rows["left"][me] = add(index[goes], me, depth + 1, (2 * path) % P)
-            rows["right"][me] = add(index[~goes], me, depth + 1, (2 * path + 1) % P)
-        kinds = {"cut": np.float64, "low": np.float64, "high": np.float64}
-        return cls(**{f: np.array(v, kinds.get(f, np.int64)) for f, v in rows.items()})
+            run = np.cumsum(ranges, axis=1)
+            total = ranges.sum(1)
+            inner = total > 0
+            r = uniform_np(path, numbers[tree], 3, seed) * total
+            d = np.minimum((run <= r[:, None]).sum(1), x.shape[1] - 1)
+            rows = np.arange(len(d))
+            bad = inner & (ranges[rows, d] <= 0)  # rounding at the end of the line
+            if bad.any():
+                d[bad] = x.shape[1] - 1 - (ranges[bad][:, ::-1] > 0).argmax(1)
+            lo, hi = low[rows, d], high[rows, d]
+            cut = lo + (r - (run[rows, d] - ranges[rows, d]))
+            cut = np.maximum(np.where(cut >= hi, np.nextafter(hi, lo), cut), lo)
+            number = np.empty(len(start), np.int64)  # nodes of one tree are numbered as they come
+            rank = np.arange(len(tree)) - np.searchsorted(tree, tree, "left")
+            number[:] = made[tree] + rank
+            np.add.at(made, tree, 1)
+            levels.append((tree, number, parent, side, np.where(inner, d, -1), np.where(inner, cut, 0.0), count, path, np.where(inner, -1, first), low, high, depth))
+            if not inner.any():
+                break
+            seg = np.repeat(rows, count)
+            stay = inner[seg]
+            order, seg = order[stay], seg[stay]
+            right = x[order, d[seg]] > cut[seg]
+            key = seg * 2 + right
+            by = np.argsort(key, kind="stable")
+            order, key = order[by], key[by]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            start = np.flatnonzero(new)
+            up, side = key[start] // 2, key[start] % 2
+            tree, parent, path = tree[up], number[up], (2 * path[up] + side) % P
+            depth += 1
+        out = []
+        cols = [np.concatenate([lv[c] for lv in levels]) for c in range(11)]
+        deep = np.concatenate([np.full(len(lv[0]), lv[11]) for lv in levels])
+        for k in range(len(samples)):
+            m = np.flatnonzero(cols[0] == k)
+            n = len(m)
+            left, right = np.full(n, -1), np.full(n, -1)
+            par, sd = cols[2][m], cols[3][m]
+            kids = np.arange(1, n)
+            left[par[kids[sd[1:] == 0]]] = kids[sd[1:] == 0]
+            right[par[kids[sd[1:] == 1]]] = kids[sd[1:] == 1]
+            out.append(cls(left=left, right=right, parent=par, dim=cols[4][m], cut=cols[5][m], mass=cols[6][m], depth=deep[m], path=cols[7][m], leaf=cols[8][m], low=cols[9][m], high=cols[10][m]))
+        return out
+
+    def lists(self) -> tuple:
+        """The arrays as plain lists, for walks of a single point."""
+        if not hasattr(self, "_lists"):
+            self._lists = tuple(getattr(self, f).tolist() for f in ("left", "right", "dim", "cut", "mass", "depth", "low", "high"))
+        return self._lists
+
+    def score_one(self, x: list[float]) -> float:
+        """score() of one point without arrays."""
+        left, right, dim, cut, mass, depth, low, high = self.lists()
+        way, node = [], 0
+        while left[node] >= 0:
+            way.append(node)
+            node = left[node] if x[dim[node]] <= cut[node] else right[node]
+        d, m = depth[node], mass[node]
+        if low[node] == x:
+            return (1 - m / (2 * mass[0])) / (d + math.log2(m + 1))
+        s = 1 / (d + 1)
+        for n in reversed(way):
+            out = size = 0.0
+            for v, lo, hi in zip(x, low[n], high[n], strict=True):
+                size += hi - lo
+                if v > hi:
+                    out += v - hi
+                elif v < lo:
+                    out += lo - v
+            if out <= 0:
+                break  # boxes further up hold the point as well
+            p = out / (out + size)
+            s = p / (depth[n] + 1) + (1 - p) * s
+        return s
 
     @property
     def total(self) -> int:
@@ -215,30 +276,33 @@ class Tree:
 
         Where the cut is on a missing dimension both sides are followed and the lesser adjusted rank wins.
         """
-        known = ~missing
+        left, right, dim, cut, mass, depth, low, high = self.lists()
+        x, gone = q.tolist(), missing.tolist()
+        known = [i for i, g in enumerate(gone) if not g]
 
         def visit(node: int) -> tuple[float, float, int, float]:
-            if self.left[node] < 0:
-                dist = float(np.abs(q - self.low[node])[known].sum())
-                d, m = float(self.depth[node]), float(self.mass[node])
-                rank = (float(seen(d, m)) if d > 0 else 0.0) if dist <= 0 else float(unseen(d))
+            d = dim[node]
+            if left[node] < 0:
+                lo = low[node]
+                dist = sum(abs(x[i] - lo[i]) for i in known)
+                rank = (1 / (depth[node] + math.log2(mass[node] + 1)) if depth[node] else 0.0) if dist <= 0 else 1 / (depth[node] + 1)
                 return rank, draw(node) if draw else 0.0, node, dist
-            d = self.dim[node]
-            if missing[d]:
-                a, b = visit(self.left[node]), visit(self.right[node])
+            if gone[d]:
+                a, b = visit(left[node]), visit(right[node])
                 adjusted = lambda r: (1 - centrality) * r[1] + centrality * r[0]
                 rank, rnd, leaf, dist = a if adjusted(a) <= adjusted(b) else b
             else:
-                rank, rnd, leaf, dist = visit(self.left[node] if q[d] <= self.cut[node] else self.right[node])
-            lo, hi = self.low[node], self.high[node]
-            out = float((np.maximum(q - hi, 0) + np.maximum(lo - q, 0))[known].sum())
-            p = out / (out + float((hi - lo).sum())) if out > 0 else 0.0
-            return p * float(unseen(float(self.depth[node]))) + (1 - p) * rank, rnd, leaf, dist
-
-        import sys
-
-        if self.depth.max() > sys.getrecursionlimit() // 3:
-            sys.setrecursionlimit(int(self.depth.max()) * 3 + 1000)
+                rank, rnd, leaf, dist = visit(left[node] if x[d] <= cut[node] else right[node])
+            lo, hi = low[node], high[node]
+            out = sum(max(x[i] - hi[i], lo[i] - x[i], 0.0) for i in known)
+            if out > 0:
+                p = out / (out + sum(hi) - sum(lo))
+                rank = p / (depth[node] + 1) + (1 - p) * rank
+            return rank, rnd, leaf, dist
+
+        deepest = max(depth)
+        if deepest > sys.getrecursionlimit() // 3:
+            sys.setrecursionlimit(deepest * 3 + 1000)
         _, _, leaf, dist = visit(0)
         return int(leaf), dist
 
@@ -278,12 +342,16 @@ class Forest:
 
     @classmethod
     def build(cls, samples: list[np.ndarray], seed: int = 42, seqs: list[np.ndarray] | None = None) -> Forest:
-        return cls([Tree.build(s, t, seed) for t, s in enumerate(samples)], samples, seqs)
+        return cls(Tree.build_many(samples, list(range(len(samples))), seed), samples, seqs)
 
     def score(self, q: np.ndarray, **how) -> np.ndarray:
         q = np.atleast_2d(np.asarray(q, float))
         return np.mean([log_normalizer(t.score(q, **how), t.total) for t in self.trees], axis=0)
 
+    def score_one(self, x) -> float:
+        x = [float(v) for v in x]
+        return sum(t.score_one(x) * math.log2(t.total + 1.0) for t in self.trees) / len(self.trees)
+
     def raw_score(self, q: np.ndarray, normalizer: Callable = lambda s, m: s, **how) -> np.ndarray:
         q = np.atleast_2d(np.asarray(q, float))
         return np.mean([normalizer(t.score(q, **how), t.total) for t in self.trees], axis=0)

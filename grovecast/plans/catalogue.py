@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import series_queries, table_queries
+from . import model_queries, series_queries, table_queries
 
-MODULES = (series_queries, table_queries)
+MODULES = (series_queries, table_queries, model_queries)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

@@ -104,3 +104,18 @@ def test_uniform_is_uniform():
     hist = np.histogram(u, 20, (0, 1))[0]
     assert u.min() > 0 and u.max() < 1 and abs(hist - 5000).max() < 350
     assert abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.02
+
+
+def test_one_point_walks(forest, data):
+    for x in (data[0], data[40], np.full(4, 9.0), np.zeros(4)):
+        assert np.isclose(forest.score_one(x), forest.score(x)[0])
+
+
+def test_many_trees_at_once(data):
+    samples = [data[:5], data[:1], data[40:60], np.ones((4, 4))]
+    many = fk.Tree.build_many(samples, [7, 8, 9, 10], 3)
+    for s, n, t in zip(samples, [7, 8, 9, 10], many, strict=True):
+        one = fk.Tree.build(s, n, 3)
+        assert t.check() and sorted(t.path) == sorted(one.path) and t.total == len(s)
+        assert np.allclose(np.sort(t.cut), np.sort(one.cut))
+    assert len(many[3].left) == 1 and many[3].total == 4
