@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table, text_buffers
 from .suffixdedup import Powers, prefix_sums, rolled
 
-LABELLED, POOL = 16000, 4000
+LABELLED, POOL = 12000, 2000
 BITS = 15
 ROUNDS, GROW = 3, 400
 BLOCK = 2 << 20
@@ -131,19 +131,40 @@ def sigmoid(x):
 
 
 class Sparse:
-    """Rows of token weights, in compressed form."""
+    """Rows of token weights, in compressed form, in blocks of PART rows so that temporary arrays stay small."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.n = len(rows)
-        self.col = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int32)
-        self.val = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(self.n), [len(r[0]) for r in rows])
+    PART = 1000
+
+    def __init__(self) -> None:
+        self.n, self.parts, self.open = 0, [], []
+
+    def add(self, col: np.ndarray, val: np.ndarray) -> None:
+        self.open.append((col, val))
+        self.n += 1
+        if len(self.open) == self.PART:
+            self.close()
+
+    def close(self) -> None:
+        if self.open:
+            size = np.array([len(c) for c, _ in self.open])
+            self.parts.append((size, np.concatenate([c for c, _ in self.open]), np.concatenate([v for _, v in self.open])))
+            self.open = []
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col] * self.val, self.n)
+        self.close()
+        out, at = np.zeros(self.n), 0
+        for size, col, val in self.parts:
+            out[at : at + len(size)] = np.bincount(np.repeat(np.arange(len(size)), size), w[col] * val, len(size))
+            at += len(size)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, g[self.row] * self.val, 1 << BITS)
+        self.close()
+        out, at = np.zeros(1 << BITS), 0
+        for size, col, val in self.parts:
+            out += np.bincount(col, np.repeat(g[at : at + len(size)], size) * val, 1 << BITS)
+            at += len(size)
+        return out
 
 
 class Dense:
@@ -247,7 +268,7 @@ def batches_of(b: pa.RecordBatch, at: int, powers: Powers):
         row = end
 
 
-def _example(docs: DataFrame) -> list:
+def _example(docs: DataFrame) -> tuple[Sparse, list]:
     """Features of a bounded number of documents, at the driver."""
 
     def run(batches):
@@ -259,12 +280,16 @@ def _example(docs: DataFrame) -> list:
                 pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(rows.start, n), b.column(2).slice(rows.start, n), b.column(3).slice(rows.start, n), b.column(4).slice(rows.start, n), b.column(5).slice(rows.start, n),
-                     pa.array([col[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array([val[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array(list(page), pa.list_(pa.float64()))],
+                     pa.array([col[x:y].astype("<u2").tobytes() for x, y in pieces], pa.binary()), pa.array([val[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array(list(page), pa.list_(pa.float64()))],
                     ["doc_id", "lang", "source", "quality", "toxic", "col", "val", "page"],
                 )
 
     kind = "doc_id long, lang string, source string, quality double, toxic double, col binary, val binary, page array<double>"
-    return docs.mapInArrow(run, kind).orderBy("doc_id").collect()
+    text, rows = Sparse(), []
+    for r in docs.mapInArrow(run, kind).orderBy("doc_id").toLocalIterator():
+        text.add(np.frombuffer(r.col, "<u2"), np.frombuffer(r.val, "<f4"))
+        rows.append((r.doc_id, r.lang, r.source, {"quality": r.quality, "toxic": r.toxic}, r.page))
+    return text, rows
 
 
 class Model:
@@ -283,17 +308,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     some = yes.unionByName(no)
     named = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string").alias(c)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), named("lang"), named("source"))
-    rows = _example(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", "quality", "toxic"))
+    text, rows = _example(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", "quality", "toxic"))
     if not rows:
         return Model(None, {})
-    page = np.array([r.page for r in rows])
+    page = np.array([r[4] for r in rows])
     pages = Pages(page)
-    text = Sparse([(np.frombuffer(r.col, "<i4"), np.frombuffer(r.val, "<f4")) for r in rows])
-    matrix = Dense(pages.matrix(page, _named([r.lang for r in rows], 16), _named([r.source for r in rows], 64)))
-    fit_on = np.array([(r.doc_id * 2654435761 >> 7) % 3 != 0 for r in rows])
+    matrix = Dense(pages.matrix(page, _named([r[1] for r in rows], 16), _named([r[2] for r in rows], 64)))
+    fit_on = np.array([(r[0] * 2654435761 >> 7) % 3 != 0 for r in rows])
     heads = {}
     for name in ("quality", "toxic"):
-        y = np.array([np.nan if r[name] is None else float(r[name] > 0) for r in rows])
+        y = np.array([np.nan if r[3][name] is None else float(r[3][name] > 0) for r in rows])
         heads[name] = Head(text, matrix, y, fit_on)
     return Model(pages, heads)
 
