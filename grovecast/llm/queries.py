@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_rules": rules.ORACLE,
+    "op8_decontam": decontam.ORACLE,
 }
