@@ -250,6 +250,12 @@ def centres_of_mass(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree", "node", "parent", "left", "mass", "low").groupBy("tree").applyInPandas(fold, "tree int, node int, mass int, centre array<double>")
 
 
+def sizes(nodes: DataFrame) -> DataFrame:
+    """(tree, nodes, leaves, points, depth): what a model holds."""
+    leaf = F.col("left") < 0
+    return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.sum(F.when(leaf, 1).otherwise(0)).alias("leaves"), F.sum(F.when(leaf, F.col("mass")).otherwise(0)).alias("points"), F.max("depth").cast("long").alias("depth"))
+
+
 def save(nodes: DataFrame, path: str) -> None:
     """Persist a model; its rows are the model."""
     nodes.write.mode("overwrite").parquet(path)

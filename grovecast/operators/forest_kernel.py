@@ -1,4 +1,4 @@
-"""Random cut trees in numpy: build, and queries for many points at once. No Spark in here.
+"""Trees of random cuts in numpy: build, and queries for many points at once. No Spark in here.
 
 A tree is built top down from a sample: at each node a position is drawn uniformly along the sum of the box's ranges;
 it names the dimension and the place of the cut. Draws come from a counter (seed, tree, path of the node), so a tree is
@@ -360,8 +360,8 @@ class Forest:
         return self.raw_score(q, lambda s, m: s / (1.0 + m), seen_f=displacement_seen, unseen_f=displacement_unseen, damp_f=no_damp, ignore=ignore)
 
     def approximate_score(self, x: np.ndarray, precision: float = 0.1, least: int = 5) -> tuple[float, int]:
-        q = np.atleast_2d(np.asarray(x, float))
-        return early_mean((float(log_normalizer(t.score(q), t.total)[0]) for t in self.trees), precision, least)
+        x = [float(v) for v in x]
+        return early_mean((t.score_one(x) * math.log2(t.total + 1.0) for t in self.trees), precision, least)
 
     def attribution(self, q: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
         q = np.atleast_2d(np.asarray(q, float))

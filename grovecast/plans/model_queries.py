@@ -66,10 +66,10 @@ def _(spark, sf):
 
 
 query("prequential_score")(lambda s, sf: detect.prequential_scores(sq.E(s, sf), 10, 32))
-query("trcf_process")(lambda s, sf: detect.process(sq.E(s, sf), Settings(**FAST)).select("series", "seq", "score", "threshold", "grade", "confidence", "mode", "relative_index", "expected"))
-query("trcf_anomalies_only")(lambda s, sf: detect.anomalies(detect.process(sq.E(s, sf), Settings(**FAST, scoring="MULTI_MODE", auto_adjust=True))))
-query("trcf_time_augmented")(lambda s, sf: detect.process(sq.E(s, sf), Settings(**FAST, mode="TIME_AUGMENTED")).select("series", "seq", "score", "grade"))
-query("trcf_streaming_impute")(lambda s, sf: detect.process(sq.H(s, sf), Settings(**FAST, mode="STREAMING_IMPUTE", imputation="LINEAR")).select("series", "seq", "score", "grade", "imputed"))
+query("detector_process")(lambda s, sf: detect.process(sq.E(s, sf), Settings(**FAST)).select("series", "seq", "score", "threshold", "grade", "confidence", "mode", "relative_index", "expected"))
+query("detector_anomalies_only")(lambda s, sf: detect.anomalies(detect.process(sq.E(s, sf), Settings(**FAST, scoring="MULTI_MODE", auto_adjust=True))))
+query("detector_time_augmented")(lambda s, sf: detect.process(sq.E(s, sf), Settings(**FAST, mode="TIME_AUGMENTED")).select("series", "seq", "score", "grade"))
+query("detector_streaming_impute")(lambda s, sf: detect.process(sq.H(s, sf), Settings(**FAST, mode="STREAMING_IMPUTE", imputation="LINEAR")).select("series", "seq", "score", "grade", "imputed"))
 query("caster_process")(lambda s, sf: detect.process(sq.E(s, sf), Settings(**FAST), horizon=3).select("series", "seq", "score", "forecast", "upper", "lower", "precision"))
 query("sequential_forecast")(lambda s, sf: detect.analyse(sq.E(s, sf), Settings(**FAST), 3)[1])
 
@@ -112,7 +112,7 @@ def _(spark, sf):
 
 query("cluster_summarize")(lambda s, sf: clustering.clusters(tq.V(s, sf).select("seq", "x", F.lit(1.0).alias("w")), 6, 300))
 query("cluster_multi_representative")(lambda s, sf: clustering.clusters(tq.V(s, sf).select("label", "seq", "x", F.lit(1.0).alias("w")), 3, 200, ["label"], reps=3, shrinkage=0.2, distance="L1"))
-query("glad_process")(lambda s, sf: clustering.outliers(tq.read(s, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("o")), clustering.edit_distance, "brand", capacity=60, most=3, every=40))
+query("object_outliers")(lambda s, sf: clustering.outliers(tq.read(s, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("o")), clustering.edit_distance, "brand", capacity=60, most=3, every=40))
 
 
 @query("predictive_forest")

@@ -339,3 +339,16 @@ _calibrate("MINIMAL", "value")
 )
 def _(spark, sf):
     return summary.windowed_quantiles(E(spark, sf), "x", 8, 0.9, ["series"], "seq").select(*K, *r3("low", "mid", "high"))
+
+
+@query(
+    "contribution_block",
+    f"""SELECT series, seq, (CASE WHEN b0 >= b1 AND b0 >= b2 THEN 0 WHEN b1 >= b2 THEN 1 ELSE 2 END)::INTEGER AS block FROM (
+  SELECT series, seq, s0 + 2 * s1 AS b0, s1 + s0 + s2 AS b1, 3 * s3 AS b2 FROM (SELECT series, seq, {LAGS} FROM {E_SQL} WINDOW o AS (PARTITION BY series ORDER BY seq)) WHERE seq >= 4)""",
+)
+def _(spark, sf):
+    """Three blocks of two coordinates: high (s0, s1, s1, s0, s3, s3), low (0, s1, 0, s2, 0, s3)."""
+    s = [F.col("shingle")[i] for i in range(4)]
+    zero = F.lit(0.0)
+    df = framing.shingle(E(spark, sf), 4)
+    return df.select(*K, thresholds.contribution_block(F.array(s[0], s[1], s[1], s[0], s[3], s[3]), F.array(zero, s[1], zero, s[2], zero, s[3]), 2).alias("block"))

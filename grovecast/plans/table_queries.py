@@ -166,7 +166,7 @@ query("prob_of_separation", f"SELECT id, bl AS box, round(CASE WHEN {_OUT} + {_R
 )
 _REP = "(SELECT p_brand AS cluster, min(p_name) AS r, 5.0::DOUBLE AS radius FROM part GROUP BY p_brand)"
 query(
-    "glad_score_no_occlusion",
+    "cluster_score_no_occlusion",
     f"SELECT id, cluster, round(score, 6) AS score FROM (SELECT p_partkey AS id, cluster, least(10, levenshtein(p_name, r) / radius) AS score FROM part, {_REP}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score, cluster) = 1",
 )(
     lambda s, sf: distance.cluster_scores(
@@ -253,6 +253,14 @@ query(
 )
 query("validate_restored", f"SELECT unnest(range(0, {TREES})) AS tree, true AS valid")(lambda s, sf: forest.valid(nodes(s, sf)).select(F.col("tree").cast("long").alias("tree"), "valid"))
 
+query("model_size", f"{FOREST} SELECT tree::BIGINT AS tree, count(*) AS nodes, count(*) FILTER (dim IS NULL) AS leaves, sum(CASE WHEN dim IS NULL THEN mass ELSE 0 END)::BIGINT AS points, max(depth)::BIGINT AS depth FROM node GROUP BY tree")(
+    lambda s, sf: forest.sizes(nodes(s, sf)).select(F.col("tree").cast("long").alias("tree"), "nodes", "leaves", "points", "depth")
+)
+query(
+    "point_store_weights",
+    f"SELECT seq, count(*) AS trees FROM {topk_sql(0.001)} GROUP BY seq",
+)(lambda s, sf: sampling.reservoir(L(s, sf), TREES, SIZE, 0.001, None, SEED).groupBy("seq").agg(F.count("*").alias("trees")))
+
 WIDE = dict(trees=20, sample_size=64)
 _wide = lambda s, sf: nodes(s, sf, None, **WIDE)
 query("anomaly_attribution")(lambda s, sf: forest.attributions(V(s, sf, None), _wide(s, sf), keep=["id"]))

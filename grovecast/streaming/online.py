@@ -1,7 +1,7 @@
 """Sequential models of one series, in plain numpy: forest, thresholds, detector, caster. No Spark in here.
 
 The same classes serve batch (grouped maps) and streams (state); all randomness is counter-based, so replaying rows
-gives the same output. Trees are rebuilt from their samples when those change: a random cut tree's distribution depends
+gives the same output. Trees are rebuilt from their samples when those change: a tree's distribution depends
 on its sample alone, so this equals inserting and deleting points.
 """
 
@@ -201,7 +201,7 @@ class Settings:
         for name, allowed in (
             ("transform", ("NONE", "WEIGHTED", "SUBTRACT_MA", "NORMALIZE", "DIFFERENCE", "NORMALIZE_DIFFERENCE")),
             ("mode", ("STANDARD", "TIME_AUGMENTED", "STREAMING_IMPUTE")),
-            ("imputation", ("ZERO", "FIXED_VALUES", "PREVIOUS", "NEXT", "LINEAR", "RCF")),
+            ("imputation", ("ZERO", "FIXED_VALUES", "PREVIOUS", "NEXT", "LINEAR", "FOREST")),
             ("scoring", ("EXPECTED_INVERSE_DEPTH", "DISTANCE", "MULTI_MODE", "MULTI_MODE_RECALL")),
         ):
             if getattr(self, name) not in allowed:
@@ -312,7 +312,7 @@ class Detector:
             fill = np.zeros(s.inputs)
         else:
             fill = self.last_x if self.last_x is not None else np.zeros(s.inputs)
-        if s.imputation == "RCF" and self.forest.ready and len(self.shingle) == self.forest.dims:
+        if s.imputation == "FOREST" and self.forest.ready and len(self.shingle) == self.forest.dims:
             y = np.concatenate([self.shingle[self.block :], self._transform(np.where(missing, fill, x), 0.0)])
             idx = len(y) - self.block + np.flatnonzero(missing)
             done = self.forest.forest().impute(y, idx)
@@ -386,7 +386,7 @@ class Detector:
         for k in range(1, n + 1):
             s = self.s
             v = {"ZERO": 0 * x, "FIXED_VALUES": 0 * x + s.fixed, "NEXT": x, "LINEAR": a + (x - a) * k / (n + 1)}.get(s.imputation, a)
-            if s.imputation == "RCF" and self.forest.ready and len(self.shingle) == self.forest.dims:
+            if s.imputation == "FOREST" and self.forest.ready and len(self.shingle) == self.forest.dims:
                 y = np.concatenate([self.shingle[self.block :], np.zeros(self.block)])
                 y = self.forest.forest().impute(y, np.arange(len(y) - self.block, len(y)))[-self.block :]
             else:
@@ -514,7 +514,7 @@ class Detector:
 class ErrorHandler:
     """Accuracy of past forecasts, and intervals calibrated by it."""
 
-    def __init__(self, horizon: int, error_horizon: int = 50, percentile: float = 0.1, calibration: str = "SIMPLE", low: float | None = None, high: float | None = None) -> None:
+    def __init__(self, horizon: int, error_horizon: int = 50, percentile: float = 0.1, calibration: str = "SIMPLE", low: float | None = None, high: float | None = None, estimator: bool = False) -> None:
         if calibration not in ("NONE", "MINIMAL", "SIMPLE"):
             raise ValueError(f"unknown calibration {calibration}")
         self.percentile, self.calibration, self.limits = percentile, calibration, (low, high)
@@ -522,8 +522,16 @@ class ErrorHandler:
         self.stats = [{k: Decayed(d) for k in ("inside", "error", "up", "down")} for _ in range(horizon)]
         self.past: list[dict[str, np.ndarray]] = []
         self.horizon, self.error_horizon, self.n = horizon, error_horizon, 0
+        #: optionally a forest over (last two inputs, h, horizon - h, error above, error below) says what to expect here
+        self.forest = OnlineForest(6, 20, 128) if estimator else None
+        self.recent = (0.0, 0.0)
 
     def observe(self, x: np.ndarray) -> None:
+        if self.forest is not None:
+            for h, f in enumerate(reversed(self.past[-self.horizon :])):
+                e = float(np.mean(x - f["value"][h]))
+                self.forest.update([*f["recent"], h, self.horizon - h, max(e, 0.0), min(e, 0.0)])
+            self.recent = (self.recent[1], float(np.mean(x)))
         for h, f in enumerate(reversed(self.past[-self.horizon :])):
             e = float(np.mean(x - f["value"][h]))
             st = self.stats[h]
@@ -546,6 +554,9 @@ class ErrorHandler:
                 break
             up, down, mean = math.sqrt(st["up"].mean), -math.sqrt(st["down"].mean), st["error"].mean
             share = min(1.0, max(0.0, a - 1))
+            if self.forest is not None and self.forest.ready:
+                share = 1.0
+                up, down = (float(v) for v in self.forest.forest().impute([*self.recent, h, self.horizon - h, 0.0, 0.0], [4, 5])[4:])
             up, down, mean = share * up + (1 - share) * spread, share * down - (1 - share) * spread, share * mean
             p = st["inside"].mean
             widen = max(1.0, 1 / (p + 0.1)) if st["inside"].n and p < 1 - self.percentile else 1.0
@@ -556,17 +567,17 @@ class ErrorHandler:
         low, high = self.limits
         for k in ("value", "upper", "lower"):
             f[k] = np.clip(f[k], -math.inf if low is None else low, math.inf if high is None else high)
-        self.past = (self.past + [f])[-self.horizon :]
+        self.past = (self.past + [f | {"recent": self.recent}])[-self.horizon :]
         return f
 
 
 class Caster(Detector):
     """A detector that also forecasts, with intervals calibrated by its past errors."""
 
-    def __init__(self, settings: Settings, horizon: int = 5, error_horizon: int = 50, percentile: float = 0.1, calibration: str = "SIMPLE", low: float | None = None, high: float | None = None) -> None:
+    def __init__(self, settings: Settings, horizon: int = 5, error_horizon: int = 50, percentile: float = 0.1, calibration: str = "SIMPLE", low: float | None = None, high: float | None = None, estimator: bool = False) -> None:
         super().__init__(settings)
         self.horizon = horizon
-        self.errors = ErrorHandler(horizon, error_horizon, percentile, calibration, low, high)
+        self.errors = ErrorHandler(horizon, error_horizon, percentile, calibration, low, high, estimator)
 
     def process(self, t: int, x, seq: int | None = None) -> Result:
         out = super().process(t, x, seq)

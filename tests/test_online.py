@@ -88,7 +88,7 @@ def test_late_rows_leave_the_model_alone():
 
 
 def test_gaps_are_filled():
-    for how in ("ZERO", "FIXED_VALUES", "PREVIOUS", "NEXT", "LINEAR", "RCF"):
+    for how in ("ZERO", "FIXED_VALUES", "PREVIOUS", "NEXT", "LINEAR", "FOREST"):
         m = online.Detector(online.Settings(shingle=4, trees=5, size=32, mode="STREAMING_IMPUTE", imputation=how))
         run(m, wave(60))
         assert m.process(64_000_000, 1.0).imputed == 4
@@ -105,6 +105,13 @@ def test_forecast_of_a_wave():
     assert f.precision > 0.7
 
 
+def test_error_estimator():
+    m = online.Caster(online.Settings(shingle=4, trees=8, size=32), 2, error_horizon=10, calibration="MINIMAL", estimator=True)
+    got = run(m, wave(150, noise=0.5))
+    assert all(a <= b <= c for a, b, c in zip(got[-1].lower, got[-1].forecast, got[-1].upper, strict=True))
+    assert m.errors.forest.ready
+
+
 def test_state_round_trip():
     x = wave(120)
     a = online.Caster(online.Settings(shingle=4, trees=6, size=32), 2)

@@ -9,7 +9,7 @@ import pytest
 from grovecast.plans import catalogue
 
 #: sequential models; test_online.py has them on small series
-SLOW = {n for n in catalogue.QUERIES if n.startswith(("trcf_", "caster_", "sequential_", "prequential_", "predictive_", "stream_process", "approximate_"))}
+SLOW = {n for n in catalogue.QUERIES if n.startswith(("detector_", "caster_", "sequential_", "prequential_", "predictive_", "stream_process", "approximate_"))}
 
 
 @pytest.fixture(scope="module")
