@@ -199,9 +199,9 @@ FILL_SQL = {"ZERO": "0", "FIXED_VALUES": "7.5", "PREVIOUS": "p", "NEXT": "x", "L
 for _name, _v in FILL_SQL.items():
 
     def _fill(spark, sf, name=_name):
-        return gaps.fill_gaps(gaps.gap_counts(E(spark, sf), D), name, 7.5).select(*K, F.col("k").cast("long").alias("k"), *r3("x"), "imputed")
+        return gaps.fill_gaps(gaps.gap_counts(E(spark, sf), D), name, 7.5).select(*K, F.col("k").cast("long").alias("k"), F.round("x", 7).alias("x"), "imputed")
 
-    query(f"fill_{_name.lower().split('_')[0]}", f"SELECT series, seq, k::BIGINT AS k, round(CASE WHEN k <= n THEN {_v} ELSE x END, 3) AS x, k <= n AS imputed FROM {EXPLODED}")(_fill)
+    query(f"fill_{_name.lower().split('_')[0]}", f"SELECT series, seq, k::BIGINT AS k, round(CASE WHEN k <= n THEN {_v} ELSE x END, 7) AS x, k <= n AS imputed FROM {EXPLODED}")(_fill)
 
 
 @query("fill_within_previous", f"SELECT series, seq, coalesce(x, last_value(x IGNORE NULLS) OVER (PARTITION BY series ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM {H_SQL}")
