@@ -39,12 +39,29 @@ def reservoir(df: DataFrame, trees: int, size: int, decay: float = 0.0, weight:
     """df's sampled rows with tree and key.
 
     Without groups each task first keeps its own `size` least keys of each tree, so that a shuffle moves at most
-    trees * size rows of each task instead of trees copies of the input.
+    trees * size rows of each task instead of trees copies of the input; with groups each batch keeps as many of each
+    group and tree.
     """
-    if by:
-        return least(keyed(df, trees, decay, weight, seed, seq), size, [*by, "tree"], tie=seq)
     kind = T.StructType([*df.schema.fields, T.StructField("tree", T.IntegerType()), T.StructField("key", T.DoubleType())])
 
+    def prune(parts):
+        for part in parts:
+            s = part[seq].to_numpy(np.int64)
+            w = part[weight].to_numpy(float) if weight else np.ones(len(s))
+            group = part.groupby(by, dropna=False).ngroup().to_numpy()
+            for t in range(trees):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    k = -decay * s + np.log(-np.log(uniform_np(s, t, 1, seed)) / w)
+                order = np.lexsort((s, np.where(w > 0, k, np.inf), group))
+                g = group[order]
+                rank = np.arange(len(g)) - np.searchsorted(g, g, "left")
+                keep = order[rank < size]
+                keep = keep[w[keep] > 0]
+                yield part.iloc[keep].assign(tree=np.int32(t), key=k[keep])
+
+    if by:
+        return least(df.mapInPandas(prune, kind), size, [*by, "tree"], tie=seq)
+
     def local(parts):
         kept: list[pd.DataFrame | None] = [None] * trees
         for part in parts:
