@@ -131,9 +131,9 @@ def sigmoid(x):
 
 
 class Sparse:
-    """Rows of token weights, in compressed form, in blocks of PART rows so that temporary arrays stay small."""
+    """Rows of token weights, in compressed form, in blocks of PART rows: the mini-batches of fitting."""
 
-    PART = 1000
+    PART = 250
 
     def __init__(self) -> None:
         self.n, self.parts, self.open = 0, [], []
@@ -158,13 +158,29 @@ class Sparse:
             at += len(size)
         return out
 
-    def back(self, g: np.ndarray) -> np.ndarray:
+    def fit(self, y: np.ndarray, weight: np.ndarray, ridge: float, epochs: int, start: np.ndarray | None) -> np.ndarray:
+        """Logistic weights and a last bias, by Adam over the blocks; blocks without weight are passed over."""
         self.close()
-        out, at = np.zeros(1 << BITS), 0
-        for size, col, val in self.parts:
-            out += np.bincount(col, np.repeat(g[at : at + len(size)], size) * val, 1 << BITS)
-            at += len(size)
-        return out
+        w = np.zeros((1 << BITS) + 1) if start is None else start.copy()
+        m, v, k = np.zeros_like(w), np.zeros_like(w), 0
+        mean = weight.sum() / max(1, (weight > 0).sum())
+        for epoch in range(epochs):
+            at, rate = 0, 0.04 / (1 + 0.2 * epoch)
+            for size, col, val in self.parts:
+                rows = slice(at, at + len(size))
+                at += len(size)
+                live = weight[rows]
+                if not live.any():
+                    continue
+                row = np.repeat(np.arange(len(size)), size)
+                z = np.bincount(row, w[col] * val, len(size)) + w[-1]
+                e = (sigmoid(z) - y[rows]) * live / (mean * len(size))
+                g = np.append(np.bincount(col, e[row] * val, 1 << BITS) + ridge * w[:-1], e.sum())
+                k += 1
+                m = 0.9 * m + 0.1 * g
+                v = 0.99 * v + 0.01 * g * g
+                w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+        return w
 
 
 class Dense:
@@ -222,7 +238,10 @@ class Head:
                 use = ~np.isnan(target)
                 weight = np.zeros(len(y))
                 weight[use] = balanced(target[use]) * np.where(train[use], 1.0, 0.3)
-                w[name] = logistic(x, np.nan_to_num(target), weight, size, ridge, 150 if r == 0 else 60, w[name])
+                if name == "text":
+                    w[name] = x.fit(np.nan_to_num(target), weight, ridge, 16 if r == 0 else 6, w[name])
+                else:
+                    w[name] = logistic(x, np.nan_to_num(target), weight, size, ridge, 150 if r == 0 else 60, w[name])
                 said[name] = sigmoid(x.dot(w[name][:-1]) + w[name][-1])
             if r == ROUNDS:
                 break
