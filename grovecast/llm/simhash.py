@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
     roots = components(links(nodes, most))
     named = nodes.join(roots, nodes["fp"] == roots["node"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # written out, so that both sides of the last join are plain exchanges and Spark can split a hot fingerprint
+    of = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
