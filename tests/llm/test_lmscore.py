@@ -78,3 +78,30 @@ def test_edges(spark):
     assert lmscore.score(none, lmscore.vocabulary(none), lmscore.train(none, lmscore.vocabulary(none))).count() == 0
     with pytest.raises(Exception):
         lmscore.Net(np.zeros(3))
+
+def test_model_follows_the_types(spark):
+    """Beyond the ids of the net, each frequent token has a probability of its own, and a class sums to one."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(1500)]
+    docs = spark.createDataFrame([(d, " ".join(rng.permutation(words))) for d in range(lmscore.OFTEN)], "doc_id long, text string")
+    top = lmscore.vocabulary(docs)
+    assert len(top) == len(words)
+    flat = lmscore.train(docs, top)
+    ids = lmscore.Ids(top)
+    tail = lmscore.Tail(ids, flat[lmscore.BASE :])
+    h = rng.normal(0, 1, lmscore.HIDDEN)
+    for kind in range(lmscore.RARE):
+        place = np.arange(ids.size[kind] + 1)
+        assert abs(np.exp(tail.log_probs(np.repeat(h[None], len(place), 0), np.full(len(place), kind), place)).sum() - 1) < 1e-5
+    _, row = ids.both(top)
+    assert sorted(row[row < 2 * ids.more].tolist()) == list(range(len(words) - lmscore.IDS + lmscore.RARE))
+    # two rare tokens of one class and length differ by their spelling, and the bytes of a spelling sum to one
+    assert np.allclose(np.exp(tail.spellings()).reshape(lmscore.END + 1, -1).sum(1), 1)
+    kinds = {}
+    for k in range(5000):
+        x = f"{k:04d}"
+        kinds.setdefault(int(ids.of(lmscore.tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, 4]), lmscore.Powers())[1])[0]), []).append(x)
+    a, b = next(v for v in kinds.values() if len(v) > 1)[:2]
+    rare = spark.createDataFrame([(k, f"w1 {x} w2") for k, x in enumerate((a, b))], "doc_id long, text string")
+    got = [r.log_prob for r in lmscore.score(rare, top, lmscore.train(docs.union(rare), top)).orderBy("doc_id").collect()]
+    assert got[0] != got[1]
