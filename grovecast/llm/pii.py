@@ -69,7 +69,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # candidates ---------------------------------------------------------------------------------------------------------
 
-_NUMBERS = re.compile(r"(?<![0-9A-Za-z_])\+?\(?[0-9](?:[ .()/\- ‐-―]{0,3}[0-9]){6,39}(?![0-9A-Za-z_])")
+_NUMBERS = re.compile(r"(?<![0-9A-Za-z_])\+?\(?[0-9](?:[ .()/\- ‐-―]{0,3}[0-9]){6,}(?![0-9A-Za-z_])")
 _GROUP = re.compile(r"[0-9]+")
 _SPOKEN = re.compile(
     r"(?i)(?<![\w.])([\w.+-]{1,40})\s?(?:\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s)|@)\s?([\w-]{1,40})((?:\s?(?:\(dot\)|\[dot\]|\{dot\}|(?<=\s)dot(?=\s))\s?[\w-]{1,20}){1,4})(?!\w)"
@@ -93,12 +93,16 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             for kind in ("phone", "card"):
                 out.append((a, b, kind))
         groups = [(a + g.start(), a + g.end()) for g in _GROUP.finditer(m.group())]
-        if len(groups) > 2:  # part of a longer run of groups
-            for x in range(min(len(groups), 12)):
-                for y in range(x + 2, min(len(groups), x + 6)):
-                    s, e = groups[x][0], groups[y][1]
-                    if (s, e) != (a, b) and e - s <= MAX_SPAN and 7 <= sum(q - p for p, q in groups[x : y + 1]) <= 19:
-                        out += [(s, e, "phone"), (s, e, "card")]
+        for x, (s, _) in enumerate(groups if len(groups) > 1 else ()):  # part of a longer run of groups
+            s -= s > a and text[s - 1] == "("
+            s -= s > a and text[s - 1] == "+"
+            n = 0
+            for p, e in groups[x : x + 19]:
+                n += e - p
+                if n > 19 or e - s > MAX_SPAN:
+                    break
+                if n >= 7 and (s, e) != (a, b):
+                    out += [(s, e, "phone"), (s, e, "card")]
     if _SPOKEN_HINT.search(text):
         for m in _SPOKEN.finditer(text):
             if m.end() - m.start() <= MAX_SPAN:

@@ -86,3 +86,16 @@ def test_edges(spark):
     out = pii.redact(df)
     assert out.columns == df.columns and [r.text for r in out.collect()][2] == "write <email> now"
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_every_number_of_a_run_is_a_candidate():
+    """Long runs are not chopped, and a number may begin at each of their groups and have one or two of them."""
+    for form in ("{:02d} 23 45 67 80", "0{:03d} 2345600", "0{:03d}-2345600", "{:02d}23456780"):
+        for sep in (" / ", " - ", "  "):
+            parts = [form.format(k) for k in range(1, 31)]
+            text = "tel " + sep.join(parts) + " end"
+            got, at = set(pii.candidates(text)), 4
+            for x in parts:
+                assert {(at, at + len(x), "phone"), (at, at + len(x), "card")} <= got
+                at += len(x) + len(sep)
+            assert all(b - a <= pii.MAX_SPAN for a, b, _ in got) and len(got) < 60 * len(text)
