@@ -47,7 +47,7 @@ def _(spark, sf):
 
 def _points(spark, sf):
     path = folder(spark)
-    tq.V(spark, sf).select("x").coalesce(1).write.mode("overwrite").parquet(path)
+    tq.V(spark, sf, None).select("x").coalesce(1).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select(F.monotonically_increasing_id().alias("seq"), "x")
 
 
@@ -55,7 +55,7 @@ OPT = forest.Options(10, 32, 0.0)
 query("run_score")(lambda s, sf: delimited.score_run(_points(s, sf), OPT))
 query("run_attribution")(lambda s, sf: delimited.attribution_run(_points(s, sf), OPT))
 query("run_density")(lambda s, sf: delimited.density_run(_points(s, sf), OPT))
-query("run_impute")(lambda s, sf: delimited.impute_run(_points(s, sf).withColumn("x", F.when(F.col("seq") % 7 == 0, F.array(F.col("x")[0], F.lit(None).cast("double"), F.col("x")[2])).otherwise(F.col("x"))), OPT))
+query("run_impute")(lambda s, sf: delimited.impute_run(_points(s, sf).withColumn("x", F.when(F.col("seq") % 7 == 0, F.transform("x", lambda v, i: F.when(i != 1, v))).otherwise(F.col("x"))), OPT))
 
 
 @query("save_load_score", tq.ORACLES["anomaly_score"])
@@ -110,8 +110,8 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
-query("cluster_summarize")(lambda s, sf: clustering.clusters(tq.V(s, sf).select("seq", "x", F.lit(1.0).alias("w")), 6, 300))
-query("cluster_multi_representative")(lambda s, sf: clustering.clusters(tq.V(s, sf).select("label", "seq", "x", F.lit(1.0).alias("w")), 3, 200, ["label"], reps=3, shrinkage=0.2, distance="L1"))
+query("cluster_summarize")(lambda s, sf: clustering.clusters(tq.V(s, sf, None).select("seq", "x", F.lit(1.0).alias("w")), 6, 300))
+query("cluster_multi_representative")(lambda s, sf: clustering.clusters(tq.V(s, sf, None).select("label", "seq", "x", F.lit(1.0).alias("w")), 3, 200, ["label"], reps=3, shrinkage=0.2, distance="L1"))
 query("object_outliers")(lambda s, sf: clustering.outliers(tq.read(s, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("o")), clustering.edit_distance, "brand", capacity=60, most=3, every=40))
 
 

@@ -265,14 +265,14 @@ WIDE = dict(trees=20, sample_size=64)
 _wide = lambda s, sf: nodes(s, sf, None, **WIDE)
 query("anomaly_attribution")(lambda s, sf: forest.attributions(V(s, sf, None), _wide(s, sf), keep=["id"]))
 query("approximate_score")(lambda s, sf: forest.approximate_scores(V(s, sf, None), _wide(s, sf), keep=["id"]))
-query("approximate_attribution")(lambda s, sf: forest.query(V(s, sf), nodes(s, sf), lambda f, q: {"total": [early_mean([float((h.sum() + w.sum()) * math.log2(t.total + 1)) for t in f.trees for h, w in [t.attribution(x[None])]])[0] for x in q]}, "total double", keep=["id"]))
+query("approximate_attribution")(lambda s, sf: forest.query(V(s, sf, None), nodes(s, sf, None), lambda f, q: {"total": [early_mean([float((h.sum() + w.sum()) * math.log2(t.total + 1)) for t in f.trees for h, w in [t.attribution(x[None])]])[0] for x in q]}, "total double", keep=["id"]))
 query("dynamic_attribution")(lambda s, sf: forest.dynamic_attributions(V(s, sf, None), _wide(s, sf), seen, unseen, damp, 1, keep=["id"]))
-query("simulated_score")(lambda s, sf: forest.simulated_scores(V(s, sf), nodes(s, sf), lambda lo, hi: (hi - lo) ** 2, keep=["id"]))
-query("simple_density")(lambda s, sf: forest.densities(V(s, sf), nodes(s, sf), keep=["id"]))
-query("impute_missing")(lambda s, sf: forest.imputed(V(s, sf), nodes(s, sf), [2], keep=["id"]))
-query("conditional_summary")(lambda s, sf: forest.conditional_summaries(V(s, sf), nodes(s, sf), [1, 2], keep=["id"]))
-query("forest_attributes")(lambda s, sf: forest.train(V(s, sf), forest.Options(**OPTIONS), attributes=["label"]))
-query("forest_per_label")(lambda s, sf: forest.scores(V(s, sf), forest.train(V(s, sf), forest.Options(**OPTIONS), by=["label"]), keep=["label", "id"], by=["label"]))
+query("simulated_score")(lambda s, sf: forest.simulated_scores(V(s, sf, None), nodes(s, sf, None), lambda lo, hi: (hi - lo) ** 2, keep=["id"]))
+query("simple_density")(lambda s, sf: forest.densities(V(s, sf, None), nodes(s, sf, None), keep=["id"]))
+query("impute_missing")(lambda s, sf: forest.imputed(V(s, sf, None), nodes(s, sf, None), [2], keep=["id"]))
+query("conditional_summary")(lambda s, sf: forest.conditional_summaries(V(s, sf, None), nodes(s, sf, None), [1, 2], keep=["id"]))
+query("forest_attributes")(lambda s, sf: forest.train(V(s, sf, None), forest.Options(**OPTIONS), attributes=["label"]))
+query("forest_per_label")(lambda s, sf: forest.scores(V(s, sf, None), forest.train(V(s, sf, None), forest.Options(**OPTIONS), by=["label"]), keep=["label", "id"], by=["label"]))
 
 
 def _extrapolate(s, sf):
