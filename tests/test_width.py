@@ -1,4 +1,4 @@
-"""Queries without SQL see whole embeddings."""
+"""Queries without SQL see whole embeddings and all series."""
 
 from grovecast.plans import catalogue
 
@@ -18,3 +18,13 @@ def test_queries_without_sql_use_all_coordinates(spark, sf_dir):
         with mock.patch.object(tq, "V", lambda s, sf, dims=tq.DIMS, seen=seen: (seen.append(dims), real(s, sf, dims))[1]):
             catalogue.QUERIES[name](spark, sf_dir)
         assert seen and set(seen) == {None}, name
+
+
+def test_extrapolate_covers_every_series(spark, sf_dir):
+    """Each series that fills a shingle is extrapolated."""
+    from grovecast.operators import framing
+    from grovecast.plans import series_queries as sq
+
+    want = {r.series for r in framing.shingle(sq.E(spark, sf_dir), 4).select("series").distinct().collect()}
+    got = [r.series for r in catalogue.QUERIES["extrapolate"](spark, sf_dir).select("series").distinct().collect()]
+    assert set(got) == want and len(want) > 5
