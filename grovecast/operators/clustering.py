@@ -205,23 +205,48 @@ class GlobalLocal:
 
 
 def clusters(df: DataFrame, most: int = 5, bound: int = 5000, by: list[str] | None = None, **how) -> DataFrame:
-    """(by, cluster, weight, radius, rep): clusters of points (x, w, seq), of a sample of `bound` rows for each group."""
-    from .sampling import least, sample_key
+    """(by, cluster, weight, radius, rep): clusters of points (x, w, seq), found in a sample of about `bound` rows of each group.
+
+    The sample keeps heavy points and rescales the rest; weights and radii are those of a soft assignment of all rows.
+    """
+    from .sampling import downsample
 
-    by = by or []
     kinds = dict(df.dtypes)
-    some = least(df.withColumn("key", sample_key(F.col("seq"), 0, weight=F.col("w"))), bound, by or ["__one"]) if by else least(df.withColumn("__one", F.lit(1)).withColumn("key", sample_key(F.col("seq"), 0, weight=F.col("w"))), bound, ["__one"])
-    keys = by or ["__one"]
     kinds["__one"] = "int"
+    keys = by or ["__one"]
+    df = df if by else df.withColumn("__one", F.lit(1))
+    some = downsample(df, "w", bound, by=keys)
+    shrinkage = how.get("shrinkage", 0.0)
+    d = how.get("distance", "L2")
+    d = DISTANCES[d] if isinstance(d, str) else d
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
-        found = summarize([np.asarray(v, float) for v in part["x"]], None, most, **how)
-        rows = [([part[k].iloc[0] for k in keys]) + [i, c.weight, c.radius, [float(v) for v in r]] for i, c in enumerate(found) for r in c.reps]
-        return pd.DataFrame(rows, columns=[*keys, "cluster", "weight", "radius", "rep"])
-
-    out = some.groupBy(*keys).applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "cluster int, weight double, radius double, rep array<double>")
-    return out if by else out.drop("__one")
+        found = summarize([np.asarray(v, float) for v in part["x"]], part["sampled_weight"].to_numpy(), most, **how) if part["sampled_weight"].sum() > 0 else []
+        rows = [[part[k].iloc[0] for k in keys] + [i, j, [float(v) for v in r]] for i, c in enumerate(found) for j, r in enumerate(c.reps)]
+        return pd.DataFrame(rows, columns=[*keys, "cluster", "place", "rep"])
+
+    named = "".join(f"{k} {kinds[k]}, " for k in keys)
+    reps = some.groupBy(*keys).applyInPandas(run, named + "cluster int, place int, rep array<double>")
+    of = reps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "place", "rep"))).alias("reps"))
+    # every row meets the centres of its group
+    near = df.join(F.broadcast(of.select(*(F.col(k).alias(f"__{k}") for k in keys), "reps")), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).select(*keys, "x", "w", "reps")
+
+    def share(parts):
+        for part in parts:
+            for _, group in part.groupby(keys, dropna=False):
+                centres: dict[int, Cluster] = {}
+                for r in group["reps"].iloc[0]:
+                    centres.setdefault(r["cluster"], Cluster([], [], shrinkage)).reps.append(np.asarray(r["rep"], float))
+                every = list(centres.values())
+                assign([np.asarray(v, float) for v in group["x"]], group["w"].to_numpy(float), every, d)
+                rows = [[group[k].iloc[0] for k in keys] + [i, c.weight, c.weight * c.radius] for i, c in zip(centres, every, strict=True)]
+                yield pd.DataFrame(rows, columns=[*keys, "cluster", "weight", "far"])
+
+    sums = near.mapInPandas(share, named + "cluster int, weight double, far double").groupBy(*keys, "cluster").agg(F.sum("weight").alias("weight"), F.sum("far").alias("far"))
+    radius = F.when(F.col("weight") > 0, F.col("far") / F.col("weight")).otherwise(0.0)
+    right = sums.select(*(F.col(k).alias(f"__{k}") for k in [*keys, "cluster"]), "weight", radius.alias("radius"))
+    return reps.join(right, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "cluster"]]).select(*(by or []), "cluster", "weight", "radius", "rep")
 
 
 def outliers(df: DataFrame, distance: Callable, by: str, **how) -> DataFrame:

@@ -107,13 +107,19 @@ def accept_probability(size: Column, capacity: int, initial: float) -> Column:
     return F.when(share < initial, 1.0).when(share >= 1.0, 0.0).otherwise(1 - (share - initial) / (1 - initial))
 
 
-def downsample(df: DataFrame, weight: str, bound: int, seed: int = 42, seq: str = "seq") -> DataFrame:
-    """About `bound` rows: all that hold more than 0.5 % of the weight, and a Bernoulli sample of the rest, reweighted."""
-    total = df.agg(F.sum(weight)).first()[0] or 0.0
-    heavy = F.col(weight) > 0.005 * total
-    size = df.agg(F.sum(F.when(heavy, 1).otherwise(0)).alias("h"), F.count("*").alias("n")).first()
-    light = size.n - (size.h or 0)
-    p = min(1.0, max(0, bound - (size.h or 0)) / light) if light else 1.0
-    take = heavy | (uniform(F.col(seq), F.lit(0), F.lit(2), F.lit(seed)) < p)
-    w = F.when(heavy, F.col(weight)).otherwise(F.col(weight) / F.lit(max(p, 1e-300)))
-    return df.where(take).withColumn("sampled_weight", w)
+def downsample(df: DataFrame, weight: str, bound: int, seed: int = 42, seq: str = "seq", by: list[str] | None = None) -> DataFrame:
+    """About `bound` rows (of each group): all that hold more than 0.5 % of the weight, and a Bernoulli sample of the rest, reweighted."""
+    by = by or []
+    w = F.col(weight)
+
+    def joined(df, totals):
+        return df.join(totals.select(*(F.col(k).alias(f"__{k}") for k in by), *(c for c in totals.columns if c not in by)), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]) if by else df.crossJoin(F.broadcast(totals))
+
+    weighed = joined(df, df.groupBy(*by).agg(F.sum(weight).alias("__total"))).drop(*(f"__{k}" for k in by))
+    marked = weighed.withColumn("__heavy", w > 0.005 * F.col("__total"))
+    sizes = marked.groupBy(*by).agg(F.sum(F.when(F.col("__heavy"), 1).otherwise(0)).alias("__h"), F.sum(F.when(F.col("__heavy"), 0).otherwise(1)).alias("__n"))
+    sized = joined(marked, sizes).drop(*(f"__{k}" for k in by))
+    p = F.when(F.col("__n") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0), bound - F.col("__h")) / F.col("__n"))).otherwise(1.0)
+    take = F.col("__heavy") | (uniform(F.col(seq), F.lit(0), F.lit(2), F.lit(seed)) < p)
+    rescaled = F.when(F.col("__heavy"), w).otherwise(w / F.greatest(p, F.lit(1e-300)))
+    return sized.where(take).withColumn("sampled_weight", rescaled).drop("__total", "__heavy", "__h", "__n")

@@ -110,8 +110,8 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
-query("cluster_summarize")(lambda s, sf: clustering.clusters(tq.V(s, sf, None).select("seq", "x", F.lit(1.0).alias("w")), 6, 300))
-query("cluster_multi_representative")(lambda s, sf: clustering.clusters(tq.V(s, sf, None).select("label", "seq", "x", F.lit(1.0).alias("w")), 3, 200, ["label"], reps=3, shrinkage=0.2, distance="L1"))
+query("cluster_summarize")(lambda s, sf: clustering.clusters(tq.V(s, sf, None).select("seq", "x", F.lit(1.0).alias("w")), 6))
+query("cluster_multi_representative")(lambda s, sf: clustering.clusters(tq.V(s, sf, None).select("label", "seq", "x", F.lit(1.0).alias("w")), 3, by=["label"], reps=3, shrinkage=0.2, distance="L1"))
 query("object_outliers")(lambda s, sf: clustering.outliers(tq.read(s, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("o")), clustering.edit_distance, "brand", capacity=60, most=3, every=40))
 
 
