@@ -3,8 +3,8 @@
 The parser's events are folded into lines, one for each block of text, with the number of characters, tags and link
 characters seen in it and the elements around it; neither a tree nor the page's markup is kept. Ratios of text to tags
 are smoothed with a Gaussian; lines above one standard deviation are the content cluster. They vote, by characters, for
-the element that holds the article; its lines are the result but for those inside menus, forms, notices, adverts,
-comments and the like.
+the element that holds the article, and select inside it: runs of lines that consist of links and lie outside the
+cluster go, and so do lines inside menus, forms, notices, adverts, comments and the like.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist map".split())
+SILENT = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas audio video select textarea button datalist map".split())
 ASIDE = frozenset("nav aside footer form menu dialog header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _MARKS = re.compile(
@@ -32,30 +32,43 @@ _MARKS = re.compile(
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|"
     r"reply|respond|widget|pagination|pager|copyright|legal|disclaimer|toolbar|search|paywall)(?:$|[\s_-]|\d)"
 )
+_TAG = re.compile(r"<[A-Za-z/!?]")
 _HOME = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+P_STOPS = frozenset("table td th div section article main aside nav form li blockquote body button object".split())
+LIST_STOPS = frozenset("ul ol dl table select menu".split())
 KEEP_P = frozenset("a abbr audio b bdi bdo br button canvas cite code data del dfn em embed font i iframe img input ins kbd label link map mark meta noscript object output picture q s samp script select small source span strong sub sup svg template textarea time u var video wbr".split())
 
 
 class Lines(HTMLParser):
-    """Folds events into lines: (text, tags, link characters, elements around, boilerplate)."""
+    """Folds events into lines: (text, tags, link characters, innermost element, container of its block, boilerplate).
+
+    Elements are numbers; parent[k] is the one around k, so a line needs no path of its own and deep or unclosed markup
+    costs one entry an element. The open elements of each tag are kept by place, so an end tag never searches the stack.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, number, boiler, silent, in an article, in a link
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.open_blocks: list[int] = []
         self.homes: list[int] = []  # elements that name themselves as the article
-        self.count = 0
+        self.parent = [0]
         self.parts: list[str] = []
         self.tags = self.links = 0
-        self.path: tuple[int, ...] = ()
+        self.where = (0, 0)
         self.boiler = False
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections such as <![if x]> or <![foo[bar]]> are comments up to the next >, as in browsers."""
+        return self.parse_bogus_comment(i, 0)
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.links, self.path, self.boiler))
+                self.lines.append((text, self.tags, self.links, *self.where, self.boiler))
             self.parts = []
         self.tags = self.links = 0
 
@@ -71,11 +84,10 @@ class Lines(HTMLParser):
         if block:
             self.flush()
             if tag not in KEEP_P:
-                self.close({"p"}, stop=frozenset("table td th div section article main aside nav form li blockquote body button object".split()))
+                self.close_tags({"p"}, stop=P_STOPS)
             if tag in CLOSED_BY:
-                self.close(CLOSED_BY[tag], stop=frozenset("ul ol dl table select menu".split()))
+                self.close_tags(CLOSED_BY[tag], stop=LIST_STOPS)
         self.tags += 1
-        self.count += 1
         silent = tag in SILENT
         top = self.stack[-1] if self.stack else ("", 0, False, False, False, False)
         inside = top[4] or tag in ("article", "main")
@@ -93,33 +105,47 @@ class Lines(HTMLParser):
                 home = True
         boiler |= top[2]
         silent |= top[3]
+        self.parent.append(top[1])
+        number = len(self.parent) - 1
         if home and not boiler:
-            self.homes.append(self.count)
-        self.stack.append((tag, self.count, boiler, silent, inside, top[5] or tag == "a"))
+            self.homes.append(number)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if block:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((tag, number, boiler, silent, inside, top[5] or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in ("script", "style", "svg"):
             self.handle_endtag(tag)
 
-    def close(self, tags: set[str], stop: frozenset) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in stop:
-                return
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, or -1."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def pop_to(self, place: int) -> None:
+        for tag, *_ in self.stack[place:]:
+            self.open[tag].pop()
+        del self.stack[place:]
+        while self.open_blocks and self.open_blocks[-1] >= place:
+            self.open_blocks.pop()
+
+    def close_tags(self, tags: set[str], stop: frozenset) -> None:
+        place = self.last(tags)
+        if place > self.last(stop):
+            self.pop_to(place)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if tag not in BLOCK and self.stack[k][0] in BLOCK:
-                return
+        place = self.last((tag,))
+        if place >= 0 and (tag in BLOCK or not self.open_blocks or place > self.open_blocks[-1]):
+            self.pop_to(place)
+
+    def begin(self, top: tuple) -> None:
+        block = self.stack[self.open_blocks[-1]][1] if self.open_blocks else 0
+        self.where, self.boiler = (top[1], self.parent[block]), top[2]
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1] if self.stack else ("", 0, False, False, False, False)
@@ -128,10 +154,10 @@ class Lines(HTMLParser):
         if not self.parts:
             if data.isspace():
                 return
-            self.path, self.boiler = tuple(x[1] for x in self.stack), top[2]
+            self.begin(top)
         elif top[2] != self.boiler:  # inline boilerplate inside a block, or text after it
             self.flush()
-            self.path, self.boiler = tuple(x[1] for x in self.stack), top[2]
+            self.begin(top)
         if top[5]:
             self.links += len(data)
         self.parts.append(data)
@@ -150,48 +176,78 @@ def smooth(ratios: list[float], radius: int = 2) -> list[float]:
     return out
 
 
+def regions(lines: list[tuple], content: list[bool]) -> list[bool]:
+    """Which lines belong to content regions: runs of lines of one container that the ratios do not reject.
+
+    A run is rejected if links make up more than half of it and most of its lines are outside the content cluster, so
+    lists of links go wherever they stand, and short paragraphs and headings stay.
+    """
+    out: list[bool] = []
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end][4:] == lines[at][4:]:
+            end += 1
+        run = lines[at:end]
+        linked = 2 * sum(min(x[2], len(x[0])) for x in run) > sum(len(x[0]) for x in run)
+        out += [not (linked and 2 * sum(content[at:end]) < end - at)] * (end - at)
+        at = end
+    return out
+
+
+def whole_markup(html: str) -> str:
+    """The page without a comment or tag that its end cuts off: browsers drop them, the parser would scan them again and again."""
+    comment = html.find("<!--", html.rfind("-->") + 1)
+    if comment >= 0:
+        html = html[:comment]
+    ended = html.rfind(">") + 1
+    open_tag = _TAG.search(html, ended)
+    return html[: open_tag.start()] if open_tag else html
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article joined by empty lines; empty if there are none."""
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
-    parser.close_all()
+    try:
+        parser.feed(whole_markup(html))
+        parser.close()
+    except AssertionError:  # the parser's own answer to declarations it can't read: what was read stays
+        pass
+    parser.flush()
     lines = parser.lines
-    if all(x[4] for x in lines):
+    if all(x[5] for x in lines):
         return ""
     ratios = smooth([(len(t) - min(links, len(t))) / max(1, tags) for t, tags, links, *_ in lines])
     mean = sum(ratios) / len(ratios)
     cut = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     content = [r >= cut for r in ratios]
-    weight = [len(x[0]) if c and not x[4] else 0 for x, c in zip(lines, content, strict=True)]
+    weight = [len(x[0]) if c and not x[5] else 0 for x, c in zip(lines, content, strict=True)]
+    if not any(weight):  # the cluster is boilerplate only: all other lines vote
+        weight = [0 if x[5] else len(x[0]) for x in lines]
     total = sum(weight)
-    votes: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for (_, _, _, path, _), w in zip(lines, weight, strict=True):
-        for d, e in enumerate(path):
-            votes[e] = votes.get(e, 0) + w
-            depth[e] = d
-    homes = [e for e in parser.homes if votes.get(e, 0) * 2 >= total and e in votes]
+    votes, used = [0] * len(parser.parent), bytearray(len(parser.parent))
+    for x, w in zip(lines, weight, strict=True):
+        used[x[3]] = 1
+        votes[x[3]] += w
+    depth = [0] * len(votes)
+    for e in range(1, len(votes)):
+        depth[e] = depth[parser.parent[e]] + 1
+    for e in range(len(votes) - 1, 0, -1):  # an element comes after the one around it
+        votes[parser.parent[e]] += votes[e]
+        used[parser.parent[e]] |= used[e]
+    homes = [e for e in parser.homes if votes[e] * 2 >= total and used[e]]
     if homes:
         best = max(homes, key=lambda e: (depth[e], votes[e]))
     else:
-        held = [e for e, v in votes.items() if v * 10 >= total * 8]
-        best = max(held, key=lambda e: (depth[e], -e)) if held else None
-    picked = [x[0] for x, c in zip(lines, content, strict=True) if not x[4] and (best in x[3] if best is not None else c)]
-    return "\n\n".join(picked)
-
-
-def _close_all(self: Lines) -> None:
-    try:
-        self.close_parser()
-    except AssertionError:  # the parser's own answer to broken declarations
-        pass
-    self.flush()
-
-
-Lines.close_parser = HTMLParser.close
-Lines.close_all = _close_all
+        best = max((e for e in range(1, len(votes)) if votes[e] * 10 >= total * 8 and used[e]), key=lambda e: (depth[e], -e), default=0)
+    stays = regions(lines, content) if best else content
+    held = bytearray(len(votes))  # elements inside the best one
+    held[best] = 1
+    for e in range(best + 1, len(votes)):
+        held[e] = held[parser.parent[e]]
+    return "\n\n".join(x[0] for x, s in zip(lines, stays, strict=True) if s and not x[5] and held[x[3]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -39,6 +39,24 @@ def test_broken():
     assert htmltext.main_text("<article>" + "<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
+def test_marked_sections_and_unclosed_tags():
+    assert htmltext.main_text("<p>hi there</p><![foo[bar]]><p>and on</p>") == "hi there\n\nand on"
+    for x in ("<![foo[", "<![foo[bar", "<!]>", "<![CDATA[x]]>", "<!doctype [", "<!ELEMENT br EMPTY>", "<?php", "</", "</>", "<a<b>c", "&#xFFFFFFF;", "<!--" * 1000):
+        assert htmltext.main_text("<article><p>one</p>" + x).startswith("one")
+        htmltext.main_text(x)
+    assert htmltext.main_text("<article><p>" + "<b>" * 100_000 + "deep</p><p>next" + "</i>" * 100_000) == "deep\n\nnext"
+    assert htmltext.main_text("<article><i>" + ("<div>x" + "</i>") * 50_000).count("x") == 50_000
+    for x in ("<!--", "<a ", "<p a='", "<!", "<![foo["):
+        assert htmltext.main_text("<p>one</p>" + x * 100_000) == "one"
+
+
+def test_ratios_select_inside_an_article():
+    links = "".join(f"<li><a href='{k}'>Other story {k}</a></li>" for k in range(8))
+    page = f"<article><h1>Title</h1><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p><p>Short end.</p><ul><li>one</li><li>two</li></ul></article>"
+    assert htmltext.main_text(page).split("\n\n") == ["Title", LONG.strip(), LONG.strip(), "Short end.", "one", "two"]
+    assert htmltext.main_text("<article><p>Let <math><mi>x</mi></math> be</p></article>") == "Let x be"
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "v", "<article><p>x</p></article>", 3), (3, "v", "<article><p>x</p></article>", 3), (None, "w", "<p>" + LONG * 20000, 4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
