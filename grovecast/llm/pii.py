@@ -13,6 +13,8 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +77,9 @@ _SPOKEN = re.compile(
     r"(?i)(?<![\w.])([\w.+-]{1,40})\s?(?:\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s)|@)\s?([\w-]{1,40})((?:\s?(?:\(dot\)|\[dot\]|\{dot\}|(?<=\s)dot(?=\s))\s?[\w-]{1,20}){1,4})(?!\w)"
 )
 _SPOKEN_HINT = re.compile(r"(?i)[(\[{\s]dot[)\]}\s]")
+#: addresses of hosts with their dots set apart or in brackets, and those of eight hexadecimal groups
+_HOST = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?:\s?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\))\s?|\sdot\s|\s\.\s?|\.\s)[0-9]{1,3}){3}(?!\w|\.\w)")
+_HOST6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
 _CONTEXT = {
     "phone": frozenset("phone tel telephone call mobile cell fax whatsapp telefon telefono teléfono téléphone rufnummer".split()),
     "card": frozenset("card visa mastercard amex credit karte tarjeta carte".split()),
@@ -107,6 +112,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for m in _SPOKEN.finditer(text):
             if m.end() - m.start() <= MAX_SPAN:
                 out.append((m.start(), m.end(), "email"))
+    for pattern in (_HOST, _HOST6):
+        out += [(*m.span(), "ip") for m in pattern.finditer(text) if m.end() - m.start() <= MAX_SPAN]
     return out
 
 
@@ -130,9 +137,15 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
     if kind == "email":
         tail = re.findall(r"[\w-]+", s)[-1]
         out += [f"email:tail={2 <= len(tail) <= 6 and tail.isalpha()}", f"email:spoken={bool(re.search(r'[(\[{]', s))}", f"email:dots={len(re.findall('(?i)dot', s))}"]
+    elif kind == "ip":
+        parts = re.findall(r"[0-9]+", s)
+        hexadecimal = ":" in s
+        out = [f"ip:bias={hexadecimal}", f"ip:context={ctx}", f"ip:fits={hexadecimal or all(int(x) <= 255 and (x == '0' or x[0] != '0') for x in parts)}", f"ip:bracket={'[' in s or '(' in s or '{' in s}"]
+        out.append(f"ip:letters={hexadecimal and re.search('[a-fA-F]', s) is not None}")
     else:
         inner = (start > 1 and text[start - 2 : start].strip()[-1:].isdigit()) or text[end : end + 2].strip()[:1].isdigit()
         out += [f"{kind}:groups={groups}", f"{kind}:inner={inner}", f"{kind}:plus={s[0] == '+'}", f"{kind}:paren={'(' in s}"]
+        out.append(f"{kind}:uneven={len(set(re.findall(r'[^0-9+()]+', s)))}")
         if kind == "card":
             out.append(f"card:luhn={13 <= len(d) <= 19 and luhn(d)}")
             out.append(f"card:varied={len(set(d)) > 3}")
@@ -151,18 +164,35 @@ class Model:
 
     def best(self, text: str, fixed: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
         """The best set of candidates that overlap neither each other nor the fixed spans."""
-        free = [c for c in candidates(text) if all(c[1] <= a or b <= c[0] for a, b in fixed)]
-        return decode([(a, b, k, self.score(features(text, a, b, k))) for a, b, k in free])
+        return decode((a, b, k, self.score(features(text, a, b, k))) for a, b, k in outside(candidates(text), fixed))
 
 
-def decode(scored: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
+def outside(cands: list[tuple[int, int, str]], fixed: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """The candidates that overlap none of the fixed spans, which are sorted: one search in their union for each."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in fixed:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    if not starts:
+        return cands
+    out = []
+    for c in cands:
+        k = bisect_left(starts, c[1]) - 1  # the last range that begins before the candidate ends
+        if k < 0 or ends[k] <= c[0]:
+            out.append(c)
+    return out
+
+
+def decode(scored: Iterable[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
     """Viterbi over segment ends."""
     scored = sorted((x for x in scored if x[3] > 0), key=lambda x: (x[1], x[0], x[2]))
     ends = sorted({x[1] for x in scored})
     at = {e: i + 1 for i, e in enumerate(ends)}
     best, back = [0.0] * (len(ends) + 1), [None] * (len(ends) + 1)
-    from bisect import bisect_right
-
     k = 0
     for i, e in enumerate(ends, 1):
         best[i] = best[i - 1]
@@ -215,19 +245,24 @@ def synthetic(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     pre = " ".join(word() for _ in range(rng.randint(1, 5)))
     post = " ".join(word() for _ in range(rng.randint(1, 5)))
-    which = rng.randrange(9)
+    which = rng.randrange(11)
     lead, s, kind = "", "", None
     if which == 0:
         at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" AT ", " DOT ")])
         s, kind = word() + at + word() + dot + rng.choice(["com", "org", "net", "de", "fr", "es"]), "email"
         lead = rng.choice(["", "", "mail ", "contact "])
     elif which in (1, 2):
-        shape = rng.choice(["({}) {}-{}|3 3 4", "{}-{}-{}|3 3 4", "{}.{}.{}|3 3 4", "00{} {} {} {}|2 2 3 4", "0{} {} {} {} {}|1 2 2 2 2", "{} {}-{}|3 3 4"])
+        shape = rng.choice(["({}) {}-{}|3 3 4", "{}-{}-{}|3 3 4", "{}.{}.{}|3 3 4", "00{} {} {} {}|2 2 3 4", "0{} {} {} {} {}|1 2 2 2 2", "{} {}-{}|3 3 4", "0{}-{}|3 7", "0{}/{}|3 6", "0{} {}|3 7", "0{}-{}|2 8"])
         form, sizes = shape.split("|")
         s, kind = form.format(*(digits(int(n)) for n in sizes.split())), "phone"
         lead = rng.choice(["call ", "phone ", "tel ", "mobile ", ""])
-        if not lead and ("(" not in s and "-" not in s):
+        if not lead and ("(" not in s and s.count("-") < 2):
             lead = "tel "
+        if rng.random() < 0.2:  # several in one run
+            more = form.format(*(digits(int(n)) for n in sizes.split()))
+            gap = rng.choice([" / ", "  ", " - "])
+            head = f"{pre} {lead}"
+            return f"{head}{s}{gap}{more} {post}", [(len(head), len(head) + len(s), kind), (len(head) + len(s) + len(gap), len(head) + len(s) + len(gap) + len(more), kind)]
     elif which in (3, 4):
         d = digits(15)
         d += next(c for c in "0123456789" if luhn(d + c))
@@ -244,9 +279,25 @@ def synthetic(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         lead = rng.choice(["isbn ", "date ", "", "version ", "no "])
     elif which == 7:
         s = f"{word()} at {word()}. {word().title()}"
-    else:
+    elif which == 8:
         s = ".".join(digits(rng.randint(1, 3)) for _ in range(5))
         lead = rng.choice(["version ", ""])
+    elif which == 9:
+        lead = rng.choice(["ip ", "host ", "", "server "])
+        if rng.random() < 0.4:
+            s = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)) if rng.random() < 0.5 else f"{rng.randrange(4096, 65536):x}:{rng.randrange(65536):x}::{rng.randrange(65536):x}"
+        else:
+            s = rng.choice(["[.]", "(.)", " dot ", "[dot]", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
+            if not lead and " . " in s:
+                lead = "ip "
+        kind = "ip"
+    else:
+        s = rng.choice([" . ", ". ", "[.]"]).join(str(rng.choice([rng.randint(0, 9), rng.randint(256, 999)])) for _ in range(4))
+        if all(int(x) <= 255 for x in re.findall("[0-9]+", s)):
+            s += "99"
+        if rng.random() < 0.3:
+            s = f"{digits(2)}:{digits(2)}:{digits(2)}"
+        lead = rng.choice(["no ", "version ", ""])
     head = f"{pre} {lead}"
     text = f"{head}{s} {post}"
     return text, [(len(head), len(head) + len(s), kind)] if kind else []
@@ -264,7 +315,7 @@ def fit(sentences: int = 1500, rounds: int = 12, seed: int = 7) -> Model:
     for _ in range(sentences):
         text, true = synthetic(rng)
         base = [s for spans in base_spans(text).values() for s in spans]
-        cands = [c for c in candidates(text) if all(c[1] <= a or b <= c[0] for a, b in base)]
+        cands = outside(candidates(text), sorted(base))
         if cands:
             data.append((cands, [features(text, *c) for c in cands], [float(c in true) for c in cands]))
     w: dict[str, float] = {}

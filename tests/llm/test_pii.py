@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,26 @@ def test_model_recovers_odd_spellings():
     assert hit > 0.95 * true and false < 0.05 * true
 
 
+def test_runs_of_numbers_and_hosts():
+    model = pii.fit()
+    found = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.find(t, model)[1].items() if v}
+    many = [f"0171 23456{k:02d}" for k in range(20)]
+    assert found("tel " + " / ".join(many)) == {"phone": many}
+    assert found("tel 0171-2345600 - 0171-2345601") == {"phone": ["0171-2345600", "0171-2345601"]}
+    assert found("host 10[.]0[.]0[.]1 up") == {"ip": ["10[.]0[.]0[.]1"]}
+    assert found("see 300[.]0[.]0[.]1 and 12:34:56 o'clock") == {}
+
+
+def test_long_text_is_linear():
+    text = "a@b.com 192.168.1.1 and 030 123 45 67, " * 30_000
+    start = time.perf_counter()
+    base, every = pii.find(text, pii.fit())
+    assert len(base["email"]) == len(base["ip"]) == 30_000 and time.perf_counter() - start < 60
+    fixed = sorted(s for v in base.values() for s in v)[:200]
+    cands = [(a, a + w, "card") for a in range(0, 4000, 7) for w in (3, 20)]
+    assert pii.outside(cands, fixed) == [c for c in cands if all(c[1] <= a or b <= c[0] for a, b in fixed)]
+
+
 def test_marginals_against_enumeration():
     cands = [(0, 3, "card"), (2, 5, "phone"), (3, 6, "phone"), (3, 6, "card"), (5, 9, "ip")]
     scores = [0.3, 1.0, -0.4, 0.2, 0.7]
