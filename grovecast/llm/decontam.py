@@ -2,7 +2,7 @@
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters. Training texts are scanned window by
 window; a rolling hash over the ids of benchmark words proposes hits and the words themselves verify them. Benchmark
-texts are broadcast in slices of a bounded size; a task has one slice in memory at a time.
+texts are broadcast in slices, cut by the size of what is built of them; a task has one slice in memory at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 64 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,71 +27,115 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Grams:
-    """The n-grams of a slice of the benchmark, by width: rolling hash -> words -> items."""
+    """The n-grams of a slice of the benchmark as flat arrays: sorted rolling hashes, one place of each gram, its items.
+
+    Distinct grams always have distinct hashes (the hash is drawn anew until they have), so a window is verified by
+    comparing its words with one gram. A word takes one entry of a dictionary, each of its occurrences about 30 bytes.
+    """
 
     def __init__(self, items: list[tuple], width: int) -> None:
         self.ids: dict[bytes, int] = {}
-        self.items: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
+        self.names: list[str] = []
+        seq, place, size, owner = [], [], [], []
+        at = 0
+        for name, text in items:
             w = words(text)
+            if not w:
+                continue
             n = min(width, len(w))
-            for i in range(len(w) - n + 1) if n else ():
-                self.items.setdefault(tuple(w[i : i + n]), set()).add(str(item))
-            for x in w:
-                self.ids.setdefault(x, len(self.ids) + 1)
-        self.hashes = {}
-        for n in sorted({len(g) for g in self.items}):
-            grams = np.array([[self.ids[x] for x in g] for g in self.items if len(g) == n], np.uint64)
-            self.hashes[n] = np.unique(self.rolled(grams.ravel(), n)[::n])
-        self.shortest = min(self.hashes, default=0)
+            seq.append(np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in w], np.uint32))
+            place.append(np.arange(at, at + len(w) - n + 1, dtype=np.int64))
+            size.append(np.full(len(w) - n + 1, n, np.int32))
+            owner.append(np.full(len(w) - n + 1, len(self.names), np.int32))
+            self.names.append("" if name is None else str(name))
+            at += len(w)
+        self.seq = np.concatenate(seq) if seq else np.zeros(0, np.uint32)
+        self.by_width: dict[int, tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        if not seq:
+            return
+        place, size, owner = map(np.concatenate, (place, size, owner))
+        for n in np.unique(size).tolist():
+            self.by_width[n] = self._sorted(place[size == n], owner[size == n], n)
+
+    def _sorted(self, place: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(base, hash and first place of each distinct gram, where its items begin, items)."""
+        base = _BASE
+        while True:
+            h = self.rolled(self.seq, n, base)[place]
+            by = np.lexsort((owner, h))
+            hs, ps, os = h[by], place[by], owner[by]
+            new = np.ones(len(hs), bool)
+            new[1:] = hs[1:] != hs[:-1]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            if self.same(self.seq, ps, self.seq, ps[head], n).all():
+                break
+            base = base * np.uint64(0xD1342543DE82EF95) | np.uint64(1)
+        first = new.copy()
+        first[1:] |= os[1:] != os[:-1]  # an item once for each gram
+        kept = np.flatnonzero(first)
+        starts = np.searchsorted(kept, np.flatnonzero(new))
+        return base, hs[new], ps[new], np.append(starts, len(kept)), os[kept]
 
     @staticmethod
-    def rolled(ids: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(len(ids) - n + 1, np.uint64)
+    def same(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+        ok = np.ones(len(i), bool)
         for k in range(n):
-            h = h * _BASE + ids[k : len(ids) - n + 1 + k]
+            ok &= a[i + k] == b[j + k]
+        return ok
+
+    @staticmethod
+    def rolled(ids: np.ndarray, n: int, base: np.uint64 = _BASE, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the n ids from each place on, or from the places `at`; the last n - 1 places have none of their own."""
+        h = np.zeros(len(ids) if at is None else len(at), np.uint64)
+        for k in range(n):
+            h *= base
+            if at is None:
+                h[: len(ids) - k] += ids[k:]
+            else:
+                h += ids[at + k]
             h ^= h >> np.uint64(32)
         return h
 
     def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges of verified windows, and the items they belong to."""
         found, items = [], set()
-        if not self.hashes or len(w) < self.shortest:
+        if not self.by_width or len(w) < min(self.by_width):
             return found, items
         get = self.ids.get
-        ids = np.array([get(x, 0) for x in w], np.uint64)
+        ids = np.array([get(x, 0) for x in w], np.uint32)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, hashes in self.hashes.items():
-            if len(w) < n or not (known[n:] - known[:-n] == n).any():
+        for n, (base, hashes, place, starts, owner) in self.by_width.items():
+            if len(w) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
-            if len(at) * 3 > len(ids):
-                h = self.rolled(ids, n)[at]
-            else:
-                h = np.zeros(len(at), np.uint64)
-                for k in range(n):
-                    h = h * _BASE + ids[at + k]
-                    h ^= h >> np.uint64(32)
+            if not len(at):
+                continue
+            h = self.rolled(ids, n, base)[at] if len(at) * 3 > len(ids) else self.rolled(ids, n, base, at)
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in at[hashes[k] == h].tolist():
-                of = self.items.get(tuple(w[i : i + n]))
-                if of:
-                    found.append((i, i + n))
-                    items |= of
+            maybe = hashes[k] == h
+            at, k = at[maybe], k[maybe]
+            ok = self.same(ids, at, self.seq, place[k], n)
+            found += [(i, i + n) for i in at[ok].tolist()]
+            for g in np.unique(k[ok]).tolist():
+                items.update(self.names[o] for o in owner[starts[g] : starts[g + 1]].tolist())
         return found, items
 
 
 def slices(benchmark: DataFrame, most: int = SLICE_BYTES):
-    """Lists of (item_id, text) of bounded size, read one after the other."""
-    part, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8")).toLocalIterator():
-        if r[1] is None:
+    """Lists of (item_id, text), read one after the other; what Grams builds of one takes about `most` bytes at most."""
+    part, size, seen = [], 0, set()
+    for name, raw in benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8")).toLocalIterator():
+        w = words(bytes(raw)) if raw is not None else []
+        if not w:
             continue
-        if part and size + len(r[1]) > most:
+        here = 30 * len(w) + 120 * len(set(w) - seen)
+        if part and size + here > most:
             yield part
-            part, size = [], 0
-        part.append((r[0], bytes(r[1])))
-        size += len(r[1])
+            part, size, seen = [], 0, set()
+            here = 30 * len(w) + 120 * len(set(w))
+        part.append((name, bytes(raw)))
+        seen.update(w)
+        size += here
     yield part
 
 
@@ -132,7 +176,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, slice_bytes: in
     """HITS for each row of docs: word ranges inside benchmark windows, and the items whose windows occur.
 
     Benchmark items of fewer than `width` words, but not none, are one window. A null or empty text has no words and no
-    hits. Repeated rows give repeated results; a benchmark item that repeats is one item. Other columns are ignored.
+    hits. Repeated rows give repeated results; a benchmark item that repeats is one item; a null item_id is named "".
+    Other columns are ignored.
     An empty benchmark hits nothing; empty docs give an empty table.
     """
     sent = sliced(docs.sparkSession, benchmark, width, slice_bytes)

@@ -38,6 +38,19 @@ def test_brute_force(spark, sf_dir):
     assert got == sorted(want) and any(r[5] for r in got)
 
 
+def test_built_size(spark):
+    """What is sent has the size that the slices are cut by, and repeats in an item do not add up."""
+    text = " ".join(f"word{k % 5000}" for k in range(60_000))
+    b = spark.createDataFrame([(None, text), (2, "x " * 40_000)], "item_id long, text string")
+    parts = list(decontam.slices(b, 1 << 30))
+    grams = decontam.Grams(parts[0], 13)
+    flat = grams.seq.nbytes + sum(x.nbytes for v in grams.by_width.values() for x in v[1:])
+    assert len(parts) == 1 and flat < 30 * 100_000 and len(list(decontam.slices(b, 1 << 20))) == 2
+    spans, items = grams.hits([b"x"] * 14)
+    assert spans == [(0, 13), (1, 14)] and items == {"2"}
+    assert grams.hits(decontam.words(text.encode())[:13]) == ([(0, 13)], {""})
+
+
 def test_edges_and_slices(spark):
     item = " ".join(f"w{i}" for i in range(20))
     bench = [(1, item), (2, "Short one."), (3, None), (4, "... !"), (10, item), (5, "é1 x")]
