@@ -85,39 +85,73 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())]))
 
 
-def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bucket, bound, batch, slot, padding): one row for each piece of each text.
+def cut_texts(counted: DataFrame, budget: int, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, text) of the pieces of (doc_id, n_tokens, text): together they are the text.
 
-    A piece has the tokens from start on, at most `budget` of them; a batch holds budget // bound pieces of its bucket,
+    A piece begins at its first token, the first at the text's start. A text of more than one piece is counted again
+    where it is cut, so that both agree.
+    """
+
+    def run(batches):
+        import regex
+
+        token = regex.compile(TOKEN)
+        if vocabulary is not None:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(vocabulary)
+        for b in batches:
+            rows = []
+            for d, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n <= budget:
+                    rows.append((d, 0, 0, n, t))
+                    continue
+                starts = [m.start() for m in token.finditer(t)] if vocabulary is None else [a for a, _ in tok.encode(t, add_special_tokens=False).offsets]
+                cuts = [0, *starts[budget::budget], len(t)]
+                rows += [(d, k, k * budget, min(budget, len(starts) - k * budget), t[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["doc_id", "piece", "start", "n_tokens", "text"])
+
+    return counted.select("doc_id", "n_tokens", "text").mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, text string")
+
+
+def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, vocabulary: str | None = None, keep_text: bool = False) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, bucket, bound, batch, slot, padding[, text]): one row for each piece of each text.
+
+    With keep_text the text of each piece comes too; the batch of a row is named by bucket and batch together. A piece has the tokens from start on, at most `budget` of them; a batch holds budget // bound pieces of its bucket,
     each padded to bound. Null and empty texts, and texts of white space only, have no pieces. Repeated rows are packed
-    each. Rows of one length are ordered by a hash of doc_id, then doc_id, then piece. A null doc_id is packed like any
-    other. Other columns are ignored; an empty table gives an empty table.
+    each. Pieces of a bucket are numbered by a hash shard of doc_id, piece and text, and inside a shard by length (longest
+    first), doc_id and piece. A null doc_id is packed like any other. Other columns are ignored; an empty table gives an empty table.
     """
-    counted = token_counts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), vocabulary).select("doc_id", "n_tokens")
-    counted = cut(counted.where("n_tokens > 0"))
-    pieces = counted.select(
-        "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {budget}"))).alias("piece")
-    ).select("doc_id", "piece", (F.col("piece") * budget).alias("start"), F.least(F.lit(budget), F.col("n_tokens") - F.col("piece") * budget).cast("long").alias("n_tokens"))
+    counted = token_counts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), vocabulary).where("n_tokens > 0")
+    key = F.xxhash64("text").alias("key")  # so that rows without a doc_id, or that share one, spread over the shards
+    if keep_text:
+        pieces = cut(cut_texts(counted, budget, vocabulary).select("doc_id", "piece", "start", "n_tokens", key, "text"))
+    else:
+        pieces = cut(counted.select("doc_id", "n_tokens", key)).select(
+            "doc_id", "n_tokens", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {budget}"))).alias("piece")
+        ).select("doc_id", "piece", "key", (F.col("piece") * budget).alias("start"), F.least(F.lit(budget), F.col("n_tokens") - F.col("piece") * budget).cast("long").alias("n_tokens"))
+    more = ["text"] if keep_text else []
     # at most `budget` rows, since no piece is longer
     histogram = pieces.groupBy("n_tokens").count().orderBy("n_tokens").collect()
     bounds, _ = best_bounds(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
     if not bounds:
-        return pieces.select("doc_id", "piece", "start", "n_tokens", *(F.lit(None).cast(k).alias(c) for c, k in (("bucket", "int"), ("bound", "long"), ("batch", "long"), ("slot", "long"), ("padding", "long"))))
+        return pieces.select("doc_id", "piece", "start", "n_tokens", *(F.lit(None).cast(k).alias(c) for c, k in (("bucket", "int"), ("bound", "long"), ("batch", "long"), ("slot", "long"), ("padding", "long"))), *more)
     which = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
         which = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(which)
     shards = max(1, sum(r[1] for r in histogram) // SHARD_ROWS + 1)
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "key"), F.lit(shards)).cast("int")
     placed = pieces.withColumn("bucket", which.cast("int")).withColumn("bound", F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1).cast("long")).withColumn("shard", shard)
     # buckets times shards rows
     sizes = placed.groupBy("bucket", "shard").count()
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.desc("n_tokens"), "doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.desc("n_tokens"), "doc_id", "piece", "key")) - 1
     numbered = placed.withColumn("rank", rank).join(offsets, ["bucket", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
     room = F.expr(f"{budget} div bound")
     return numbered.select(
-        "doc_id", "piece", "start", "n_tokens", "bucket", "bound", F.expr(f"rank div ({budget} div bound)").alias("batch"), (F.col("rank") % room).alias("slot"), (F.col("bound") - F.col("n_tokens")).alias("padding")
+        "doc_id", "piece", "start", "n_tokens", "bucket", "bound", F.expr(f"rank div ({budget} div bound)").alias("batch"), (F.col("rank") % room).alias("slot"), (F.col("bound") - F.col("n_tokens")).alias("padding"), *more
     )
 
 

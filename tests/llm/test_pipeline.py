@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -6,7 +8,7 @@ from grovecast.llm import pii, quality  # noqa: E402
 
 from .test_decontam import brute as contaminated  # noqa: E402
 from .test_packing import check as packed_right  # noqa: E402
-from .test_simhash import brute as components  # noqa: E402
+from .test_simhash import brute_similar  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
@@ -31,7 +33,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             fine = [d for d in before if d in told and told[d].quality == 1 and told[d].toxic == 0]
             assert sum(d in after for d in fine) >= 0.95 * len(fine)
         elif name == "near_duplicates":
-            assert set(after) == {d for d, _, c in components(texts) if d == c}
+            assert set(after) == {d for d, c in brute_similar(texts).items() if d == c}
         elif name == "decontamination":
             assert set(after) == {r[0] for r in contaminated(texts, bench) if not r[5]}
         elif name == "personal_data":
@@ -43,9 +45,16 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         if name != "packing":
             assert all(after[d][c] == before[d][c] for d in after for c in names if name != "personal_data" or c not in ("text", "n_chars"))
         else:
-            packed_right(docs.collect(), texts, 8192)
+            rows = docs.collect()
+            packed_right(rows, texts, 8192)
+            whole = {}
+            for r in sorted(rows, key=lambda r: r.piece):
+                whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
+            assert whole == {d: t for d, t in texts if t and t.strip()}
 
 
 def test_run(spark, sf_dir):
     out = pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and "batch" in out.columns
+    assert out.count() > 0 and "batch" in out.columns and "text" in out.columns
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(folder)) == [os.path.basename(folder)]  # what the earlier stages wrote is gone

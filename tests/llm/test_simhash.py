@@ -45,10 +45,72 @@ def test_anchor_cover():
         for i in range(len(y)):
             for b in rng.choice(64, bits, replace=False):
                 y[i] ^= np.uint64(1) << np.uint64(b)
-        rx, kx, hx = simhash.anchors(x)
-        ry, ky, hy = simhash.anchors(y)
+        rx, kx = simhash.anchors(x[:, None])
+        ry, ky = simhash.anchors(y[:, None])
+        home = [simhash.at_home(simhash.half(x[:, None], p))[1] | np.uint64(p << 32) for p in (0, 1)]
         for i in range(len(x)):
-            assert set(kx[(rx == i) & hx]) & set(ky[ry == i])
+            assert {int(home[0][i]), int(home[1][i])} & set(ky[ry == i].tolist()) and int(home[0][i]) in kx[rx == i]
+
+
+def brute_similar(rows, similarity=0.8):
+    """(doc_id, least doc_id of its group) by comparing all sketches."""
+    fp = np.array([simhash.sketch((t or "").encode()) for _, t in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    most = int((1 - similarity) / 2 * fp.shape[1] * 64)
+    for i in range(len(rows)):
+        other = fp[:i] ^ fp[i]
+        near = np.bitwise_count(other).sum(1) <= most
+        halves = np.bitwise_count(np.ascontiguousarray(other).view("<u4")).min(1, initial=32) <= 1
+        for j in np.flatnonzero(near & halves).tolist():
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_against_jaccard(spark, sf_dir):
+    """Copies with some words replaced: nearly all from 0.85 on are found, most from 0.8 on, and nothing below 0.6."""
+    rng = np.random.default_rng(8)
+    base = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(400).collect()]
+    found = {0.6: [], 0.8: [], 0.85: [], 0.9: [], 1.0: []}
+    for k, t in enumerate(base):
+        w = t.split()
+        for at in rng.choice(len(w), max(1, int(len(w) * 0.05 * rng.random())), replace=False):
+            w[at] = f"new{at}"
+        s = jaccard(t, " ".join(w))
+        x = simhash.sketch(t.lower().encode()) ^ simhash.sketch(" ".join(w).lower().encode())
+        hit = np.bitwise_count(x).sum() <= int(0.1 * 192) and np.bitwise_count(x.view("<u4")).min() <= 1
+        found[next(c for c in found if s <= c)].append(bool(hit))
+        other = simhash.sketch(t.lower().encode()) ^ simhash.sketch(base[k - 1].lower().encode())
+        assert np.bitwise_count(other).sum() > 19 or jaccard(t, base[k - 1]) > 0.6
+    assert not any(found[0.6]) and np.mean(found[0.9]) > 0.8 and np.mean(found[1.0]) > 0.97
+
+
+def test_similar_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 400, n)) for n in (3, 30, 80, 200, 200)]
+    rows = [(k, t) for k, t in enumerate([None, "", *base, *base])]
+    for _ in range(150):
+        w = base[rng.integers(1, 5)].split()
+        for at in rng.integers(0, len(w), rng.integers(1, 4)):
+            w[at] = "x" + str(rng.integers(0, 3))
+        rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df.repartition(5)).collect()}
+    assert got == brute_similar(rows) and len(set(got.values())) < len(rows) / 2
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == sorted(set(got.values()))
 
 
 @given(st.text(alphabet="aB \t\n\x0bé0", max_size=60))
