@@ -1,38 +1,43 @@
 """Document scores by masked pseudo-likelihood of a bidirectional window network.
 
-Tokens are runs of letters and digits (lower-cased) or of other characters. The most frequent tokens have ids of their
-own, counted over all documents; all others fall into hashed classes. A network predicts each token from SIDE tokens
-on both sides: embeddings, a hidden layer, and a two-level softmax (a group of ids, then the id in its group). Inside a
-class, a second softmax of two levels over the same hidden layer tells apart all tokens that occur at least OFTEN times,
-so the model grows with the corpus; the rest of a class are spelled byte by byte. Neighbours see a token of a class by
-the class and by a row of its own, or one of as many hashed rows if it is rarer than OFTEN. Every
-shard of the corpus trains on all of its tokens from a common start, and the shards' weights are averaged by token
-count, in levels so that no task ever holds more than a bounded number of them. The sum of the conditional
-log-probabilities of all tokens scores a document.
+Tokens are runs of letters and digits (lower-cased) or of other characters; all of them are counted over all documents,
+and the counts stay in a table. A network predicts each token from SIDE tokens on both sides: embeddings, a hidden
+layer, and a two-level softmax (a group of ids, then the id in its group). The OWN most frequent tokens have ids of their
+own, all others share RARE classes by hash; inside its class a token has its share of the counts, so that every token of
+the corpus has a probability of its own, however rare. As neighbours, tokens have more rows than ids: their number
+follows the number of distinct tokens. Counts of the CACHED most frequent tokens are sent to the tasks, those of all
+others are joined to the tokens that need them.
+
+Documents fall into shards by a hash of id and text and are read there in its order, so scores do not depend on how the
+input is split. Every shard trains on all of its tokens; a first round over one document in PORTION gives a common start,
+the second round takes all others, and after each the shards' weights are averaged by token count, in levels, so that no
+task holds more than a bounded number of them. The sum of the conditional log-probabilities of all tokens scores a
+document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_buffers
+from .langid import Index
 from .suffixdedup import Powers, prefix_sums, rolled
 
 KINDS = 32  # ids in a group, and groups
 IDS = KINDS * KINDS
 RARE = 128  # ids that the infrequent tokens share
+OWN = IDS - RARE
+CACHED = 1 << 17
 SIDE, WIDTH, HIDDEN = 2, 16, 24
-OFTEN = 64  # occurrences from which a token is told apart in its class
-END = 256  # after the last byte of a token, and before the first
+PORTION = 8
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 16
 BLOCK = 2 << 20
 CHUNK = 8192
 FAN = (4096, 64, 1)
+LOG_UNIT = 1 << 20  # logarithms of counts are added as whole numbers of this fraction: any order gives one sum
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -43,13 +48,8 @@ _LOWER[65:91] += 32
 
 def tokens(t: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every token of the texts between bounds."""
-    return spans(t, bounds, powers)[:2]
-
-
-def spans(t: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, first byte, bytes) of every token of the texts between bounds."""
     if not len(t):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     kind = _CLASS[t]
     new = np.ones(len(t), bool)
     new[1:] = kind[1:] != kind[:-1]
@@ -59,10 +59,11 @@ def spans(t: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.ndarray
     word = kind[first] > 0
     first, last = first[word], last[word]
     sums = prefix_sums(_LOWER[t], powers)
-    return np.searchsorted(bounds, first, "right") - 1, rolled(sums, first, last - first, powers), first, last - first
+    return np.searchsorted(bounds, first, "right") - 1, rolled(sums, first, last - first, powers)
 
 
 def blocks(b: pa.RecordBatch, at: int, powers: Powers):
+    """(rows, document, hash) of the tokens of rows of bounded size together."""
     offs, data = text_buffers(b.column(at))
     size = np.diff(offs)
     row = 0
@@ -71,355 +72,218 @@ def blocks(b: pa.RecordBatch, at: int, powers: Powers):
         while end < len(size) and (end == row or room >= size[end]):
             room -= size[end]
             end += 1
-        text = data[offs[row] : offs[end]]
-        yield slice(row, end), text, *spans(text, offs[row : end + 1] - offs[row], powers)
+        yield slice(row, end), *tokens(data[offs[row] : offs[end]], offs[row : end + 1] - offs[row], powers)
         row = end
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent tokens of all documents, most frequent first; ties by hash.
+def rare_class(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(RARE)).astype(np.int64)
 
-    All that occur OFTEN times, and of the others as many as have ids of their own. The counts stay in a table.
-    """
+
+class Vocabulary:
+    """The most frequent tokens by rank with their counts, the number of rows of neighbours, and the sums of the classes."""
+
+    def __init__(self, ranked: np.ndarray, n: np.ndarray, types: int, sums: np.ndarray) -> None:
+        self.index, self.n = Index(ranked), n
+        self.rows = int(min(max(1024, 1 << int(types // 64).bit_length()), 1 << 14))
+        self.told = self.rows - self.rows // 4  # rows of one token each
+        self.log_sums = np.log(sums + 1.0)  # one more for what was never counted
+
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, row as a neighbour, rank or -1) of each token."""
+        rank = self.index.find(h)
+        ids = np.where((rank >= 0) & (rank < OWN), rank, OWN + rare_class(h)).astype(np.int32)
+        shared = self.told + (h >> np.uint64(20)) % np.uint64(self.rows - self.told)
+        return ids, np.where((rank >= 0) & (rank < self.told), rank, shared).astype(np.uint16), rank
+
+
+def count(docs: DataFrame) -> DataFrame:
+    """(token, n) of all tokens of all documents."""
 
     def run(batches):
         powers = Powers()
         for b in batches:
-            hashes = [h for _, _, _, h, _, _ in blocks(b, 0, powers)]
+            hashes = [h for _, _, h in blocks(b, 0, powers)]
             key, n = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    counted = cut(docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    often = counted.where(F.col("n") >= OFTEN)
-    few = counted.where(F.col("n") < OFTEN).orderBy(F.desc("n"), "token").limit(IDS - RARE)
-    rows = [d.toArrow() for d in (often, few)]
-    token, n = (np.concatenate([r.column(c).to_numpy() for r in rows]).astype(np.int64) for c in ("token", "n"))
-    by = np.lexsort((token, -n))[: max(IDS - RARE, rows[0].num_rows)]
-    return token[by].view(np.uint64)
-
+    return cut(docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
-class Ids:
-    def __init__(self, top: np.ndarray) -> None:
-        self.by = np.argsort(top)
-        self.sorted = top[self.by]
 
-        self.more = max(0, len(top) - (IDS - RARE))  # tokens told apart inside the classes
-        kind = self._kind(top[IDS - RARE :])
-        self.size = np.bincount(kind, minlength=RARE)
-        order = np.argsort(kind, kind="stable")
-        self.place = np.zeros(self.more, np.int64)
-        self.place[order] = np.arange(self.more) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+def vocabulary(counted: DataFrame) -> Vocabulary:
+    """The CACHED most frequent tokens, ties by hash; all others are summed by class."""
+    top = counted.orderBy(F.desc("n"), "token").limit(CACHED).toArrow()
+    ranked = top.column("token").to_numpy().view(np.uint64)
+    kind = F.pmod(F.shiftrightunsigned("token", 40), F.lit(RARE))
+    sums = np.zeros(RARE)
+    types = 0
+    for r in counted.groupBy(kind.alias("kind")).agg(F.sum("n"), F.count("*")).collect():
+        sums[r[0]], types = r[1], types + r[2]
+    n = top.column("n").to_numpy()
+    np.subtract.at(sums, rare_class(ranked[:OWN]), n[:OWN])
+    return Vocabulary(ranked, n, types, sums)
 
-    @staticmethod
-    def _kind(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(40)) % np.uint64(RARE)).astype(np.int64)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        return self.both(h)[0]
-
-    def both(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, row) of each token: its own id, or its class; and its row among those of the classes.
-
-        Rows below `more` are told apart, the next `more` are shared by the rarer tokens; the last is no row.
-        """
-        rare = IDS - RARE + self._kind(h)
-        if not len(self.sorted):
-            return rare, np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        rank = np.where(self.sorted[k] == h, self.by[k], -1)
-        own = (rank >= 0) & (rank < IDS - RARE)
-        shared = self.more + (h % np.uint64(max(self.more, 1))).astype(np.int64) if self.more else np.zeros(len(h), np.int64)
-        row = np.where(own, 2 * self.more, np.where(rank < 0, shared, rank - (IDS - RARE)))
-        return np.where(own, rank, rare), row
-
-
-def windows(doc: np.ndarray, ids: np.ndarray, none: int = IDS) -> np.ndarray:
-    """The SIDE ids before and after each token; none beyond its document."""
-    n = len(ids)
-    out = np.full((n, 2 * SIDE), none, np.int64)
+def windows(doc: np.ndarray, rows: np.ndarray, none: int) -> np.ndarray:
+    """The rows of SIDE tokens before and after each token; none beyond its document."""
+    n = len(rows)
+    out = np.full((n, 2 * SIDE), none, np.uint16)
     for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         a, b = max(0, -d), min(n, n - d)
         if b > a:
-            same = doc[a:b] == doc[a + d : b + d]
-            out[a:b, k] = np.where(same, ids[a + d : b + d], none)
+            out[a:b, k] = np.where(doc[a:b] == doc[a + d : b + d], rows[a + d : b + d], none)
     return out
 
 
 class Net:
-    SHAPES = {"e": (IDS + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "g": (HIDDEN, KINDS), "gb": (KINDS,), "i": (KINDS, HIDDEN, KINDS), "ib": (KINDS, KINDS)}
+    """Weights in one array; e has a row for each kind of neighbour and one for none."""
 
-    def __init__(self, flat: np.ndarray | None = None) -> None:
-        size = sum(int(np.prod(s)) for s in self.SHAPES.values())
-        if flat is None:
+    def __init__(self, rows: int, flat: np.ndarray | None = None) -> None:
+        self.rows = rows
+        shapes = {"w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "g": (HIDDEN, KINDS), "gb": (KINDS,), "i": (KINDS, HIDDEN, KINDS), "ib": (KINDS, KINDS), "e": (rows + 1, WIDTH)}
+        sizes = [int(np.prod(s)) for s in shapes.values()]
+        self.dense = sum(sizes[:-1])
+        fresh = flat is None
+        self.flat = np.zeros(sum(sizes), np.float32) if fresh else flat
+        if len(self.flat) != sum(sizes):
+            raise ValueError("the weights are not those of this vocabulary")
+        for name, shape, part in zip(shapes, shapes.values(), np.split(self.flat, np.cumsum(sizes)[:-1]), strict=True):
+            setattr(self, name, part.reshape(shape))
+        if fresh:
             rng = np.random.default_rng(5)
-            flat = np.zeros(size, np.float32)
-            self._view(flat)
             self.e[:] = rng.normal(0, 0.3, self.e.shape)
             self.w[:] = rng.normal(0, (2 * SIDE * WIDTH) ** -0.5, self.w.shape)
             self.g[:] = rng.normal(0, 0.1, self.g.shape)
             self.i[:] = rng.normal(0, 0.1, self.i.shape)
-        else:
-            self._view(np.ascontiguousarray(flat, np.float32))
-
-    def _view(self, flat: np.ndarray) -> None:
-        self.flat, at = flat, 0
-        for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
-            setattr(self, name, flat[at : at + n].reshape(shape))
-            at += n
 
-    def hidden(self, around: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        x = self.e[around]
-        x = (x if more is None else x + more).reshape(len(around), -1)
-        return x, np.tanh(x @ self.w + self.b)
+    def run(self, around: np.ndarray, ids: np.ndarray, grads: Net | None = None) -> np.ndarray:
+        """Log-probability of each id, given the rows around it.
 
-    def log_probs(self, around: np.ndarray, ids: np.ndarray, grads: Net | None = None, more: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of each id; with grads, the gradient of the mean negative log-probability is put there.
-
-        more is added to the embeddings; grads.x is the gradient by them.
+        With grads, the gradient of the mean negative log-probability is put there, that of the embeddings as
+        grads.touched (rows) and grads.moves (their gradients).
         """
         n = len(ids)
-        x, h = self.hidden(around, more)
-        group, inner = ids // KINDS, ids % KINDS
-        z = h @ self.g + self.gb
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        s = p.sum(1)
-        rows = np.arange(n)
-        out = z[rows, group] - np.log(s)
-        by = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[by], np.arange(KINDS + 1))
+        by = np.argsort((ids // KINDS).astype(np.uint8), kind="stable")  # in order of groups, so that a group is a slice
+        around, ids = around[by], ids[by]
+        group, inner, at = ids // KINDS, ids % KINDS, np.arange(n)
+        cuts = np.searchsorted(group, np.arange(KINDS + 1))
+        live = [(k, slice(cuts[k], cuts[k + 1])) for k in range(KINDS) if cuts[k] < cuts[k + 1]]
+        x = self.e.take(around, axis=0, mode="clip").reshape(n, -1)
+        h = np.tanh(x @ self.w + self.b)
+        z, y = h @ self.g, self.ib[group]
+        z += self.gb
+        for k, s in live:
+            y[s] += h[s] @ self.i[k]
+        logs = np.zeros(n, self.flat.dtype)
+        for scores, pick in ((z, group), (y, inner)):
+            if max(scores.max(initial=0), -scores.min(initial=0)) > 60:  # else exponentials and their sums stay in range
+                scores -= scores.max(1, keepdims=True)
+            logs += scores[at, pick]
+            np.exp(scores, out=scores)
+            total = scores.sum(1)
+            logs -= np.log(total)
+            if grads is not None:
+                scores /= (total * n)[:, None]
+                scores[at, pick] -= scores.dtype.type(1 / n)
         if grads is not None:
-            p /= s[:, None]
-            p[rows, group] -= 1
-            p /= n
-            grads.g[:] = h.T @ p
-            grads.gb[:] = p.sum(0)
-            dh = p @ self.g.T
+            grads.g[:] = h.T @ z
+            grads.gb[:] = z.sum(0)
+            dh = z @ self.g.T
             grads.i[:] = 0
             grads.ib[:] = 0
-        for k in range(KINDS):
-            r = by[cuts[k] : cuts[k + 1]]
-            if not len(r):
-                continue
-            hk = h[r]
-            y = hk @ self.i[k] + self.ib[k]
-            y -= y.max(1, keepdims=True)
-            q = np.exp(y)
-            t = q.sum(1)
-            at = np.arange(len(r))
-            out[r] += y[at, inner[r]] - np.log(t)
-            if grads is not None:
-                q /= t[:, None]
-                q[at, inner[r]] -= 1
-                q /= n
-                grads.i[k] = hk.T @ q
-                grads.ib[k] = q.sum(0)
-                dh[r] += q @ self.i[k].T
-        if grads is not None:
-            d = dh * (1 - h * h)
-            grads.w[:] = x.T @ d
-            grads.b[:] = d.sum(0)
-            dx = grads.x = (d @ self.w.T).reshape(-1, WIDTH)
+            for k, s in live:
+                grads.i[k] = h[s].T @ y[s]
+                grads.ib[k] = y[s].sum(0)
+                dh[s] += y[s] @ self.i[k].T
+            dh *= 1 - h * h
+            grads.w[:] = x.T @ dh
+            grads.b[:] = dh.sum(0)
+            dx = (dh @ self.w.T).reshape(-1, WIDTH)
             flat = around.ravel()
-            for c in range(WIDTH):
-                grads.e[:, c] = np.bincount(flat, dx[:, c], IDS + 1)
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
+            grads.touched, grads.moves = flat[first], np.add.reduceat(dx[order], first, 0)
+        out = np.empty_like(logs)
+        out[by] = logs
         return out
 
 
-BASE = sum(int(np.prod(s)) for s in Net.SHAPES.values())
-
-
-class Tail:
-    """What tells the tokens of the classes apart: their rows of embeddings, the softmax inside a class, and bytes.
-
-    A class of m tokens has m + 1 places, the last for all rarer ones; place j is slot j // wide of the group j % wide.
-    """
-
-    def __init__(self, ids: Ids, flat: np.ndarray | None = None) -> None:
-        self.ids = ids
-        self.wide = wide = int(np.ceil(np.sqrt(ids.size.max() + 1)))
-        shapes = {"spelled": (END + 1, END + 1), "e": (2 * ids.more, WIDTH), "a": (RARE, HIDDEN + 1, wide), "s": (RARE * wide, HIDDEN + 1, wide)}
-        sizes = [int(np.prod(s)) for s in shapes.values()]
-        fresh = flat is None or not len(flat)
-        self.flat = np.zeros(sum(sizes), np.float32) if fresh else np.ascontiguousarray(flat, np.float32)
-        if len(self.flat) != sum(sizes):
-            raise ValueError("the weights are not those of this vocabulary")
-        for name, shape, part in zip(shapes, shapes.values(), np.split(self.flat, np.cumsum(sizes)[:-1]), strict=True):
-            setattr(self, name, part.reshape(shape))
-        kind = np.repeat(np.arange(RARE), ids.size + 1)
-        place = np.arange(len(kind)) - np.repeat(np.cumsum(ids.size + 1) - ids.size - 1, ids.size + 1)
-        self.used_s = np.zeros((RARE * wide, wide), bool)
-        self.used_s[kind * wide + place % wide, place // wide] = True
-        self.used_a = self.used_s.any(1).reshape(RARE, wide)
-        if fresh:  # counts fall about as the rank rises
-            self.s[:, -1] = -np.log1p(np.arange(wide))
-
-    def embedded(self, around: np.ndarray) -> np.ndarray | None:
-        if not self.ids.more:
-            return None
-        out = np.zeros((*around.shape, WIDTH), np.float32)
-        there = around < 2 * self.ids.more
-        out[there] = self.e[around[there]]
-        return out
-
-    def places(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, place) of tokens that have no id of their own."""
-        kind = ids - (IDS - RARE)
-        place = self.ids.size[kind]
-        told = rows < self.ids.more
-        place[told] = self.ids.place[rows[told]]
-        return kind, place
-
-    def log_probs(self, h: np.ndarray, kind: np.ndarray, place: np.ndarray, learn: Callable | None = None) -> np.ndarray:
-        """Log-probability of each place in its class, in a class of one place 0."""
-        out = np.zeros(len(kind))
-        if not self.ids.more:
-            return out
-        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
-        group, slot = place % self.wide, place // self.wide
-        for w, used, node, pick in ((self.a, self.used_a, kind, group), (self.s, self.used_s, kind * self.wide + group, slot)):
-            by = np.argsort(node, kind="stable")
-            cuts = np.flatnonzero(np.diff(node[by])) + 1
-            for r in np.split(by, cuts) if len(by) else ():
-                k = node[r[0]]
-                many = used[k].sum()
-                if many < 2:
-                    continue
-                for a in range(0, len(r), 128 if learn else len(r)):
-                    m = r[a : a + 128] if learn else r
-                    at = np.arange(len(m))
-                    y = h[m] @ w[k]
-                    y[:, ~used[k]] = -np.inf
-                    y -= y.max(1, keepdims=True)
-                    q = np.exp(y)
-                    t = q.sum(1)
-                    out[m] += y[at, pick[m]] - np.log(t)
-                    if learn:
-                        q /= t[:, None]
-                        q[at, pick[m]] -= 1
-                        learn(w, k, h[m].T @ (q / len(m)))
-        return out
-
-    @staticmethod
-    def pairs(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, pair) of the successive bytes of tokens, END before and after."""
-        of = np.repeat(np.arange(len(size)), size + 1)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-        here = np.full(len(of), END, np.int64)
-        inner = at < size[of]
-        here[inner] = _LOWER[text[first[of[inner]] + at[inner]]]
-        before = np.full(len(of), END, np.int64)
-        before[1:] = np.where(at[1:] > 0, here[:-1], END)
-        return of, before * (END + 1) + here
-
-    def spellings(self) -> np.ndarray:
-        """Log-probability of a byte after another; the rates of the counts lack at most one unseen pair's."""
-        seen = self.spelled.astype(float)
-        least = seen[seen > 0].min() if (seen > 0).any() else 1.0
-        seen = seen + least / (END + 1)
-        return np.log(seen / seen.sum(1, keepdims=True)).ravel()
-
-
 class Trainer:
-    """Adagrad over mini-batches; the batches grow after the first steps."""
+    """Adagrad over mini-batches; the batches grow after the first steps. Only touched embeddings move."""
 
-    def __init__(self, net: Net, rate: float = 0.08, tail: Tail | None = None) -> None:
-        self.net, self.grads, self.rate, self.tail = net, Net(np.zeros_like(net.flat)), rate, tail
-        self.seen = np.full_like(net.flat, 1e-6)
-        self.seen_e, self.seen_of = (None, {}) if tail is None else (np.full_like(tail.e, 1e-6), {id(w): np.full_like(w, 1e-6) for w in (tail.a, tail.s)})
-        self.pairs = np.zeros((END + 1) ** 2)
+    def __init__(self, net: Net, rate: float = 0.08) -> None:
+        self.net, self.grads, self.rate = net, Net(net.rows, np.zeros_like(net.flat)), rate
+        self.seen, self.seen_e = np.full(net.dense, 1e-6, net.flat.dtype), np.full_like(net.e, 1e-6)
         self.steps = self.tokens = 0
         self.rng = np.random.default_rng(9)
 
-    def learn(self, w: np.ndarray, k: int, g: np.ndarray) -> None:
-        seen = self.seen_of[id(w)][k]
-        seen += g * g
-        w[k] -= 3 * self.rate * g / np.sqrt(seen)
-
-    def learn_rows(self, around: np.ndarray) -> None:
-        flat = around.ravel()
-        there = np.flatnonzero(flat < len(self.tail.e))
-        if not len(there):
-            return
-        there = there[np.argsort(flat[there], kind="stable")]
-        rows = flat[there]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
-        g, rows = np.add.reduceat(self.grads.x[there], cuts, 0), rows[cuts]
-        seen = self.seen_e[rows] + g * g
-        self.seen_e[rows] = seen
-        self.tail.e[rows] -= self.rate * g / np.sqrt(seen)
-
-    def train_tail(self, text: np.ndarray, first: np.ndarray, size: np.ndarray, around: np.ndarray, rows_around: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        """The classes' own level, after the net has trained on the same tokens."""
-        rare = np.flatnonzero(ids >= IDS - RARE)
-        kind, place = self.tail.places(ids[rare], rows[rare])
-        for a in range(0, len(rare), 65536):
-            r = rare[a : a + 65536]
-            h = self.net.hidden(around[r], self.tail.embedded(rows_around[r]))[1]
-            self.tail.log_probs(h, kind[a : a + 65536], place[a : a + 65536], self.learn)
-        other = rare[place == self.tail.ids.size[kind]]
-        for a in range(0, len(other), 65536):
-            o = other[a : a + 65536]
-            self.pairs += np.bincount(Tail.pairs(text, first[o], size[o])[1], minlength=len(self.pairs))
-
-    def train(self, around: np.ndarray, ids: np.ndarray, rows_around: np.ndarray | None = None) -> None:
+    def train(self, around: np.ndarray, ids: np.ndarray) -> None:
         order = self.rng.permutation(len(ids))
-        at = 0
+        at, net, grads = 0, self.net, self.grads
         while at < len(order):
             n = 256 if self.steps < 200 else 1024 if self.steps < 600 else 4096
             r = order[at : at + n]
             at += n
-            self.net.log_probs(around[r], ids[r], self.grads, None if rows_around is None else self.tail.embedded(rows_around[r]))
-            g = self.grads.flat
+            net.run(around[r], ids[r], grads)
+            g = grads.flat[: net.dense]
             self.seen += g * g
-            self.net.flat -= self.rate * g / np.sqrt(self.seen)
-            if rows_around is not None:
-                self.learn_rows(rows_around[r])
+            net.flat[: net.dense] -= self.rate * g / np.sqrt(self.seen)
+            rows, g = grads.touched, grads.moves
+            seen = self.seen_e[rows] + g * g
+            self.seen_e[rows] = seen
+            net.e[rows] -= self.rate * g / np.sqrt(seen)
             self.steps += 1
         self.tokens += len(ids)
 
 
-def train(docs: DataFrame, top: np.ndarray, rounds: int = 1) -> np.ndarray:
-    """Weights averaged over all shards; every token of every document is trained on once in each round."""
-    texts = docs.select(F.col("text").cast("string"))
-    flat = np.concatenate([Net().flat, Tail(Ids(top)).flat])
-    # a shard reads several times the bytes it sends, so that the averages stay below the input's size
-    fewest = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, min(texts.rdd.getNumPartitions(), int(fewest // (2 * flat.nbytes))))
-    texts = texts.coalesce(shards)
-    for _ in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((top, flat))
+def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Weights averaged over the shards; every token of every document is trained on once."""
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h")).where("text is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark = docs.sparkSession
+    flat = Net(words.rows).flat
+    first = F.pmod(F.shiftrightunsigned("h", 32), F.lit(PORTION)) == 0
+    for mine, share in ((first, size / PORTION), (~first, size)):
+        shards = int(min(max(1, -(-share // SHARD_BYTES)), MOST_SHARDS))
+        sent = spark.sparkContext.broadcast((words, flat))
 
         def run(batches, sent=sent):
-            top, flat = sent.value
-            ids, powers = Ids(top), Powers()
-            tail = Tail(ids, flat[BASE:].copy())
-            trainer = Trainer(Net(flat[:BASE].copy()), tail=tail)
-            for b in batches:
-                for _, text, doc, h, first, size in blocks(b, 0, powers):
-                    if len(h):
-                        i, rows = ids.both(h)
-                        around, rows_around = windows(doc, i), windows(doc, rows, 2 * ids.more) if ids.more else None
-                        trainer.train(around, i, rows_around)
-                        trainer.train_tail(text, first, size, around, around if rows_around is None else rows_around, i, rows)
-            if trainer.tokens:
-                tail.spelled.ravel()[:] = trainer.pairs / trainer.tokens
-                w = np.concatenate([trainer.net.flat, tail.flat])
+            words, flat = sent.value
+            powers, shard, trainer = Powers(), None, None
+
+            def done():
+                w = trainer.net.flat
                 part = [w[a : a + CHUNK] for a in range(0, len(w), CHUNK)]
-                n, shard = len(part), TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(n), pa.int32()), pa.array([shard] * n, pa.int32()), pa.array([float(trainer.tokens)] * n), pa.array([p.astype("<f4").tobytes() for p in part], pa.binary())],
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(part)), pa.int32()), pa.array([shard] * len(part), pa.int32()), pa.array([float(trainer.tokens)] * len(part)), pa.array([p.astype("<f4").tobytes() for p in part], pa.binary())],
                     ["chunk", "shard", "tokens", "means"],
                 )
 
+            for b in batches:
+                of = b.column(1).to_numpy()
+                edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]) if len(of) else [0]
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    if of[x] != shard:
+                        if trainer is not None and trainer.tokens:
+                            yield done()
+                        shard, trainer = int(of[x]), Trainer(Net(words.rows, flat.copy()))
+                    for _, doc, h in blocks(b.slice(x, y - x), 0, powers):
+                        if len(h):
+                            ids, rows, _ = words.ids(h)
+                            trainer.train(windows(doc, rows, words.rows), ids)
+            if trainer is not None and trainer.tokens:
+                yield done()
+
         def add(group):
+            group = group.sort_by("shard")
             n = group.column("tokens").to_pylist()
-            means = sum(np.frombuffer(x, "<f4") * (k / sum(n)) for x, k in zip(group.column("means").to_pylist(), n, strict=True))
+            means = sum(np.frombuffer(x, "<f4").astype(float) * (k / sum(n)) for x, k in zip(group.column("means").to_pylist(), n, strict=True))
             return pa.table([group.column("chunk").slice(0, 1), group.column("shard").slice(0, 1), pa.array([sum(n)]), pa.array([means.astype("<f4").tobytes()], pa.binary())], ["chunk", "shard", "tokens", "means"])
 
         kind = "chunk int, shard int, tokens double, means binary"
-        parts = texts.mapInArrow(run, kind)
+        placed = texts.where(mine).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+        parts = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "text").select("text", "shard").mapInArrow(run, kind)
         for fan in [f for f in FAN if f < shards or f == 1]:
             parts = parts.withColumn("shard", F.pmod("shard", F.lit(fan))).groupBy("chunk", "shard").applyInArrow(add, kind)
         rows = sorted(parts.collect(), key=lambda r: r.chunk)  # as many as the network has chunks
@@ -428,46 +292,61 @@ def train(docs: DataFrame, top: np.ndarray, rounds: int = 1) -> np.ndarray:
     return flat
 
 
-def score(docs: DataFrame, top: np.ndarray, flat: np.ndarray, rows: int = 8192) -> DataFrame:
+class Model:
+    def __init__(self, counted: DataFrame, words: Vocabulary, flat: np.ndarray) -> None:
+        self.counted, self.words, self.flat = counted, words, flat
+
+
+def fit(docs: DataFrame) -> Model:
+    """Counts and weights of docs (doc_id, text, any other columns)."""
+    counted = count(docs)
+    words = vocabulary(counted)
+    return Model(counted, words, train(docs, words))
+
+
+def score(docs: DataFrame, model: Model, rows: int = 16384) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of each row of docs (doc_id, text).
 
     log_prob sums the natural logarithms over all tokens of the whole text; a null text, or one without tokens, has 0
-    tokens, log_prob 0 and no mean. Repeated rows give repeated results; other columns are ignored; an empty table
-    gives an empty table.
+    tokens, log_prob 0 and no mean. A token that the model never counted has the share of one occurrence. Repeated rows
+    give repeated results; other columns are ignored; an empty table gives an empty table.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((top, flat))
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.flat))
 
     def run(batches):
-        top, flat = sent.value
-        ids, net, powers = Ids(top), Net(flat[:BASE]), Powers()
-        tail = Tail(ids, flat[BASE:])
-        spelled = tail.spellings()
+        words, flat = sent.value
+        net, powers = Net(words.rows, flat), Powers()
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for at, text, doc, h, first, size in blocks(b, 1, powers):
+            rare: list = [np.zeros(0, np.int64)] * b.num_rows
+            for at, doc, h in blocks(b, 1, powers):
                 m = at.stop - at.start
-                if len(h):
-                    i, own = ids.both(h)
-                    around, own_around = windows(doc, i), windows(doc, own, 2 * ids.more)
-                    lp = np.concatenate([net.log_probs(around[a : a + rows], i[a : a + rows], None, tail.embedded(own_around[a : a + rows])) for a in range(0, len(i), rows)]).astype(float)
-                    rare = np.flatnonzero(i >= IDS - RARE)
-                    kind, place = tail.places(i[rare], own[rare])
-                    for a in range(0, len(rare), 65536):
-                        r = rare[a : a + 65536]
-                        lp[r] += tail.log_probs(net.hidden(around[r], tail.embedded(own_around[r]))[1], kind[a : a + 65536], place[a : a + 65536])
-                    other = rare[place == ids.size[kind]]
-                    for a in range(0, len(other), 65536):
-                        o = other[a : a + 65536]
-                        of, pair = Tail.pairs(text, first[o], size[o])
-                        lp[o] += np.bincount(of, spelled[pair], len(o))
-                    n[at], total[at] = np.bincount(doc, minlength=m), np.bincount(doc, lp, m)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+                if not len(h):
+                    continue
+                ids, own, rank = words.ids(h)
+                around = windows(doc, own, words.rows)
+                lp = np.concatenate([net.run(around[a : a + rows], ids[a : a + rows]) for a in range(0, len(ids), rows)]).astype(float)
+                classed = ids >= OWN
+                lp[classed] -= words.log_sums[ids[classed] - OWN]
+                cached = classed & (rank >= 0)
+                lp[cached] += np.log(words.n[rank[cached]])
+                n[at], total[at] = np.bincount(doc, minlength=m), np.bincount(doc, lp, m)
+                other = np.flatnonzero(rank < 0)
+                cuts = np.searchsorted(doc[other], np.arange(m + 1))
+                left = h[other].view(np.int64)
+                rare[at] = [left[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int32()), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), lists], ["doc_id", "n_tokens", "part", "rare"])
+
+    parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, part double, rare array<long>")
+    parts = cut(parts).withColumn("row", F.monotonically_increasing_id())  # over files that are written, so the same in every attempt
+    logs = F.round(F.log(F.coalesce("n", F.lit(1)).cast("double")) * LOG_UNIT).cast("long")
+    more = parts.select("row", F.explode("rare").alias("token")).join(model.counted, "token", "left").groupBy("row").agg(F.sum(logs).alias("more"))
+    whole = F.col("part") + F.coalesce(F.col("more") / LOG_UNIT, F.lit(0.0))
+    out = parts.select("row", "doc_id", "n_tokens", "part").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_prob"))
+    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def op2_lmscore(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    top = vocabulary(docs)
-    return score(docs, top, train(docs, top))
+    return score(docs, fit(docs))
