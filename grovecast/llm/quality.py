@@ -1,25 +1,29 @@
 """Quality classifier by co-training of a text view and a page view.
 
 The text view sees hashed tokens (and their first bytes) of the whole text; the page view sees size, layout, language
-and source. Two logistic models are fitted on labelled documents; over a few rounds each adds to the other's training
-set the unlabelled documents it is most sure of. Each view is calibrated on labelled documents that neither was fitted
-on, a combination of both calibrated views is fitted there as well, and all documents are scored in one pass. The same
-is done for each label column; a document is kept if it is likely good and not likely toxic.
-
-Only fitting is bounded: LABELLED labelled and POOL unlabelled documents, those with the least hashes of their ids.
+and source, but no token. Two logistic models are fitted on labelled documents. In each round both score all unlabelled documents of the table, and each adds to the other's
+training set GROW documents a class, by the least hashes of id and text among all that it is sure of. One part of the
+labelled documents fits the views, a second calibrates each, a third fits the combination of the calibrated views; then
+all documents are scored in one pass. The same is done for each label column; a document is kept if it is likely good and
+not likely toxic.
+
+The features of the texts are kept for the rounds in a written table, so texts are read once by fitting and once by
+scoring. Only the labelled documents of fitting are bounded: LABELLED, those with the least hashes of their ids.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_buffers
+from .common import cut, table, text_buffers
 from .suffixdedup import Powers, prefix_sums, rolled
 
-LABELLED, POOL = 12000, 2000
+LABELLED = 12000
 BITS = 15
 ROUNDS, GROW = 3, 400
 BLOCK = 2 << 20
@@ -30,6 +34,8 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SCALE = 3.0
+SURE = 0.95
+SIZE = 1 << BITS  # features of the text view
 
 
 def _sums(flags: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -102,27 +108,36 @@ def look(t: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.ndarray,
     )
     key, count = np.unique(np.concatenate([doc, doc]).astype(np.int64) << BITS | feature, return_counts=True)
     of = key >> BITS
-    return of, (key & ((1 << BITS) - 1)).astype(np.int32), np.sqrt(count / tokens[of]).astype(np.float32) * SCALE, page
+    return of, (key & ((1 << BITS) - 1)).astype(np.int32), (np.sqrt(count / tokens[of]) * SCALE).astype(np.float32), page
 
 
 def _named(values: list, buckets: int) -> np.ndarray:
-    import zlib
+    known = {v: zlib.crc32(str(v).encode()) % buckets for v in set(values)}
+    return np.array([known[v] for v in values], np.int64)
+
+
+LANGS, SOURCES = 16, 64
 
-    return np.array([zlib.crc32(str(v).encode()) % buckets for v in values], np.int64)
+
+def described(page: np.ndarray, lang: list, source: list) -> np.ndarray:
+    """The layout numbers with the hashes of language and source."""
+    return np.concatenate([page, _named(lang, LANGS)[:, None], _named(source, SOURCES)[:, None]], axis=1)
 
 
 class Pages:
-    """The page view's matrix: quantile bins of the layout numbers, language and source by hash."""
+    """The page view's matrix: layout numbers and their quantile bins over the rows of fitting, language and source by hash."""
 
-    def __init__(self, page: np.ndarray, bins: int = 8) -> None:
+    def __init__(self, rows: np.ndarray, bins: int = 8) -> None:
+        page = rows[:, :-2]
         self.edges = [np.unique(np.quantile(page[:, c], np.linspace(0, 1, bins + 1)[1:-1])) for c in range(page.shape[1])]
         self.mean, self.dev = page.mean(0), page.std(0) + 1e-6
 
-    def matrix(self, page: np.ndarray, lang: np.ndarray, source: np.ndarray) -> np.ndarray:
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        page = rows[:, :-2]
         z = np.clip((page - self.mean) / self.dev, -5, 5)
         parts = [z, z * z / 5]
         parts += [np.eye(len(e) + 1)[np.searchsorted(e, page[:, c], "right")] for c, e in enumerate(self.edges)]
-        parts += [np.eye(16)[lang], np.eye(64)[source]]
+        parts += [np.eye(LANGS)[rows[:, -2].astype(int)], np.eye(SOURCES)[rows[:, -1].astype(int)]]
         return np.concatenate(parts, axis=1)
 
 
@@ -161,7 +176,7 @@ class Sparse:
     def fit(self, y: np.ndarray, weight: np.ndarray, ridge: float, epochs: int, start: np.ndarray | None) -> np.ndarray:
         """Logistic weights and a last bias, by Adam over the blocks; blocks without weight are passed over."""
         self.close()
-        w = np.zeros((1 << BITS) + 1) if start is None else start.copy()
+        w = np.zeros(SIZE + 1) if start is None else start.copy()
         m, v, k = np.zeros_like(w), np.zeros_like(w), 0
         mean = weight.sum() / max(1, (weight > 0).sum())
         for epoch in range(epochs):
@@ -175,7 +190,7 @@ class Sparse:
                 row = np.repeat(np.arange(len(size)), size)
                 z = np.bincount(row, w[col] * val, len(size)) + w[-1]
                 e = (sigmoid(z) - y[rows]) * live / (mean * len(size))
-                g = np.append(np.bincount(col, e[row] * val, 1 << BITS) + ridge * w[:-1], e.sum())
+                g = np.append(np.bincount(col, e[row] * val, SIZE) + ridge * w[:-1], e.sum())
                 k += 1
                 m = 0.9 * m + 0.1 * g
                 v = 0.99 * v + 0.01 * g * g
@@ -214,63 +229,78 @@ def balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0.5, 0.5 / p, 0.5 / (1 - p))
 
 
+VIEWS = ("text", "page")
+
+
 class Head:
     """Both views' models of one label, their calibration and their combination."""
 
-    def __init__(self, text, page, y: np.ndarray, fit: np.ndarray) -> None:
-        """text and page: (labelled, pool) rows in one; y: NaN where unlabelled; fit: rows that may be fitted on."""
+    def __init__(self, y: np.ndarray, part: np.ndarray) -> None:
+        """y: the labels of the labelled rows, NaN where this one is missing; part: 0 fits, 1 calibrates, 2 combines."""
+        self.y, self.part = y, part
         known = ~np.isnan(y)
-        train, held = known & fit, known & ~fit
-        if len(set(y[train])) < 2 or len(set(y[held])) < 2:
-            # one class only, or no labels: a constant
+        self.constant = any(len(set(y[known & (part == k)])) < 2 for k in range(3))
+        if self.constant:  # one class only, or too few labels
             p = float(np.clip(np.nanmean(y), 0.02, 0.98)) if known.any() else 0.5
-            self.text = self.page = None
             self.mix = np.array([0.0, 0.0, np.log(p / (1 - p))])
+        self.told = {v: {} for v in VIEWS}  # pseudo-labels by row, for each view
+        self.w: dict[str, np.ndarray | None] = dict.fromkeys(VIEWS)
+
+    def fit(self, xs: dict, rows: int) -> None:
+        """Both views, on the labelled rows of part 0 and on the rows that the other view has labelled."""
+        if self.constant:
             return
-        extra = {"text": np.full(len(y), np.nan), "page": np.full(len(y), np.nan)}
-        pool = np.flatnonzero(~known)
-        w: dict = {"text": None, "page": None}
-        xs = {"text": (text, 1 << BITS, 3e-6), "page": (page, page.x.shape[1], 1e-3)}
-        for r in range(ROUNDS + 1):
-            said = {}
-            for name, (x, size, ridge) in xs.items():
-                target = np.where(train, y, extra[name])
-                use = ~np.isnan(target)
-                weight = np.zeros(len(y))
-                weight[use] = balanced(target[use]) * np.where(train[use], 1.0, 0.3)
-                if name == "text":
-                    w[name] = x.fit(np.nan_to_num(target), weight, ridge, 16 if r == 0 else 6, w[name])
-                else:
-                    w[name] = logistic(x, np.nan_to_num(target), weight, size, ridge, 150 if r == 0 else 60, w[name])
-                said[name] = sigmoid(x.dot(w[name][:-1]) + w[name][-1])
-            if r == ROUNDS:
-                break
-            for name, other in (("text", "page"), ("page", "text")):
-                p = said[other][pool]
-                free = np.isnan(extra[name][pool])
-                for sure, value in ((p > 0.95, 1.0), (p < 0.05, 0.0)):
-                    pick = np.flatnonzero(free & sure)
-                    pick = pick[np.argsort(-np.abs(p[pick] - 0.5), kind="stable")][:GROW]
-                    extra[name][pool[pick]] = value
-        self.text, self.page = w["text"], w["page"]
-        z = np.stack([text.dot(self.text[:-1]) + self.text[-1], page.dot(self.page[:-1]) + self.page[-1]], axis=1)[held]
-        yh = y[held]
-        calm = 0.3 / len(yh)  # few labels must not make a view too sure
-        self.scale = []
-        for c in range(2):  # Platt's calibration of each view
-            self.scale.append(logistic(Dense(z[:, [c]] / 5), yh, np.ones(len(yh)), 1, calm, 300))
-        both = np.stack([z[:, c] / 5 * self.scale[c][0] + self.scale[c][1] for c in range(2)], axis=1)
-        self.mix = logistic(Dense(np.clip(both, -12, 12)), yh, np.ones(len(yh)), 2, calm, 300)
-
-    def scores(self, text_sum: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.y)
+        train = ~np.isnan(self.y) & (self.part == 0)
+        for name in VIEWS:
+            target = np.full(rows, np.nan)
+            target[:n][train] = self.y[train]
+            for row, value in self.told[name].items():
+                target[row] = value
+            use = ~np.isnan(target)
+            weight = np.zeros(rows)
+            weight[use] = balanced(target[use]) * np.where(np.flatnonzero(use) < n, 1.0, 0.3)
+            first = self.w[name] is None
+            batches = -(-rows // Sparse.PART)
+            if name == "text":
+                self.w[name] = xs[name].fit(np.nan_to_num(target), weight, 3e-6, max(16, 800 // batches) if first else max(6, 200 // batches), self.w[name])
+            else:
+                self.w[name] = logistic(xs[name], np.nan_to_num(target), weight, xs[name].x.shape[1], 1e-3, 150 if first else 60, self.w[name])
+
+    def raw(self, xs: dict, rows: int) -> np.ndarray:
+        return np.stack([xs[v].dot(self.w[v][:-1])[:rows] + self.w[v][-1] for v in VIEWS], axis=1)
+
+    def settle(self, xs: dict) -> None:
+        """Platt's calibration of each view on part 1, the combination on part 2."""
+        if self.constant:
+            return
+        n = len(self.y)
+        z = self.raw(xs, n)
+        known = ~np.isnan(self.y)
+        first, second = known & (self.part == 1), known & (self.part == 2)
+        calm = 0.3 / first.sum()  # few labels must not make a view too sure
+        self.scale = [logistic(Dense(z[first][:, [c]] / 5), self.y[first], np.ones(first.sum()), 1, calm, 300) for c in range(2)]
+        both = self.calibrated(z[second])
+        self.mix = logistic(Dense(both), self.y[second], np.ones(len(both)), 2, 0.3 / len(both), 300)
+        del self.y, self.part, self.told
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return np.stack([np.clip(z[:, c] / 5 * self.scale[c][0] + self.scale[c][1], -12, 12) for c in range(2)], axis=1)
+
+    def scores(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text view, page view, combined) probabilities."""
-        if self.text is None:
-            p = np.full(len(page), sigmoid(self.mix[-1]))
+        if self.constant:
+            p = np.full(len(z), sigmoid(self.mix[-1]))
             return p, p, p
-        z = [text_sum + self.text[-1], page @ self.page[:-1] + self.page[-1]]
-        both = np.stack([np.clip(z[c] / 5 * self.scale[c][0] + self.scale[c][1], -12, 12) for c in range(2)], axis=1)
+        both = self.calibrated(z)
         return sigmoid(both[:, 0]), sigmoid(both[:, 1]), sigmoid(both @ self.mix[:-1] + self.mix[-1])
 
+    def sums(self, doc: np.ndarray, col: np.ndarray, val: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """Both views' sums of documents given by their tokens and the rows of the page view's matrix."""
+        if self.constant:
+            return np.zeros((len(page), 2))
+        return np.stack([np.bincount(doc, self.w["text"][col] * val, len(page)) + self.w["text"][-1], page @ self.w["page"][:-1] + self.w["page"][-1]], axis=1)
+
 
 def batches_of(b: pa.RecordBatch, at: int, powers: Powers):
     """(row slice, documents, features, weights, layout numbers) in blocks of bounded size."""
@@ -287,28 +317,60 @@ def batches_of(b: pa.RecordBatch, at: int, powers: Powers):
         row = end
 
 
-def _example(docs: DataFrame) -> tuple[Sparse, list]:
-    """Features of a bounded number of documents, at the driver."""
+FEATURES = "key long, doc_id long, quality double, toxic double, col binary, val binary, page array<double>"
+_META = ("lang", "source")
+
+
+def _meta(docs: DataFrame) -> list:
+    """Language and source; null where docs have no such column."""
+    return [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in _META]
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """FEATURES of (doc_id, text, lang, source, quality, toxic); key is a hash of id and text."""
 
     def run(batches):
         powers = Powers()
         for b in batches:
-            for rows, doc, col, val, page in batches_of(b, 1, powers):
+            lang, source = (b.column(c).to_pylist() for c in (3, 4))
+            for rows, doc, col, val, page in batches_of(b, 2, powers):
+                page = described(page, lang[rows], source[rows])
                 n = rows.stop - rows.start
                 cuts = np.searchsorted(doc, np.arange(n + 1))
+                col, val = col.astype("<u2"), val.astype("<f2")
                 pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(rows.start, n), b.column(2).slice(rows.start, n), b.column(3).slice(rows.start, n), b.column(4).slice(rows.start, n), b.column(5).slice(rows.start, n),
-                     pa.array([col[x:y].astype("<u2").tobytes() for x, y in pieces], pa.binary()), pa.array([val[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array(list(page), pa.list_(pa.float64()))],
-                    ["doc_id", "lang", "source", "quality", "toxic", "col", "val", "page"],
+                    [*(b.column(c).slice(rows.start, n) for c in (0, 1, 5, 6)), pa.array([col[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array([val[x:y].tobytes() for x, y in pieces], pa.binary()), pa.array(list(page), pa.list_(pa.float64()))],
+                    ["key", "doc_id", "quality", "toxic", "col", "val", "page"],
                 )
 
-    kind = "doc_id long, lang string, source string, quality double, toxic double, col binary, val binary, page array<double>"
-    text, rows = Sparse(), []
-    for r in docs.mapInArrow(run, kind).orderBy("doc_id").toLocalIterator():
-        text.add(np.frombuffer(r.col, "<u2"), np.frombuffer(r.val, "<f4"))
-        rows.append((r.doc_id, r.lang, r.source, {"quality": r.quality, "toxic": r.toxic}, r.page))
-    return text, rows
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", *_META, "quality", "toxic").mapInArrow(run, FEATURES)
+
+
+def sure_rows(kept: DataFrame, pages: Pages, heads: list[Head]) -> DataFrame:
+    """(key, doc_id, sure): of all rows of features, those that a view is sure of; bit 4 * head + 2 * view + class."""
+    sent = kept.sparkSession.sparkContext.broadcast((pages, heads))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.frombuffer(x, "<u2") for x in b.column(2).to_pylist()]
+            vals = np.concatenate([np.frombuffer(x, "<f2") for x in b.column(3).to_pylist()]).astype(np.float32)
+            doc = np.repeat(np.arange(b.num_rows), [len(x) for x in cols])
+            pages, heads = sent.value
+            col, page = np.concatenate(cols), pages.matrix(np.array(b.column(4).to_pylist()))
+            bits = np.zeros(b.num_rows, np.int32)
+            for k, head in enumerate(heads):
+                if head.constant:
+                    continue
+                p = sigmoid(head.sums(doc, col, vals, page))
+                for v in range(2):
+                    bits |= (p[:, v] < 1 - SURE).astype(np.int32) << 4 * k + 2 * v | (p[:, v] > SURE).astype(np.int32) << 4 * k + 2 * v + 1
+            some = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), b.column(1).take(pa.array(some)), pa.array(bits[some])], ["key", "doc_id", "sure"])
+
+    return kept.select("key", "doc_id", "col", "val", "page").mapInArrow(run, "key long, doc_id long, sure int")
 
 
 class Model:
@@ -316,28 +378,61 @@ class Model:
         self.pages, self.heads = pages, heads
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
+def _read(rows: DataFrame, text: Sparse, page: list) -> list:
+    """Adds feature rows to the driver's views; a bounded number."""
+    out = []
+    for r in rows.orderBy("doc_id", "key").toLocalIterator():
+        text.add(np.frombuffer(r.col, "<u2").astype(np.int32), np.frombuffer(r.val, "<f2").astype(np.float32))
+        page.append(list(r.page))
+        out.append(r)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, grow: int = GROW) -> Model:
     """Fit on documents (doc_id, text, lang, source) and labels (doc_id, quality, toxic); nulls in labels are unlabelled."""
     told = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("doc_id is not null")
     told = told.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null or toxic is not null")
     ids = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    order = F.xxhash64(F.lit(11), "doc_id")
-    yes = ids.join(told, "doc_id").orderBy(order).limit(labelled)
-    no = ids.join(told, "doc_id", "left_anti").orderBy(order).limit(pool).select("doc_id", F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("toxic"))
-    some = yes.unionByName(no)
-    named = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string").alias(c)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), named("lang"), named("source"))
-    text, rows = _example(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", "quality", "toxic"))
-    if not rows:
+    yes = ids.join(told, "doc_id").orderBy(F.xxhash64(F.lit(11), "doc_id")).limit(labelled)
+    none = [F.lit(None).cast("double").alias(c) for c in ("quality", "toxic")]
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_meta(docs))
+    text, page = Sparse(), []
+    known = _read(features(texts.join(F.broadcast(yes), "doc_id")), text, page)
+    if not known:
         return Model(None, {})
-    page = np.array([r[4] for r in rows])
-    pages = Pages(page)
-    matrix = Dense(pages.matrix(page, _named([r[1] for r in rows], 16), _named([r[2] for r in rows], 64)))
-    fit_on = np.array([(r[0] * 2654435761 >> 7) % 3 != 0 for r in rows])
-    heads = {}
-    for name in ("quality", "toxic"):
-        y = np.array([np.nan if r[3][name] is None else float(r[3][name] > 0) for r in rows])
-        heads[name] = Head(text, matrix, y, fit_on)
+    part = np.array([(0, 0, 0, 0, 1, 2)[(r.doc_id * 2654435761 >> 7) % 6] for r in known])
+    pages = Pages(np.array(page))
+    heads = {name: Head(np.array([np.nan if r[name] is None else float(r[name] > 0) for r in known]), part) for name in ("quality", "toxic")}
+    at = {}  # rows of the views by key, of unlabelled documents
+    kept = None
+    for r in range(rounds + 1):
+        xs = {"text": text, "page": Dense(pages.matrix(np.array(page)))}
+        for head in heads.values():
+            head.fit(xs, len(page))
+        live = [h for h in heads.values() if not h.constant]
+        if r == rounds or not live:
+            break
+        if kept is None:
+            kept = cut(features(texts.where("doc_id is not null").select("*", *none)))
+        # only ids travel here; rows that have a label are none to be guessed
+        sure = cut(sure_rows(kept, pages, live).join(told.select("doc_id"), "doc_id", "left_anti"))
+        picks = {}
+        for k, head in enumerate(live):
+            for v, other in ((0, "page"), (1, "text")):
+                had = [key for key, row in at.items() if row in head.told[other]]
+                for value in (0, 1):
+                    bit = 1 << 4 * k + 2 * v + value
+                    best = sure.where(F.col("sure").bitwiseAND(F.lit(bit)) > 0).select("key").distinct().orderBy(F.xxhash64(F.lit(5), "key"), "key").limit(grow + len(had))
+                    for key in [x.key for x in best.collect() if x.key not in set(had)][:grow]:
+                        picks.setdefault(key, []).append((head, other, float(value)))
+        new = kept.sparkSession.createDataFrame([(key,) for key in picks if key not in at], "key long")
+        for row in _read(kept.join(F.broadcast(new), "key").dropDuplicates(["key"]), text, page) if picks else ():
+            at[row.key] = len(known) + len(at)
+        for key, said in picks.items():
+            for head, other, value in said:
+                head.told[other].setdefault(at[key], value)
+    for head in heads.values():
+        head.settle(xs)
     return Model(pages, heads)
 
 
@@ -347,16 +442,13 @@ SCORES = "score double, text_score double, page_score double, toxic_score double
 def judged(b: pa.RecordBatch, at: dict[str, int], model: Model, powers: Powers, least: float, most_toxic: float) -> list[np.ndarray]:
     n = b.num_rows
     out = [np.full(n, 0.5), np.full(n, 0.5), np.full(n, 0.5), np.zeros(n), np.ones(n, bool)]
-    if model.pages is None:
+    if not model.heads:
         return out
-    lang = _named(b.column(at["lang"]).to_pylist() if "lang" in at else [None] * n, 16)
-    source = _named(b.column(at["source"]).to_pylist() if "source" in at else [None] * n, 64)
-    for rows, doc, feature, weight, page in batches_of(b, at["text"], powers):
-        m = rows.stop - rows.start
-        x = model.pages.matrix(page, lang[rows], source[rows])
+    lang, source = (b.column(at[c]).to_pylist() if c in at else [None] * n for c in _META)
+    for rows, doc, col, val, page in batches_of(b, at["text"], powers):
+        matrix = model.pages.matrix(described(page, lang[rows], source[rows]))
         for name, head in model.heads.items():
-            s = np.bincount(doc, head.text[feature] * weight, m) if head.text is not None else np.zeros(m)
-            t, p, both = head.scores(s, x)
+            t, p, both = head.scores(head.sums(doc, col, val, matrix))
             if name == "quality":
                 out[0][rows], out[1][rows], out[2][rows] = both, t, p
             else:
@@ -372,7 +464,6 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, most_toxic: float =
     give repeated results, other columns are ignored, an empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    named = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string").alias(c)
 
     def run(batches):
         powers = Powers()
@@ -380,13 +471,13 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, most_toxic: float =
             cols = judged(b, {"text": 1, "lang": 2, "source": 3}, sent.value, powers, least, most_toxic)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", "score", "text_score", "page_score", "toxic_score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), named("lang"), named("source")).mapInArrow(run, "doc_id long, " + SCORES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_meta(docs)).mapInArrow(run, "doc_id long, " + SCORES)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that the model does not reject."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = {c: docs.columns.index(c) for c in ("text", "lang", "source") if c in docs.columns}
+    at = {c: docs.columns.index(c) for c in ("text", *_META) if c in docs.columns}
 
     def run(batches):
         powers = Powers()

@@ -30,6 +30,47 @@ def test_held_out_accuracy(spark):
     assert np.mean(clean) > 0.93
 
 
+def plain(doc, head, pages):
+    """Both views' sums of one document, by loops over its features."""
+    t = np.frombuffer((doc.text or "").encode(), np.uint8)
+    _, col, val, page = quality.look(t, np.array([0, len(t)]), Powers())
+    text = sum(head.w["text"][c] * float(np.float32(np.float16(v))) for c, v in zip(col, val)) + head.w["text"][-1]
+    x = pages.matrix(quality.described(page, [doc.lang], [doc.source]))[0]
+    page = sum(a * b for a, b in zip(x, head.w["page"])) + head.w["page"][-1]
+    return 1 / (1 + np.exp(-np.array([text, page])))
+
+
+def test_rounds_against_brute_force(spark, sf_dir, monkeypatch):
+    """Every round takes, of all unlabelled documents, those with the least hashes among the ones a view is sure of."""
+    monkeypatch.setattr(quality, "SURE", 0.8)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.createDataFrame([(r.doc_id, k % 2, int(k % 3 == 0)) for k, r in enumerate(docs.orderBy("doc_id").limit(90).collect())], "doc_id long, quality int, toxic int")
+    seen = []
+    was = quality.Head.fit
+
+    def spy(self, xs, rows):
+        was(self, xs, rows)
+        if not self.constant:
+            seen.append((self, {v: dict(t) for v, t in self.told.items()}, {v: w.copy() for v, w in self.w.items()}))
+
+    monkeypatch.setattr(quality.Head, "fit", spy)
+    model = quality.fit(docs, labels, rounds=1, grow=7)
+    told = {r.doc_id for r in labels.collect()}
+    order = {r.doc_id: (r.o, r.key) for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) key").selectExpr("doc_id", "key", "xxhash64(5, key) o").collect()}
+    rows = [r for r in docs.collect() if r.doc_id not in told]
+    heads = list(dict.fromkeys(h for h, _, _ in seen))
+    assert heads and len(seen) == 2 * len(heads)
+    for head in heads:
+        (_, _, first), (_, given, _) = [x for x in seen if x[0] is head]
+        last, head.w = head.w, first
+        p = {r.doc_id: plain(r, head, model.pages) for r in rows}
+        head.w = last
+        for v, other in ((0, "page"), (1, "text")):
+            want = [min(7, sum((x[v] > 0.8) if c else (x[v] < 0.2) for x in p.values())) for c in (0, 1)]
+            assert [list(given[other].values()).count(c) for c in (0.0, 1.0)] == want
+    assert set(model.heads) == {"quality", "toxic"}
+
+
 def test_edges(spark):
     rows = [(1, None, None, "a", 1.0), (2, "", "en", None, 2.0), (3, "word " * 50000, "en", "a", 3.0), (3, "x", "en", "a", 3.0), (None, "y", "fr", "b", 4.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
