@@ -33,7 +33,7 @@ OWN = IDS - RARE
 CACHED = 1 << 17
 SIDE, WIDTH, HIDDEN = 2, 16, 24
 PORTION = 8
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 16
+SHARD_BYTES, MOST_SHARDS = 24 << 20, 1 << 16
 BLOCK = 2 << 20
 CHUNK = 8192
 FAN = (4096, 64, 1)
@@ -139,7 +139,7 @@ class Net:
     """Weights in one array; e has a row for each kind of neighbour and one for none."""
 
     def __init__(self, rows: int, flat: np.ndarray | None = None) -> None:
-        self.rows = rows
+        self.rows, self.rooms = rows, {}
         shapes = {"w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "g": (HIDDEN, KINDS), "gb": (KINDS,), "i": (KINDS, HIDDEN, KINDS), "ib": (KINDS, KINDS), "e": (rows + 1, WIDTH)}
         sizes = [int(np.prod(s)) for s in shapes.values()]
         self.dense = sum(sizes[:-1])
@@ -156,6 +156,13 @@ class Net:
             self.g[:] = rng.normal(0, 0.1, self.g.shape)
             self.i[:] = rng.normal(0, 0.1, self.i.shape)
 
+    def room(self, name: str, n: int, *shape: int) -> np.ndarray:
+        """Working space of a name, kept from call to call: fresh pages cost more than the arithmetic."""
+        had = self.rooms.get(name)
+        if had is None or len(had) < n:
+            had = self.rooms[name] = np.empty((n, *shape), self.flat.dtype)
+        return had[:n]
+
     def run(self, around: np.ndarray, ids: np.ndarray, grads: Net | None = None) -> np.ndarray:
         """Log-probability of each id, given the rows around it.
 
@@ -168,10 +175,13 @@ class Net:
         group, inner, at = ids // KINDS, ids % KINDS, np.arange(n)
         cuts = np.searchsorted(group, np.arange(KINDS + 1))
         live = [(k, slice(cuts[k], cuts[k + 1])) for k in range(KINDS) if cuts[k] < cuts[k + 1]]
-        x = self.e.take(around, axis=0, mode="clip").reshape(n, -1)
-        h = np.tanh(x @ self.w + self.b)
-        z, y = h @ self.g, self.ib[group]
+        x = self.e.take(around, axis=0, mode="clip", out=self.room("x", n, 2 * SIDE, WIDTH)).reshape(n, -1)
+        h = np.matmul(x, self.w, out=self.room("h", n, HIDDEN))
+        h += self.b
+        np.tanh(h, out=h)
+        z = np.matmul(h, self.g, out=self.room("z", n, KINDS))
         z += self.gb
+        y = self.ib.take(group, axis=0, mode="clip", out=self.room("y", n, KINDS))
         for k, s in live:
             y[s] += h[s] @ self.i[k]
         logs = np.zeros(n, self.flat.dtype)
@@ -183,39 +193,51 @@ class Net:
             total = scores.sum(1)
             logs -= np.log(total)
             if grads is not None:
-                scores /= (total * n)[:, None]
+                scores *= (1 / (total * n))[:, None]
                 scores[at, pick] -= scores.dtype.type(1 / n)
         if grads is not None:
             grads.g[:] = h.T @ z
             grads.gb[:] = z.sum(0)
-            dh = z @ self.g.T
+            dh = np.matmul(z, self.g.T, out=self.room("dh", n, HIDDEN))
             grads.i[:] = 0
             grads.ib[:] = 0
+            grads.ib[[k for k, _ in live]] = np.add.reduceat(y, [s.start for _, s in live], 0)
             for k, s in live:
                 grads.i[k] = h[s].T @ y[s]
-                grads.ib[k] = y[s].sum(0)
                 dh[s] += y[s] @ self.i[k].T
-            dh *= 1 - h * h
+            np.multiply(h, h, out=h)
+            np.subtract(1, h, out=h)
+            dh *= h
             grads.w[:] = x.T @ dh
             grads.b[:] = dh.sum(0)
-            dx = (dh @ self.w.T).reshape(-1, WIDTH)
+            dx = np.matmul(dh, self.w.T, out=self.room("dx", n, 2 * SIDE * WIDTH)).reshape(-1, WIDTH)
             flat = around.ravel()
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             first = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-            grads.touched, grads.moves = flat[first], np.add.reduceat(dx[order], first, 0)
+            sorted_ = dx.take(order, axis=0, mode="clip", out=self.room("sorted", len(order), WIDTH))
+            grads.touched, grads.moves = flat[first], np.add.reduceat(sorted_, first, 0)
         out = np.empty_like(logs)
         out[by] = logs
         return out
 
 
 class Trainer:
-    """Adagrad over mini-batches; the batches grow after the first steps. Only touched embeddings move."""
+    """Adagrad over mini-batches; without a state to go on from they grow after the first steps. Only touched embeddings move.
+
+    The state is the weights, then the sums of squared gradients.
+    """
 
-    def __init__(self, net: Net, rate: float = 0.08) -> None:
-        self.net, self.grads, self.rate = net, Net(net.rows, np.zeros_like(net.flat)), rate
-        self.seen, self.seen_e = np.full(net.dense, 1e-6, net.flat.dtype), np.full_like(net.e, 1e-6)
-        self.steps = self.tokens = 0
+    def __init__(self, rows: int, state: np.ndarray, rate: float = 0.08) -> None:
+        size = len(Net(rows).flat)
+        self.state, warm = np.full(2 * size, 1e-6, np.float32), len(state) > size
+        self.state[: len(state)] = state
+        net = self.net = Net(rows, self.state[:size])
+        self.grads, self.rate = Net(rows, np.zeros(size, np.float32)), rate
+        self.seen, self.seen_e = self.state[size : size + net.dense], self.state[size + net.dense :].reshape(net.e.shape)
+        self.steps, self.tokens = 400 if warm else 0, 0
+        if warm:
+            self.state[size:] *= 0.1
         self.rng = np.random.default_rng(9)
 
     def train(self, around: np.ndarray, ids: np.ndarray) -> None:
@@ -238,22 +260,27 @@ class Trainer:
 
 
 def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
-    """Weights averaged over the shards; every token of every document is trained on once."""
+    """Weights averaged over the shards; every token of every document is trained on once.
+
+    The second round goes on from the averages of the first one's weights and of its sums of squared gradients.
+    """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
-    flat = Net(words.rows).flat
+    state = Net(words.rows).flat
+    weights = len(state)
     first = F.pmod(F.shiftrightunsigned("h", 32), F.lit(PORTION)) == 0
     for mine, share in ((first, size / PORTION), (~first, size)):
         shards = int(min(max(1, -(-share // SHARD_BYTES)), MOST_SHARDS))
-        sent = spark.sparkContext.broadcast((words, flat))
+        sent = spark.sparkContext.broadcast((words, state))
+        keep = weights if mine is not first else 2 * weights
 
-        def run(batches, sent=sent):
-            words, flat = sent.value
+        def run(batches, sent=sent, keep=keep):
+            words, state = sent.value
             powers, shard, trainer = Powers(), None, None
 
             def done():
-                w = trainer.net.flat
+                w = trainer.state[:keep]
                 part = [w[a : a + CHUNK] for a in range(0, len(w), CHUNK)]
                 return pa.RecordBatch.from_arrays(
                     [pa.array(range(len(part)), pa.int32()), pa.array([shard] * len(part), pa.int32()), pa.array([float(trainer.tokens)] * len(part)), pa.array([p.astype("<f4").tobytes() for p in part], pa.binary())],
@@ -267,7 +294,7 @@ def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
                     if of[x] != shard:
                         if trainer is not None and trainer.tokens:
                             yield done()
-                        shard, trainer = int(of[x]), Trainer(Net(words.rows, flat.copy()))
+                        shard, trainer = int(of[x]), Trainer(words.rows, state)
                     for _, doc, h in blocks(b.slice(x, y - x), 0, powers):
                         if len(h):
                             ids, rows, _ = words.ids(h)
@@ -288,8 +315,8 @@ def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             parts = parts.withColumn("shard", F.pmod("shard", F.lit(fan))).groupBy("chunk", "shard").applyInArrow(add, kind)
         rows = sorted(parts.collect(), key=lambda r: r.chunk)  # as many as the network has chunks
         if rows:
-            flat = np.concatenate([np.frombuffer(r.means, "<f4") for r in rows]).astype(np.float32)
-    return flat
+            state = np.concatenate([np.frombuffer(r.means, "<f4") for r in rows]).astype(np.float32)
+    return state[:weights]
 
 
 class Model:
@@ -304,7 +331,7 @@ def fit(docs: DataFrame) -> Model:
     return Model(counted, words, train(docs, words))
 
 
-def score(docs: DataFrame, model: Model, rows: int = 16384) -> DataFrame:
+def score(docs: DataFrame, model: Model, rows: int = 4096) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of each row of docs (doc_id, text).
 
     log_prob sums the natural logarithms over all tokens of the whole text; a null text, or one without tokens, has 0
