@@ -227,6 +227,9 @@ def _runs(flags: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.nda
     return run[a], place[a], place[b] + 1
 
 
+#: buckets that travel together: a block's windows of all of them are compressed as one, so that the size of what is
+#: moved does not grow as the buckets become many and a block's share of each becomes small
+TOGETHER = 8
 BLOB = "bucket int, sure binary, meta binary, body binary"
 
 
@@ -311,19 +314,20 @@ def repeated_runs(docs: DataFrame, length: int = 100, block_bytes: int = 4 << 20
         bucket = (m[k] % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         k, bucket = k[by], bucket[by]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        crate = bucket // TOGETHER
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(crate)) + 1, [len(crate)]])
         packer = zstandard.ZstdCompressor(level=3)
         rows = []
         if len(sure):
             known = _pack(1, [ids[doc[sure]], marks[doc[sure]], place[sure], place[sure] + b[sure] - a[sure]])
-            rows.append((int(m[sure[0]] % np.uint64(buckets)), known, None, None))
+            rows.append((int(m[sure[0]] % np.uint64(buckets)) // TOGETHER, known, None, None))
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if x == y:
                 continue
             part = k[x:y]
             body = packer.compress(t[ranges(a[part], b[part] - a[part] + length - 1)].tobytes())
-            meta = _pack(1, [b[part] - a[part], ids[doc[part]], marks[doc[part]], place[part]])
-            rows.append((int(bucket[x]), None, meta, body))
+            meta = _pack(1, [b[part] - a[part], ids[doc[part]], marks[doc[part]], place[part], bucket[x:y]])
+            rows.append((int(crate[x]), None, meta, body))
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "sure", "meta", "body"])
 
@@ -335,24 +339,30 @@ def repeated_runs(docs: DataFrame, length: int = 100, block_bytes: int = 4 << 20
         packed = [[x[p:q].astype("<i8").tobytes() for p, q in zip(cuts[:-1], cuts[1:], strict=True)] for x in (first, last)]
         return pa.table([pa.array(ids[cuts[:-1]], pa.int64()), pa.array(marks[cuts[:-1]], pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "mark", "first", "last"])
 
-    def sort_bucket(group):
+    def sort_buckets(group):
         sure = [_unpack(x) for x in group.column("sure").to_pylist() if x is not None]
         metas = [_unpack(x) for x in group.column("meta").to_pylist() if x is not None]
         known = [np.concatenate(x) for x in zip(*sure, strict=True)] if sure else [np.zeros(0, np.int64)] * 4
         if not metas:
             return spans(*known)
-        count, ids, marks, place = (np.concatenate(x) for x in zip(*metas, strict=True))
+        count, ids, marks, place, bucket = (np.concatenate(x) for x in zip(*metas, strict=True))
         unzip = zstandard.ZstdDecompressor()
         t = np.frombuffer(b"".join(unzip.decompress(x) for x in group.column("body").to_pylist() if x is not None), np.uint8)
         first = np.concatenate([[0], np.cumsum(count + length - 1)[:-1]])
-        # rows that share a doc_id count as one document: neither removes the other's equal starts
-        dup = repeated(t, first, count, ids, place, length, Powers())
-        run = np.repeat(np.arange(len(count)), count)
-        r, a, b = _runs(dup, run, ranges(place, count))
-        return spans(*(np.concatenate(x) for x in zip(known, (ids[r], marks[r], a, b), strict=True)))
+        by = np.argsort(bucket, kind="stable")
+        powers, found = Powers(), [known]
+        for k in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+            size = count[k] + length - 1
+            text = t[ranges(first[k], size)]
+            # rows that share a doc_id count as one document: neither removes the other's equal starts
+            dup = repeated(text, np.concatenate([[0], np.cumsum(size)[:-1]]), count[k], ids[k], place[k], length, powers)
+            run = np.repeat(np.arange(len(k)), count[k])
+            r, a, b = _runs(dup, run, ranges(place[k], count[k]))
+            found.append([ids[k][r], marks[k][r], a, b])
+        return spans(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     pieces = plain.mapInArrow(cut_up, BLOB)
-    return pieces.groupBy("bucket").applyInArrow(sort_bucket, "doc_id long, mark long, first binary, last binary"), repeats
+    return pieces.groupBy("bucket").applyInArrow(sort_buckets, "doc_id long, mark long, first binary, last binary"), repeats
 
 
 def removed_ranges(first: list[bytes], last: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
