@@ -35,8 +35,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     options = Options(a.number_of_trees, a.sample_size, 1.0 / a.window_size if a.window_size else 0.0, a.random_seed)
     points = delimited.read_points(spark, a.input, a.delimiter, a.header_row, a.missing_value_marker)
     if a.shingle_size > 1:
-        one = points.withColumn("series", F.lit(0))
-        points = framing.shingle(one, a.shingle_size, rotate=a.shingle_cyclic).select("seq", F.col("shingle").alias("x"))
+        points = framing.shingle_blocks(points, a.shingle_size, rotate=a.shingle_cyclic).select("seq", F.col("shingle").alias("x"))
     if a.run == "update":
         delimited.update_run(points, options, a.output)
     else:

@@ -155,7 +155,7 @@ class GlobalLocal:
         self.objects: list = []
         self.weights: list[float] = []
         self.clusters: list[Cluster] = []
-        self.threshold, self.n = Threshold(0.01, z, transform="NONE"), 0
+        self.threshold, self.n, self.elapsed = Threshold(0.01, z, transform="NONE"), 0, 0.0
 
     def score(self, x, cap: float = 10.0) -> list[tuple[object, float]]:
         """(nearest representative, score) of each cluster, best first; clusters hidden behind a nearer one are left out."""
@@ -182,8 +182,9 @@ class GlobalLocal:
         th, grade = self.threshold.primary_grade(score)
         if s:
             self.threshold.add(score)
-        key = -self.decay * self.n + math.log(-math.log(float(uniform_np(self.n, 0, 1, self.seed))) / weight)
+        key = -self.elapsed + math.log(-math.log(float(uniform_np(self.n, 0, 1, self.seed))) / weight)
         self.n += 1
+        self.elapsed += self.decay
         if len(self.keys) < self.capacity:
             self.keys.append(key)
             self.objects.append(x)
@@ -198,7 +199,11 @@ class GlobalLocal:
         self.clusters = summarize(self.objects, self.weights, self.most, self.d, self.reps, self.shrinkage, previous=self.clusters[: self.most], seed=self.seed)
 
     def merge(self, other: GlobalLocal) -> None:
-        every = sorted(zip(self.keys + other.keys, range(len(self.keys) + len(other.keys)), self.objects + other.objects, self.weights + other.weights, strict=True))[: self.capacity]
+        """The union's least keys; both clocks are brought to the later one."""
+        now = max(self.elapsed, other.elapsed)
+        keys = [k - (now - m.elapsed) for m in (self, other) for k in m.keys]
+        self.elapsed = now
+        every = sorted(zip(keys, range(len(self.keys) + len(other.keys)), self.objects + other.objects, self.weights + other.weights, strict=True))[: self.capacity]
         self.keys, self.objects, self.weights = [e[0] for e in every], [e[2] for e in every], [e[3] for e in every]
         self.n += other.n
         self.recluster()

@@ -23,16 +23,14 @@ BROADCAST_NODES = 2_000_000
 class Options:
     """Forest parameters with their checks."""
 
-    def __init__(self, trees: int = 50, sample_size: int = 256, decay: float | None = None, seed: int = 42, output_after: int | None = None, shingle: int = 1, initial_accept: float = 1.0) -> None:
-        if trees < 1 or sample_size < 1 or shingle < 1:
-            raise ValueError("trees, sample_size and shingle must be positive")
+    def __init__(self, trees: int = 50, sample_size: int = 256, decay: float | None = None, seed: int = 42, output_after: int | None = None) -> None:
+        if trees < 1 or sample_size < 1:
+            raise ValueError("trees and sample_size must be positive")
         if decay is not None and decay < 0:
             raise ValueError("decay must not be negative")
         if output_after is not None and output_after < 1:
             raise ValueError("output_after must be positive")
-        if not 0 < initial_accept <= 1:
-            raise ValueError("initial_accept must be in (0, 1]")
-        self.trees, self.sample_size, self.seed, self.shingle, self.initial_accept = trees, sample_size, seed, shingle, initial_accept
+        self.trees, self.sample_size, self.seed = trees, sample_size, seed
         self.decay = 1.0 / (10 * sample_size) if decay is None else decay
         self.output_after = max(1, sample_size // 4) if output_after is None else output_after
 
@@ -91,9 +89,10 @@ def forest_of(nodes: pd.DataFrame) -> Forest:
 
 def load(nodes: DataFrame, most: int = BROADCAST_NODES) -> Forest:
     """The forest of one group at the driver, after a check of its size."""
-    if nodes.limit(most + 1).count() > most:
+    found = nodes.limit(most + 1).toPandas()  # read once: nodes may still have to be trained
+    if len(found) > most:
         raise ValueError(f"more than {most} nodes; query by group instead")
-    return forest_of(nodes.toPandas())
+    return forest_of(found)
 
 
 def query(points: DataFrame, nodes: DataFrame, f, schema: str, x: str = "x", keep: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -131,9 +130,14 @@ def query(points: DataFrame, nodes: DataFrame, f, schema: str, x: str = "x", kee
     return rows.where("__x is not null").groupBy(*by).cogroup(nodes.groupBy(*by)).applyInPandas(each, head + schema)
 
 
-def scores(points, nodes, ready: bool = True, **how):
-    """score; 0 for all points while the model is not ready."""
-    return query(points, nodes, lambda f, q: {"score": f.score(q) if ready else np.zeros(len(q))}, "score double", **how)
+def scores(points, nodes, after: int = 1, **how):
+    """score; 0 for all points while the model's trees hold fewer than `after` points (Options.output_after)."""
+
+    def f(forest, q):
+        ready = bool(forest.trees) and max(t.total for t in forest.trees) >= after
+        return {"score": forest.score(q) if ready else np.zeros(len(q))}
+
+    return query(points, nodes, f, "score double", **how)
 
 
 def displacements(points, nodes, **how):

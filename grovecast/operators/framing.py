@@ -30,6 +30,19 @@ def shingle(df: DataFrame, size: int, x: str = "x", keys: tuple[str, ...] = ("se
     return out.withColumn("trains", F.col(train)) if train else out
 
 
+def shingle_blocks(df: DataFrame, size: int, x: str = "x", order: str = "seq", rotate: bool = False, rows: int = 100_000) -> DataFrame:
+    """`shingle` of one long series whose `order` counts without gaps, in blocks of `rows` that tasks can share.
+
+    A block also gets the last size - 1 rows of the one before, so that its first windows are whole.
+    """
+    if size > rows:
+        raise ValueError("a shingle must fit a block")
+    home = F.expr(f"{order} div {rows}")
+    into = F.when(F.col(order) % rows > rows - size, F.array(home, home + 1)).otherwise(F.array(home))
+    out = shingle(df.withColumn("__block", F.explode(into)), size, x, ("__block",), order, rotate)
+    return out.where(F.col("__block") == home).drop("__block")
+
+
 def missing_indices(missing: Column, inputs: int, size: int, seq: Column | None = None) -> Column:
     """Positions in a shingle of the missing coordinates of its newest tuple; with seq, of a rotated shingle."""
     block = F.lit((size - 1) * inputs) if seq is None else F.pmod(seq, F.lit(size)) * inputs

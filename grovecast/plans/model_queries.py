@@ -34,6 +34,8 @@ def query(name, sql=None):
 def folder(spark) -> str:
     """A new folder that executors and driver share: under the cluster's checkpoint folder, else a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
     return f"{named or tempfile.mkdtemp(prefix='grovecast-')}/{uuid.uuid4().hex}"
 
 

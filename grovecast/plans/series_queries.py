@@ -53,10 +53,10 @@ def _(spark, sf):
     return framing.shingle(E(spark, sf), 4, rotate=True).select(*K, *(F.col("shingle")[i].alias(f"s{i}") for i in range(4)))
 
 
-@query("missing_index_translate", f"SELECT series, seq, i + 9 AS plain, i + (seq % 4) * 3 AS rotated FROM {E_SQL}, (SELECT unnest([0, 2]) AS i) WHERE seq <= 20")
+@query("missing_index_translate", f"SELECT series, seq, i + 9 AS plain, i + (seq % 4) * 3 AS rotated FROM {E_SQL}, (SELECT unnest([0, 2]) AS i)")
 def _(spark, sf):
     miss = F.array(F.lit(0), F.lit(2))
-    df = E(spark, sf).where("seq <= 20").withColumn("a", framing.missing_indices(miss, 3, 4)).withColumn("b", framing.missing_indices(miss, 3, 4, F.col("seq")))
+    df = E(spark, sf).withColumn("a", framing.missing_indices(miss, 3, 4)).withColumn("b", framing.missing_indices(miss, 3, 4, F.col("seq")))
     return df.select(*K, F.explode(F.arrays_zip("a", "b")).alias("z")).select(*K, F.col("z.a").alias("plain"), F.col("z.b").cast("long").alias("rotated"))
 
 
@@ -116,14 +116,14 @@ for _method, (_source, _y) in Y_SQL.items():
 
 def _forecast(method):
     def run(spark, sf):
-        df = E(spark, sf).where("seq % 10 = 0").select(*K, "x").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(4))))
+        df = E(spark, sf).select(*K, "x").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(4))))
         df = df.withColumn("y", F.col("h") * 0.5).withColumn("shift", F.lit(1.25)).withColumn("scale", F.lit(2.0)).withColumn("drift", F.lit(0.1)).withColumnRenamed("x", "last")
         return transforms.invert_forecast(df, method, keys=("series", "seq")).select(*K, F.col("h").cast("long").alias("h"), *r3("back"))
 
     return run
 
 
-_F = f"(SELECT series, seq, x, h FROM {E_SQL}, (SELECT unnest([1, 2, 3, 4]) AS h) WHERE seq % 10 = 0)"
+_F = f"(SELECT series, seq, x, h FROM {E_SQL}, (SELECT unnest([1, 2, 3, 4]) AS h))"
 query("forecast_invert_plain", f"SELECT series, seq, h::BIGINT AS h, round((h * 0.5 * 2 + 1.25 + h * 0.1)::DOUBLE, 3) AS back FROM {_F}")(_forecast("NORMALIZE"))
 query("forecast_invert_difference", f"SELECT series, seq, h::BIGINT AS h, round(x + sum(h * 0.5 * 2 + 1.25) OVER (PARTITION BY series, seq ORDER BY h), 3) AS back FROM {_F}")(_forecast("DIFFERENCE"))
 

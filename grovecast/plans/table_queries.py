@@ -151,17 +151,17 @@ query(
 )(lambda s, sf: distance.soft_assign(V(s, sf), centres(s, sf)).select("id", "centre", F.round("distance", 6).alias("distance"), F.round("share", 6).alias("share")))
 query(
     "knn_in_sample",
-    f"SELECT id, seq, round(d, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, seq) AS r FROM (SELECT q.id, s.id AS seq, sqrt((q.a - s.a) ** 2 + (q.b - s.b) ** 2 + (q.c - s.c) ** 2) AS d FROM {_E} q, {_E} s WHERE s.id % 5 = 1)) WHERE r <= 4",
-)(lambda s, sf: distance.nearest(V(s, sf), V(s, sf).where("id % 5 = 1").select("seq", F.col("x").alias("point")), 4).select("id", "seq", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")))
+    f"SELECT id, seq, round(d, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, seq) AS r FROM (SELECT q.id, s.id AS seq, sqrt((q.a - s.a) ** 2 + (q.b - s.b) ** 2 + (q.c - s.c) ** 2) AS d FROM {_E} q, {_E} s)) WHERE r <= 4",
+)(lambda s, sf: distance.nearest(V(s, sf), V(s, sf).select("seq", F.col("x").alias("point")), 4).select("id", "seq", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")))
 query("bbox_per_label", f"SELECT label, round(min(a), 6) AS a0, round(max(a), 6) AS a1, round(max(b) - min(b), 6) AS rb, round(max(a) - min(a) + max(b) - min(b) + max(c) - min(c), 6) AS range_sum FROM {_E} GROUP BY label")(
     lambda s, sf: distance.separation_vector(V(s, sf), ["label"]).select("label", F.round(F.col("low")[0], 6).alias("a0"), F.round(F.col("high")[0], 6).alias("a1"), F.round(F.col("ranges")[1], 6).alias("rb"), F.round("range_sum", 6).alias("range_sum"))
 )
-_BOX = f"(SELECT label AS bl, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM {_E} WHERE label < 3 GROUP BY label)"
+_BOX = f"(SELECT label AS bl, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM {_E} GROUP BY label)"
 _OUT = " + ".join(f"greatest(0, {x} - {x}1, {x}0 - {x})" for x in "abc")
 _RNG = " + ".join(f"{x}1 - {x}0" for x in "abc")
 query("prob_of_separation", f"SELECT id, bl AS box, round(CASE WHEN {_OUT} + {_RNG} > 0 THEN ({_OUT}) / ({_OUT} + {_RNG}) ELSE 0 END, 6) AS p FROM {_E}, {_BOX}")(
     lambda s, sf: V(s, sf)
-    .join(distance.small(distance.separation_vector(V(s, sf).where("label < 3"), ["label"]).withColumnRenamed("label", "box")), how="cross")
+    .join(distance.small(distance.separation_vector(V(s, sf), ["label"]).withColumnRenamed("label", "box")), how="cross")
     .select("id", "box", F.round(distance.separation_probability(F.col("low"), F.col("high"), F.col("x"), F.col("range_sum")), 6).alias("p"))
 )
 _REP = "(SELECT p_brand AS cluster, min(p_name) AS r, 5.0::DOUBLE AS radius FROM part GROUP BY p_brand)"
@@ -241,7 +241,9 @@ query("anomaly_score", fold_sql(_SEEN, "1 / (depth + 1)", "{s} * log2(max(total)
 query("displacement_score", fold_sql("1 / (1 + mass)", "mass", "{s} / (1 + max(total))"))(lambda s, sf: R6(forest.displacements(V(s, sf), nodes(s, sf), keep=["id"])))
 query("dynamic_score", fold_sql("1 / (depth + 2)", "1 / (depth + 1.5)", "{s}"))(lambda s, sf: R6(forest.dynamic_scores(V(s, sf), nodes(s, sf), lambda d, m: 1 / (d + 2.0), lambda d, m: 1 / (d + 1.5), lambda a, b: 1.0, keep=["id"])))
 query("generic_score_normalized", fold_sql(_SEEN, "1 / (depth + 1)", "{s} * log2(max(total) + 1)"))(lambda s, sf: R6(forest.dynamic_scores(V(s, sf), nodes(s, sf), seen, unseen, damp, normalizer=log_normalizer, keep=["id"])))
-query("readiness", f"SELECT id, 0::DOUBLE AS score FROM {_E}")(lambda s, sf: R6(forest.scores(V(s, sf), nodes(s, sf), ready=V(s, sf).count() >= 10**9, keep=["id"])))
+query("readiness", f"SELECT id, score, 0::DOUBLE AS early FROM ({fold_sql(_SEEN, '1 / (depth + 1)', '{s} * log2(max(total) + 1)')})")(
+    lambda s, sf: R6(forest.scores(V(s, sf), nodes(s, sf), after=SIZE, keep=["id"])).join(forest.scores(V(s, sf), nodes(s, sf), after=SIZE + 1, keep=["id"]).select("id", F.col("score").alias("early")), "id")
+)
 query(
     "attribution_sums_to_score", fold_sql(_SEEN, "1 / (depth + 1)", "{s} * log2(max(total) + 1)"),
 )(lambda s, sf: forest.attributions(V(s, sf), nodes(s, sf), keep=["id"]).select("id", F.round(summary.vector_sum(F.col("high"), F.col("low")), 6).alias("score")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,18 @@ from ..operators import forest
 
 
 def read_points(spark: SparkSession, path: str, delimiter: str = ",", header: bool = False, marker: str = "NA") -> DataFrame:
-    """(seq, x): every column is a coordinate; marker cells and empty ones are null. seq follows the files' order."""
+    """(seq, x): every column is a coordinate; marker cells and empty ones are null.
+
+    seq numbers the rows from 0 without gaps, by file name and then by place in the file: rows of each piece of a file
+    are counted first, and the pieces' offsets, as many as the scan has pieces, are joined to the rows.
+    """
     df = spark.read.option("sep", delimiter).option("header", header).option("nullValue", marker).csv(path)
-    seq = F.monotonically_increasing_id()
-    return df.select(seq.alias("seq"), F.array(*(F.col(f"`{c}`").cast("double") for c in df.columns)).alias("x"))
+    piece = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    rows = df.select(F.array(*(F.col(f"`{c}`").cast("double") for c in df.columns)).alias("x"), *piece, F.monotonically_increasing_id().alias("__id"))
+    sizes = rows.groupBy("__file", "__start").agg(F.min("__id").alias("first"), F.count("*").alias("n")).orderBy("__file", "__start").collect()
+    ends = list(accumulate((r["n"] for r in sizes), initial=0))
+    offsets = spark.createDataFrame([(r["__file"], r["__start"], end - r["first"]) for r, end in zip(sizes, ends, strict=False)], "__file string, __start long, __shift long")
+    return rows.join(F.broadcast(offsets), ["__file", "__start"]).select((F.col("__id") + F.col("__shift")).alias("seq"), "x")
 
 
 def write_rows(df: DataFrame, path: str, delimiter: str = ",", header: bool = False) -> None:

@@ -253,7 +253,7 @@ class Detector:
         self.fake = np.zeros(0, bool)
         self.last_t: int | None = None
         self.last_x: np.ndarray | None = None
-        self.early: list[tuple[int, np.ndarray]] = []
+        self.early: list[tuple[float, np.ndarray]] = []
         self.seq = self.run = 0
         self.last_anomaly: tuple[int, float, float, np.ndarray, np.ndarray] | None = None
         self.last_score = 0.0
@@ -347,15 +347,15 @@ class Detector:
         needs_start = self.s.transform in ("NORMALIZE", "SUBTRACT_MA") or self.s.mode != "STANDARD"
         if needs_start and self.early is not None:
             # the first rows only teach the statistics; then they are replayed with what they taught
-            self.early.append((t, x))
+            self.early.append((gap, x))
             self._learn_statistics(x, missing)
             self._move(t, x, gap)
             if len(self.early) >= self.s.start:
                 rows, self.early = self.early, None
                 before = None
-                for tt, xx in rows:
+                for early_gap, xx in rows:
                     self.last_x, keep = before, self.last_x
-                    y = self._transform(xx, 0.0)
+                    y = self._transform(xx, early_gap)
                     self.last_x = keep
                     self._push(y, False)
                     before = xx
@@ -518,52 +518,54 @@ class ErrorHandler:
         if calibration not in ("NONE", "MINIMAL", "SIMPLE"):
             raise ValueError(f"unknown calibration {calibration}")
         self.percentile, self.calibration, self.limits = percentile, calibration, (low, high)
-        d = 1.0 / error_horizon
-        self.stats = [{k: Decayed(d) for k in ("inside", "error", "up", "down")} for _ in range(horizon)]
+        #: for each step ahead and each input, made when the first row shows how many inputs there are
+        self.stats: list[list[dict[str, Decayed]]] = []
         self.past: list[dict[str, np.ndarray]] = []
         self.horizon, self.error_horizon, self.n = horizon, error_horizon, 0
         #: optionally a forest over (last two inputs, h, horizon - h, error above, error below) says what to expect here
         self.forest = OnlineForest(6, 20, 128) if estimator else None
-        self.recent = (0.0, 0.0)
+        self.recent = (np.zeros(1), np.zeros(1))
 
     def observe(self, x: np.ndarray) -> None:
-        if self.forest is not None:
-            for h, f in enumerate(reversed(self.past[-self.horizon :])):
-                e = float(np.mean(x - f["value"][h]))
-                self.forest.update([*f["recent"], h, self.horizon - h, max(e, 0.0), min(e, 0.0)])
-            self.recent = (self.recent[1], float(np.mean(x)))
+        x = np.atleast_1d(np.asarray(x, float))
+        if not self.stats:
+            self.stats = [[{k: Decayed(1.0 / self.error_horizon) for k in ("inside", "error", "up", "down")} for _ in x] for _ in range(self.horizon)]
+            self.recent = (np.zeros(len(x)), np.zeros(len(x)))
         for h, f in enumerate(reversed(self.past[-self.horizon :])):
-            e = float(np.mean(x - f["value"][h]))
-            st = self.stats[h]
-            st["inside"].add(float(((x >= f["lower"][h]) & (x <= f["upper"][h])).mean()))
-            st["error"].add(e)
-            st["up"].add(max(e, 0.0) ** 2)
-            st["down"].add(min(e, 0.0) ** 2)
+            for i, st in enumerate(self.stats[h]):
+                e = float(x[i] - f["value"][h][i])
+                st["inside"].add(float(f["lower"][h][i] <= x[i] <= f["upper"][h][i]))
+                st["error"].add(e)
+                st["up"].add(max(e, 0.0) ** 2)
+                st["down"].add(min(e, 0.0) ** 2)
+                if self.forest is not None:
+                    self.forest.update([f["recent"][0][i], f["recent"][1][i], h, self.horizon - h, max(e, 0.0), min(e, 0.0)])
+        self.recent = (self.recent[1], x)
         self.n += 1
 
     def precision(self) -> float:
-        seen = [s["inside"].mean for s in self.stats if s["inside"].n]
+        seen = [s["inside"].mean for step in self.stats for s in step if s["inside"].n]
         return float(np.mean(seen)) if seen else 0.0
 
-    def calibrate(self, f: dict[str, np.ndarray], spread: float) -> dict[str, np.ndarray]:
-        """Early on the data's own deviation stands for the errors; then both are blended; later the errors count."""
+    def calibrate(self, f: dict[str, np.ndarray], spread: np.ndarray) -> dict[str, np.ndarray]:
+        """Early on an input's own deviation stands for its errors; then both are blended; later the errors count."""
         f = {k: np.array(v, copy=True) for k, v in f.items()}
         a = self.n / (10 * self.error_horizon)
-        for h, st in enumerate(self.stats):
+        for h, i, st in ((h, i, st) for h, step in enumerate(self.stats) for i, st in enumerate(step)):
             if self.calibration == "NONE":
                 break
             up, down, mean = math.sqrt(st["up"].mean), -math.sqrt(st["down"].mean), st["error"].mean
             share = min(1.0, max(0.0, a - 1))
             if self.forest is not None and self.forest.ready:
                 share = 1.0
-                up, down = (float(v) for v in self.forest.forest().impute([*self.recent, h, self.horizon - h, 0.0, 0.0], [4, 5])[4:])
-            up, down, mean = share * up + (1 - share) * spread, share * down - (1 - share) * spread, share * mean
+                up, down = (float(v) for v in self.forest.forest().impute([self.recent[0][i], self.recent[1][i], h, self.horizon - h, 0.0, 0.0], [4, 5])[4:])
+            up, down, mean = share * up + (1 - share) * spread[i], share * down - (1 - share) * spread[i], share * mean
             p = st["inside"].mean
             widen = max(1.0, 1 / (p + 0.1)) if st["inside"].n and p < 1 - self.percentile else 1.0
             if self.calibration == "SIMPLE":
-                f["value"][h] += mean
-            f["upper"][h] = np.maximum(f["upper"][h], f["value"][h] + mean + 1.3 * up * widen)
-            f["lower"][h] = np.minimum(f["lower"][h], f["value"][h] + mean + 1.3 * down * widen)
+                f["value"][h][i] += mean
+            f["upper"][h][i] = max(f["upper"][h][i], f["value"][h][i] + mean + 1.3 * up * widen)
+            f["lower"][h][i] = min(f["lower"][h][i], f["value"][h][i] + mean + 1.3 * down * widen)
         low, high = self.limits
         for k in ("value", "upper", "lower"):
             f[k] = np.clip(f[k], -math.inf if low is None else low, math.inf if high is None else high)
@@ -586,7 +588,7 @@ class Caster(Detector):
         self.errors.observe(self.last_x)
         f = self.extrapolate(self.horizon)
         if f is not None:
-            spread = float(np.mean([v.dev for v in self.value]))
+            spread = np.array([v.dev for v in self.value])
             t_next = f.pop("t")
             del t_next
             f = self.errors.calibrate(f, spread)

@@ -119,3 +119,14 @@ def test_many_trees_at_once(data):
         assert t.check() and sorted(t.path) == sorted(one.path) and t.total == len(s)
         assert np.allclose(np.sort(t.cut), np.sort(one.cut))
     assert len(many[3].left) == 1 and many[3].total == 4
+
+
+def test_valid_finds_broken_trees(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from grovecast.operators import forest
+    from grovecast.plans import table_queries as tq
+
+    nodes = tq.nodes(spark, sf_dir)
+    broken = nodes.withColumn("mass", F.when((F.col("tree") == 1) & (F.col("node") == 0), F.col("mass") + 1).otherwise(F.col("mass")))
+    assert {r.tree: r.valid for r in forest.valid(broken).collect()} == {t: t != 1 for t in range(tq.TREES)}

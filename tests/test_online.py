@@ -112,6 +112,28 @@ def test_error_estimator():
     assert m.errors.forest.ready
 
 
+def test_intervals_of_inputs_of_different_scale():
+    """Every input has its own errors: a quiet one keeps a narrow interval beside a loud one."""
+    rng = np.random.default_rng(12)
+    m = online.Caster(online.Settings(shingle=4, trees=10, size=64, inputs=2, transform="NONE"), 2, error_horizon=10, calibration="MINIMAL")
+    for k in range(260):
+        out = m.process(k * 1_000_000, [rng.normal(0, 0.1), rng.normal(0, 20.0)])
+    width = (np.array(out.upper) - np.array(out.lower)).reshape(2, 2)
+    assert (width[:, 0] * 20 < width[:, 1]).all()
+    spread = [[st["up"].mean ** 0.5 for st in step] for step in m.errors.stats]
+    assert all(a < 0.5 and b > 5 for a, b in spread)
+
+
+def test_first_rows_are_replayed_with_their_gaps():
+    m = online.Detector(online.Settings(shingle=1, trees=3, size=16, mode="TIME_AUGMENTED", transform="NORMALIZE"))
+    pushed = []
+    was = m._transform
+    m._transform = lambda x, gap: (pushed.append(gap), was(x, gap))[1]
+    for k in range(m.s.start):
+        m.process(k * 3_000_000, [float(k % 5)])
+    assert pushed == [0.0] + [3.0] * (m.s.start - 1)
+
+
 def test_state_round_trip():
     x = wave(120)
     a = online.Caster(online.Settings(shingle=4, trees=6, size=32), 2)
