@@ -121,7 +121,8 @@ query(
 )(_vectors)
 
 # distances ----------------------------------------------------------------------------------------------------------
-DIMS = 3
+DIMS = None  # all coordinates
+WIDTH = 64  # coordinates that the SQL spells out
 
 
 def V(spark, sf, dims=DIMS):
@@ -129,36 +130,58 @@ def V(spark, sf, dims=DIMS):
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "label", x.cast("array<double>").alias("x"))
 
 
-_E = "(SELECT vec_id AS id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)"
-_C = f"(SELECT label AS centre, avg(a) AS ca, avg(b) AS cb, avg(c) AS cc FROM {_E} GROUP BY label)"
+_I = range(WIDTH)
+_V = ", ".join(f"v{i}" for i in _I)
+
+
+def each(form: str, between: str = ", ") -> str:
+    """form for every coordinate number {i}."""
+    return between.join(form.format(i=i) for i in _I)
+
+
+def pick(form: str, last: str, ranges: str = "r{i}") -> str:
+    """The branches of a CASE that finds r in the running sum of ranges; {before} is the sum up to a coordinate."""
+    sums, out = "0", []
+    for i in _I:
+        upto = f"{sums} + {ranges.format(i=i)}" if i else ranges.format(i=0)
+        value = form.format(i=i, before=f"({sums})")
+        out.append(f"WHEN r < {upto} AND {ranges.format(i=i)} > 0 THEN {value}" if i < WIDTH - 1 else f"ELSE {last.format(i=i, before=f'({sums})')} END")
+        sums = upto
+    return " ".join(out)
+
+
+_E = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS v{i}' for i in _I)} FROM embeddings)"
+_C = f"(SELECT label AS centre, {each('avg(v{i}) AS c{i}')} FROM {_E} GROUP BY label)"
+_L2C = f"sqrt({each('(v{i} - c{i}) ** 2', ' + ')})"
 
 
 def centres(spark, sf):
-    v = V(spark, sf).groupBy("label").agg(*(F.avg(F.col("x")[i]).alias(f"c{i}") for i in range(DIMS)))
-    return v.select(F.col("label").alias("centre"), F.array(*(f"c{i}" for i in range(DIMS))).alias("c"))
+    v = V(spark, sf).groupBy("label").agg(*(F.avg(F.col("x")[i]).alias(f"c{i}") for i in _I))
+    return v.select(F.col("label").alias("centre"), F.array(*(f"c{i}" for i in _I)).alias("c"))
 
 
 query(
     "distance_l1_l2_linf",
-    f"SELECT id, centre, round(abs(a - ca) + abs(b - cb) + abs(c - cc), 6) AS l1, round(sqrt((a - ca) ** 2 + (b - cb) ** 2 + (c - cc) ** 2), 6) AS l2, round(greatest(abs(a - ca), abs(b - cb), abs(c - cc)), 6) AS linf FROM {_E}, {_C}",
+    f"SELECT id, centre, round({each('abs(v{i} - c{i})', ' + ')}, 6) AS l1, round({_L2C}, 6) AS l2, round(greatest({each('abs(v{i} - c{i})')}), 6) AS linf FROM {_E}, {_C}",
 )(
     lambda s, sf: V(s, sf).join(distance.small(centres(s, sf)), how="cross").select("id", "centre", *(F.round(f(F.col("x"), F.col("c")), 6).alias(n) for n, f in (("l1", distance.l1), ("l2", distance.l2), ("linf", distance.linf))))
 )
-_DC = f"(SELECT id, centre, sqrt((a - ca) ** 2 + (b - cb) ** 2 + (c - cc) ** 2) AS d FROM {_E}, {_C})"
+_DC = f"(SELECT id, centre, {_L2C} AS d FROM {_E}, {_C})"
 query(
     "soft_assign",
     f"WITH n AS (SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY id) AS m FROM {_DC}) WHERE d <= 1.25 * m) SELECT id, centre, round(d, 6) AS distance, round(CASE WHEN m > 0 THEN (1 / d) / sum(1 / d) OVER (PARTITION BY id) ELSE 1 / count(*) OVER (PARTITION BY id) END, 6) AS share FROM n",
 )(lambda s, sf: distance.soft_assign(V(s, sf), centres(s, sf)).select("id", "centre", F.round("distance", 6).alias("distance"), F.round("share", 6).alias("share")))
 query(
     "knn_in_sample",
-    f"SELECT id, seq, round(d, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, seq) AS r FROM (SELECT q.id, s.id AS seq, sqrt((q.a - s.a) ** 2 + (q.b - s.b) ** 2 + (q.c - s.c) ** 2) AS d FROM {_E} q, {_E} s)) WHERE r <= 4",
+    f"SELECT id, seq, round(d, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, seq) AS r FROM (SELECT q.id, s.id AS seq, sqrt({each('(q.v{i} - s.v{i}) ** 2', ' + ')}) AS d FROM {_E} q, {_E} s)) WHERE r <= 4",
 )(lambda s, sf: distance.nearest(V(s, sf), V(s, sf).select("seq", F.col("x").alias("point")), 4).select("id", "seq", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")))
-query("bbox_per_label", f"SELECT label, round(min(a), 6) AS a0, round(max(a), 6) AS a1, round(max(b) - min(b), 6) AS rb, round(max(a) - min(a) + max(b) - min(b) + max(c) - min(c), 6) AS range_sum FROM {_E} GROUP BY label")(
+query("bbox_per_label", f"SELECT label, round(min(v0), 6) AS a0, round(max(v0), 6) AS a1, round(max(v1) - min(v1), 6) AS rb, round({each('max(v{i}) - min(v{i})', ' + ')}, 6) AS range_sum FROM {_E} GROUP BY label")(
     lambda s, sf: distance.separation_vector(V(s, sf), ["label"]).select("label", F.round(F.col("low")[0], 6).alias("a0"), F.round(F.col("high")[0], 6).alias("a1"), F.round(F.col("ranges")[1], 6).alias("rb"), F.round("range_sum", 6).alias("range_sum"))
 )
-_BOX = f"(SELECT label AS bl, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM {_E} GROUP BY label)"
-_OUT = " + ".join(f"greatest(0, {x} - {x}1, {x}0 - {x})" for x in "abc")
-_RNG = " + ".join(f"{x}1 - {x}0" for x in "abc")
+_BOX = f"(SELECT label AS bl, {each('min(v{i}) AS l{i}, max(v{i}) AS h{i}')} FROM {_E} GROUP BY label)"
+_OUT = each("greatest(0, v{i} - h{i}, l{i} - v{i})", " + ")
+_RNG = each("h{i} - l{i}", " + ")
+_FAR = f"sqrt({each('(v{i} - l{i}) ** 2', ' + ')})"
 query("prob_of_separation", f"SELECT id, bl AS box, round(CASE WHEN {_OUT} + {_RNG} > 0 THEN ({_OUT}) / ({_OUT} + {_RNG}) ELSE 0 END, 6) AS p FROM {_E}, {_BOX}")(
     lambda s, sf: V(s, sf)
     .join(distance.small(distance.separation_vector(V(s, sf), ["label"]).withColumnRenamed("label", "box")), how="cross")
@@ -183,31 +206,30 @@ def nodes(spark, sf, dims=DIMS, **more):
 
 
 #: the same trees by recursion: every step cuts all boxes of one depth
-_S = f"(SELECT id AS seq, 0 AS series, a, b, c, tree, {key_sql('tree', 0.001).replace('seq', 'id')} AS key FROM {_E}, (SELECT unnest(range(0, {TREES})) AS tree) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY key, seq) <= {SIZE})"
-FOREST = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT tree, seq, a, b, c FROM {_S}),
+_S = f"(SELECT id AS seq, 0 AS series, {_V}, tree, {key_sql('tree', 0.001).replace('seq', 'id')} AS key FROM {_E}, (SELECT unnest(range(0, {TREES})) AS tree) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY key, seq) <= {SIZE})"
+_SIDES = "(h{i} - l{i})"
+FOREST = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT tree, seq, {_V} FROM {_S}),
 part AS (
-  SELECT tree, 1::BIGINT AS path, 0 AS depth, seq, a, b, c FROM s
+  SELECT tree, 1::BIGINT AS path, 0 AS depth, seq, {_V} FROM s
   UNION ALL
-  SELECT tree, CASE WHEN v <= cut THEN (2 * path) % 2147483647 ELSE (2 * path + 1) % 2147483647 END, depth + 1, seq, a, b, c FROM (
-    SELECT *, CASE WHEN r < ra AND ra > 0 THEN a WHEN r < ra + rb AND rb > 0 THEN b ELSE c END AS v,
-      CASE WHEN r < ra AND ra > 0 THEN a0 + r WHEN r < ra + rb AND rb > 0 THEN b0 + (r - ra) ELSE c0 + (r - ra - rb) END AS cut FROM (
-      SELECT *, {uniform_sql('path', 'tree', '3', str(SEED))} * (ra + rb + rc) AS r FROM (
-        SELECT *, max(a) OVER w - min(a) OVER w AS ra, max(b) OVER w - min(b) OVER w AS rb, max(c) OVER w - min(c) OVER w AS rc, min(a) OVER w AS a0, min(b) OVER w AS b0, min(c) OVER w AS c0
-        FROM part WINDOW w AS (PARTITION BY tree, path)) WHERE ra + rb + rc > 0))
+  SELECT tree, CASE WHEN v <= cut THEN (2 * path) % 2147483647 ELSE (2 * path + 1) % 2147483647 END, depth + 1, seq, {_V} FROM (
+    SELECT *, CASE {pick('v{i}', 'v{i}')} AS v, CASE {pick('m{i} + (r - {before})', 'm{i} + (r - {before})')} AS cut FROM (
+      SELECT *, {uniform_sql('path', 'tree', '3', str(SEED))} * ({each('r{i}', ' + ')}) AS r FROM (
+        SELECT *, {each('max(v{i}) OVER w - min(v{i}) OVER w AS r{i}, min(v{i}) OVER w AS m{i}')}
+        FROM part WINDOW w AS (PARTITION BY tree, path)) WHERE {each('r{i}', ' + ')} > 0))
 ),
-box AS MATERIALIZED (SELECT tree, path, depth, count(*) AS mass, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1, min(seq) AS first_seq,
-  CASE WHEN max(a) = min(a) AND max(b) = min(b) AND max(c) = min(c) THEN NULL ELSE {uniform_sql('path', 'tree', '3', str(SEED))} * (max(a) - min(a) + max(b) - min(b) + max(c) - min(c)) END AS r
+box AS MATERIALIZED (SELECT tree, path, depth, count(*) AS mass, {each('min(v{i}) AS l{i}, max(v{i}) AS h{i}')}, min(seq) AS first_seq,
+  CASE WHEN {each('max(v{i}) = min(v{i})', ' AND ')} THEN NULL ELSE {uniform_sql('path', 'tree', '3', str(SEED))} * ({each('max(v{i}) - min(v{i})', ' + ')}) END AS r
   FROM part GROUP BY tree, path, depth),
-node AS MATERIALIZED (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN r < a1 - a0 THEN 0 WHEN r < a1 - a0 + b1 - b0 THEN 1 ELSE 2 END AS dim,
-  CASE WHEN r IS NULL THEN NULL WHEN r < a1 - a0 THEN a0 + r WHEN r < a1 - a0 + b1 - b0 THEN b0 + (r - (a1 - a0)) ELSE c0 + (r - (a1 - a0) - (b1 - b0)) END AS cut FROM box)"""
+node AS MATERIALIZED (SELECT *, CASE WHEN r IS NULL THEN NULL {pick('{i}', '{i}', _SIDES)} AS dim, CASE WHEN r IS NULL THEN NULL {pick('l{i} + (r - {before})', 'l{i} + (r - {before})', _SIDES)} AS cut FROM box)"""
 _WALK = (
     FOREST
-    + f""", q AS (SELECT id, a, b, c FROM {_E}),
+    + f""", q AS (SELECT id, {_V} FROM {_E}),
 way AS (
-  SELECT q.id, q.a, q.b, q.c, n.* EXCLUDE (r, first_seq), n.first_seq FROM q, node n WHERE n.path = 1
+  SELECT q.*, n.* EXCLUDE (r) FROM q, node n WHERE n.path = 1
   UNION ALL
-  SELECT w.id, w.a, w.b, w.c, n.* EXCLUDE (r, first_seq), n.first_seq FROM way w JOIN node n ON n.tree = w.tree AND n.depth = w.depth + 1
-    AND n.path = CASE WHEN (CASE w.dim WHEN 0 THEN w.a WHEN 1 THEN w.b ELSE w.c END) <= w.cut THEN (2 * w.path) % 2147483647 ELSE (2 * w.path + 1) % 2147483647 END
+  SELECT w.id, {each('w.v{i}')}, n.* EXCLUDE (r) FROM way w JOIN node n ON n.tree = w.tree AND n.depth = w.depth + 1
+    AND n.path = CASE WHEN (CASE w.dim {each('WHEN {i} THEN w.v{i}', ' ')} END) <= w.cut THEN (2 * w.path) % 2147483647 ELSE (2 * w.path + 1) % 2147483647 END
   WHERE w.dim IS NOT NULL
 ),
 p AS (SELECT *, {_OUT} AS o, {_RNG} AS g, max(depth) OVER (PARTITION BY id, tree) AS deepest, max(mass) OVER (PARTITION BY id, tree) AS total FROM way),
@@ -221,20 +243,21 @@ def fold_sql(leaf_seen, unseen_sql, norm):
 SELECT id, round(avg(s), 6) AS score FROM (SELECT id, tree, {norm.replace('{s}', f"sum(exp(above) * CASE WHEN depth < deepest THEN pr * ({unseen_sql}) WHEN o > 0 THEN ({unseen_sql}) ELSE ({leaf_seen}) END)")} AS s FROM e GROUP BY id, tree) GROUP BY id"""
 
 
-query("tree_build_nodes", f"{FOREST} SELECT tree::BIGINT AS tree, path, depth::BIGINT AS depth, mass, dim::BIGINT AS dim, round(cut, 6) AS cut, round(a0, 6) AS a0, round(c1, 6) AS c1 FROM node")(
-    lambda s, sf: nodes(s, sf).select(*(F.col(c).cast("long").alias(c) for c in ("tree", "path", "depth", "mass")), F.when(F.col("left") >= 0, F.col("dim").cast("long")).alias("dim"), F.when(F.col("left") >= 0, F.round("cut", 6)).alias("cut"), F.round(F.col("low")[0], 6).alias("a0"), F.round(F.col("high")[2], 6).alias("c1"))
+query("tree_build_nodes", f"{FOREST} SELECT tree::BIGINT AS tree, path, depth::BIGINT AS depth, mass, dim::BIGINT AS dim, round(cut, 6) AS cut, round(l0, 6) AS a0, round(h{WIDTH - 1}, 6) AS c1 FROM node")(
+    lambda s, sf: nodes(s, sf).select(*(F.col(c).cast("long").alias(c) for c in ("tree", "path", "depth", "mass")), F.when(F.col("left") >= 0, F.col("dim").cast("long")).alias("dim"), F.when(F.col("left") >= 0, F.round("cut", 6)).alias("cut"), F.round(F.col("low")[0], 6).alias("a0"), F.round(F.col("high")[WIDTH - 1], 6).alias("c1"))
 )
-query("forest_center_of_mass", f"{FOREST} SELECT tree::BIGINT AS tree, depth::BIGINT AS depth, count(*) AS n, round(sum(a), 6) AS sa, round(sum(c), 6) AS sc FROM part GROUP BY tree, depth")(
+query("forest_center_of_mass", f"{FOREST} SELECT tree::BIGINT AS tree, depth::BIGINT AS depth, count(*) AS n, round(sum(v0), 6) AS sa, round(sum(v2), 6) AS sc FROM part GROUP BY tree, depth")(
     lambda s, sf: (lambda n: forest.centres_of_mass(n).join(n.select("tree", "node", "depth"), ["tree", "node"]).groupBy(F.col("tree").cast("long").alias("tree"), F.col("depth").cast("long").alias("depth")).agg(
         F.sum("mass").alias("n"), F.round(F.sum(F.col("mass") * F.col("centre")[0]), 6).alias("sa"), F.round(F.sum(F.col("mass") * F.col("centre")[2]), 6).alias("sc")
     ))(nodes(s, sf))
 )
-query("tree_leaf_of_point", f"{_WALK} SELECT id, tree::BIGINT AS tree, depth::BIGINT AS depth, mass, round(sqrt((a - a0) ** 2 + (b - b0) ** 2 + (c - c0) ** 2), 6) AS distance FROM p WHERE depth = deepest")(
+query("tree_leaf_of_point", f"{_WALK} SELECT id, tree::BIGINT AS tree, depth::BIGINT AS depth, mass, round({_FAR}, 6) AS distance FROM p WHERE depth = deepest")(
     lambda s, sf: forest.query(
         V(s, sf), nodes(s, sf), lambda f, q: {"l": [[{"tree": k, "depth": int(t.depth[i]), "mass": int(t.mass[i]), "distance": float(((x - t.low[i]) ** 2).sum() ** 0.5)} for k, t in enumerate(f.trees) for i in [t.descend(x[None])[-1][0]]] for x in q]},
         "l array<struct<tree:bigint,depth:bigint,mass:bigint,distance:double>>", keep=["id"],
     ).select("id", F.inline("l")).select("id", "tree", "depth", "mass", F.round("distance", 6).alias("distance"))
 )
+NEAR = 1.0
 R6 = lambda df: df.select("id", F.round("score", 6).alias("score"))
 _SEEN = "(1 - mass / (2 * total)) / (depth + log2(mass + 1))"
 query("anomaly_score", fold_sql(_SEEN, "1 / (depth + 1)", "{s} * log2(max(total) + 1)"))(lambda s, sf: R6(forest.scores(V(s, sf), nodes(s, sf), keep=["id"])))
@@ -249,9 +272,9 @@ query(
 )(lambda s, sf: forest.attributions(V(s, sf), nodes(s, sf), keep=["id"]).select("id", F.round(summary.vector_sum(F.col("high"), F.col("low")), 6).alias("score")))
 query(
     "near_neighbors",
-    f"{_WALK} SELECT id, round(min(d), 6) AS nearest, count(*) AS trees FROM (SELECT id, tree, sqrt((a - a0) ** 2 + (b - b0) ** 2 + (c - c0) ** 2) AS d FROM p WHERE depth = deepest) WHERE d < 0.5 GROUP BY id",
+    f"{_WALK} SELECT id, round(min(d), 6) AS nearest, count(*) AS trees FROM (SELECT id, tree, {_FAR} AS d FROM p WHERE depth = deepest) WHERE d < {NEAR} GROUP BY id",
 )(
-    lambda s, sf: forest.neighbours(V(s, sf), nodes(s, sf), 0.5, keep=["id"]).where(F.size("near") > 0).select("id", F.round(F.col("near")[0]["distance"], 6).alias("nearest"), F.aggregate("near", F.lit(0), lambda a, e: a + e["count"]).cast("long").alias("trees"))
+    lambda s, sf: forest.neighbours(V(s, sf), nodes(s, sf), NEAR, keep=["id"]).where(F.size("near") > 0).select("id", F.round(F.col("near")[0]["distance"], 6).alias("nearest"), F.aggregate("near", F.lit(0), lambda a, e: a + e["count"]).cast("long").alias("trees"))
 )
 query("validate_restored", f"SELECT unnest(range(0, {TREES})) AS tree, true AS valid")(lambda s, sf: forest.valid(nodes(s, sf)).select(F.col("tree").cast("long").alias("tree"), "valid"))
 
