@@ -292,12 +292,27 @@ query("anomaly_attribution")(lambda s, sf: forest.attributions(V(s, sf, None), _
 query("approximate_score")(lambda s, sf: forest.approximate_scores(V(s, sf, None), _wide(s, sf), keep=["id"]))
 query("approximate_attribution")(lambda s, sf: forest.query(V(s, sf, None), nodes(s, sf, None), lambda f, q: {"total": [early_mean([float((h.sum() + w.sum()) * math.log2(t.total + 1)) for t in f.trees for h, w in [t.attribution(x[None])]])[0] for x in q]}, "total double", keep=["id"]))
 query("dynamic_attribution")(lambda s, sf: forest.dynamic_attributions(V(s, sf, None), _wide(s, sf), seen, unseen, damp, 1, keep=["id"]))
-query("simulated_score")(lambda s, sf: forest.simulated_scores(V(s, sf, None), nodes(s, sf, None), lambda lo, hi: (hi - lo) ** 2, keep=["id"]))
+_WHOLE = each("(greatest(v{i}, h{i}) - least(v{i}, l{i})) ** 2", " + ")
+_NEW = each("greatest(0, (greatest(v{i}, h{i}) - least(v{i}, l{i})) ** 2 - (h{i} - l{i}) ** 2)", " + ")
+query(
+    "simulated_score",
+    f"""{_WALK},
+z AS (SELECT *, CASE WHEN depth < deepest THEN ({_NEW}) / ({_WHOLE}) ELSE 0 END AS cutoff FROM p),
+y AS (SELECT *, coalesce(sum(ln(1 - cutoff)) OVER (PARTITION BY id, tree ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z)
+SELECT id, round(avg(s), 6) AS score FROM (SELECT id, tree, sum(exp(before) * CASE WHEN depth < deepest THEN cutoff / (depth + 1) WHEN o > 0 THEN 1 / (depth + 1) ELSE {_SEEN} END) * log2(max(total) + 1) AS s FROM y GROUP BY id, tree) GROUP BY id""",
+)(lambda s, sf: R6(forest.simulated_scores(V(s, sf), nodes(s, sf), lambda lo, hi: (hi - lo) ** 2, keep=["id"])))
 query("simple_density")(lambda s, sf: forest.densities(V(s, sf, None), nodes(s, sf, None), keep=["id"]))
 query("impute_missing")(lambda s, sf: forest.imputed(V(s, sf, None), nodes(s, sf, None), [2], keep=["id"]))
 query("conditional_summary")(lambda s, sf: forest.conditional_summaries(V(s, sf, None), nodes(s, sf, None), [1, 2], keep=["id"]))
-query("forest_attributes")(lambda s, sf: forest.train(V(s, sf, None), forest.Options(**OPTIONS), attributes=["label"]))
-query("forest_per_label")(lambda s, sf: forest.scores(V(s, sf, None), forest.train(V(s, sf, None), forest.Options(**OPTIONS), by=["label"]), keep=["label", "id"], by=["label"]))
+query("forest_attributes", f"{FOREST} SELECT tree::BIGINT AS tree, path, depth::BIGINT AS depth, count(*) AS mass, sum(label)::DOUBLE AS sum_label FROM part JOIN (SELECT vec_id, label FROM embeddings) ON vec_id = seq GROUP BY tree, path, depth")(
+    lambda s, sf: forest.train(V(s, sf), forest.Options(**OPTIONS), attributes=["label"]).select(*(F.col(c).cast("long").alias(c) for c in ("tree", "path", "depth", "mass")), "sum_label")
+)
+#: one forest for each label: its number and the tree's make one number, of which draws see the tree's part only
+_PER = f"(SELECT id AS seq, 0 AS series, {_V}, label * 1000 + k.tree AS tree, {key_sql('k.tree', 0.001).replace('seq', 'id')} AS key FROM {_E}, (SELECT unnest(range(0, {TREES})) AS tree) k QUALIFY row_number() OVER (PARTITION BY label, k.tree ORDER BY {key_sql('k.tree', 0.001).replace('seq', 'id')}, id) <= {SIZE})"
+_PER_LABEL = fold_sql(_SEEN, "1 / (depth + 1)", "{s} * log2(max(total) + 1)").replace(_S, _PER).replace("((tree) %", "((tree % 1000) %").replace(f"SELECT id, {_V} FROM {_E}", f"SELECT id, {_V}, label FROM {_E}").replace("SELECT q.*, n.*", f"SELECT id, {_V}, n.*").replace("WHERE n.path = 1", "WHERE n.path = 1 AND n.tree // 1000 = q.label")
+query("forest_per_label", f"SELECT label, id, score FROM ({_PER_LABEL}) JOIN (SELECT vec_id AS id, label FROM embeddings) USING (id)")(
+    lambda s, sf: forest.scores(V(s, sf), forest.train(V(s, sf), forest.Options(**OPTIONS), by=["label"]), keep=["label", "id"], by=["label"]).select("label", "id", F.round("score", 6).alias("score"))
+)
 
 
 def _extrapolate(s, sf):

@@ -1,17 +1,17 @@
-"""Queries without SQL see whole embeddings and all series."""
+"""Queries see whole embeddings and all series."""
 
 from grovecast.plans import catalogue
 
 
-def test_queries_without_sql_use_all_coordinates(spark, sf_dir):
-    """They call V and nodes at full width; only SQL keeps the first three coordinates."""
+def test_queries_use_all_coordinates(spark, sf_dir):
+    """They call V and nodes at full width, and so does the SQL of those that have any."""
     wide = ("anomaly_attribution approximate_score approximate_attribution dynamic_attribution simulated_score simple_density impute_missing conditional_summary forest_attributes forest_per_label "
             "run_score run_attribution run_density run_impute cluster_summarize cluster_multi_representative").split()
     from unittest import mock
 
     from grovecast.plans import table_queries as tq
 
-    assert not set(wide) & set(catalogue.ORACLES)
+    assert tq.DIMS is None and all("v63" in catalogue.ORACLES[n] for n in ("anomaly_score", "simulated_score", "run_score", "knn_in_sample"))
     real = tq.V
     for name in wide:
         seen = []
