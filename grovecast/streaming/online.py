@@ -1,8 +1,7 @@
 """Sequential models of one series, in plain numpy: forest, thresholds, detector, caster. No Spark in here.
 
 The same classes serve batch (grouped maps) and streams (state); all randomness is counter-based, so replaying rows
-gives the same output. Trees are rebuilt from their samples when those change: a tree's distribution depends
-on its sample alone, so this equals inserting and deleting points.
+gives the same output. Trees follow their samples by single insertions and deletions (streaming.grove).
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..functions.rng import uniform_np
-from ..operators.forest_kernel import Forest, Tree
+from ..operators.forest_kernel import Forest
+from .grove import Grove
 
 
 class Decayed:
@@ -39,7 +39,7 @@ class Decayed:
 
 
 class OnlineForest:
-    """Samples of decayed keys for each tree, and trees over them built when next asked for."""
+    """Samples of decayed keys for each tree, and trees that follow them point by point."""
 
     def __init__(self, dims: int, trees: int = 30, size: int = 64, decay: float | None = None, seed: int = 42, output_after: int | None = None, initial_accept: float = 1.0) -> None:
         if dims < 1 or trees < 1 or size < 1:
@@ -47,10 +47,10 @@ class OnlineForest:
         self.dims, self.size, self.seed, self.initial = dims, size, seed, initial_accept
         self.decay = 1.0 / (10 * size) if decay is None else decay
         self.after = max(1, size // 4) if output_after is None else output_after
-        self.keys = [np.zeros(0) for _ in range(trees)]
-        self.points = [np.zeros((0, dims)) for _ in range(trees)]
-        self.seqs = [np.zeros(0, np.int64) for _ in range(trees)]
-        self.trees: list[Tree | None] = [None] * trees
+        self._points, self._seqs = np.zeros((trees, size, dims)), np.zeros((trees, size), np.int64)
+        self._keys, self._have = np.full((trees, size), -np.inf), np.zeros(trees, np.int64)
+        self.grove = Grove(trees, size, dims)
+        self.drawn = (0, None)
         self.updates, self.sampling, self.elapsed = 0, True, 0.0
 
     def set_decay(self, decay: float) -> None:
@@ -61,6 +61,27 @@ class OnlineForest:
     def ready(self) -> bool:
         return self.updates >= self.after
 
+    @property
+    def keys(self) -> list[np.ndarray]:
+        return [k[:n] for k, n in zip(self._keys, self._have, strict=True)]
+
+    @property
+    def points(self) -> list[np.ndarray]:
+        return [p[:n] for p, n in zip(self._points, self._have, strict=True)]
+
+    @property
+    def seqs(self) -> list[np.ndarray]:
+        return [s[:n] for s, n in zip(self._seqs, self._have, strict=True)]
+
+    def _draws(self, seq: int) -> np.ndarray:
+        """A row's draws (key, depth, cut; trees), made for a block of rows at once."""
+        start, block = self.drawn
+        if block is None or not start <= seq < start + 32:
+            start = seq - seq % 32
+            rows, kind = np.arange(start, start + 32)[:, None, None], np.array([1, 7, 8])[:, None]
+            self.drawn = start, (block := uniform_np(rows, np.arange(len(self._have)), kind, self.seed))
+        return block[seq - start]
+
     def update(self, x: np.ndarray, weight: float = 1.0) -> None:
         seq = self.updates
         self.updates += 1
@@ -68,55 +89,60 @@ class OnlineForest:
         if not self.sampling or weight <= 0:
             return
         x = np.asarray(x, np.float32).astype(float)
-        ids = np.arange(len(self.keys))
-        key = -self.elapsed + np.log(-np.log(uniform_np(seq, ids, 1, self.seed)) / weight)
-        coin = uniform_np(seq, ids, 6, self.seed) if self.initial < 1 else None
-        for t in range(len(self.keys)):
-            have = len(self.keys[t])
-            if have >= self.size:
-                worst = int(self.keys[t].argmax())
-                if key[t] >= self.keys[t][worst]:
-                    continue
-                self.keys[t][worst], self.points[t][worst], self.seqs[t][worst] = key[t], x, seq
-            else:
-                if coin is not None and have >= self.initial * self.size and coin[t] >= 1 - (have / self.size - self.initial) / (1 - self.initial):
-                    continue
-                self.keys[t] = np.append(self.keys[t], key[t])
-                self.points[t] = np.vstack([self.points[t], x])
-                self.seqs[t] = np.append(self.seqs[t], seq)
-            self.trees[t] = None
+        ids = np.arange(len(self._have))
+        draws = self._draws(seq)
+        key = -self.elapsed + np.log(-np.log(draws[0]) / weight)
+        full = self._have >= self.size
+        worst = self._keys.argmax(1)
+        take = np.where(full, key < self._keys[ids, worst], True)
+        if self.initial < 1:
+            coin, share = uniform_np(seq, ids, 6, self.seed), self._have / self.size
+            take &= full | (share < self.initial) | (coin < 1 - (share - self.initial) / (1 - self.initial))
+        into = np.flatnonzero(take)
+        if not len(into):
+            return
+        out = into[full[into]]
+        if len(out):
+            self.grove.remove(out, worst[out])
+        place = np.where(full, worst, self._have)[into]
+        self._keys[into, place], self._points[into, place], self._seqs[into, place] = key[into], x, seq
+        self._have[into[~full[into]]] += 1
+        self.grove.insert(x, into, place, draws[1, into], draws[2, into])
 
     def forest(self) -> Forest | None:
-        live = [t for t in range(len(self.trees)) if len(self.points[t])]
-        if not live:
+        live = np.flatnonzero(self._have)
+        if not len(live):
             return None
-        stale = [t for t in live if self.trees[t] is None]
-        if stale:
-            for t, tree in zip(stale, Tree.build_many([self.points[t] for t in stale], stale, self.seed), strict=True):
-                self.trees[t] = tree
-        return Forest([self.trees[t] for t in live], [self.points[t] for t in live], [self.seqs[t] for t in live])
+        return Forest(self.grove.trees(live), [self._points[t, : self._have[t]].copy() for t in live], [self._seqs[t, : self._have[t]].copy() for t in live])
 
     def score(self, x: np.ndarray) -> float:
         """0 until ready."""
-        f = self.forest() if self.ready else None
-        return f.score_one(x) if f else 0.0
+        return self.grove.score(np.asarray(x, np.float32).astype(float)) if self.ready else 0.0
 
     def merge(self, other: OnlineForest) -> None:
-        """The union's least keys; both clocks are brought to the later one."""
+        """The union's least keys; both clocks are brought to the later one. Trees are grown anew from what stays."""
         gap = other.elapsed - self.elapsed
-        for t in range(len(self.keys)):
-            mine, theirs = self.keys[t] - max(0.0, gap), other.keys[t] - max(0.0, -gap)
-            keys = np.concatenate([mine, theirs])
+        grown, start = Grove(len(self._have), self.size, self.dims), self.updates + other.updates
+        for t, (mine, theirs) in enumerate(zip(self.keys, other.keys, strict=True)):
+            keys = np.concatenate([mine - max(0.0, gap), theirs - max(0.0, -gap)])
             by = np.argsort(keys, kind="stable")[: self.size]
-            self.keys[t] = keys[by]
-            self.points[t] = np.concatenate([self.points[t], other.points[t]])[by]
-            self.seqs[t] = np.concatenate([self.seqs[t], other.seqs[t]])[by]
-            self.trees[t] = None
+            points, seqs = np.concatenate([self.points[t], other.points[t]])[by], np.concatenate([self.seqs[t], other.seqs[t]])[by]
+            n = self._have[t] = len(by)
+            self._keys[t, :n], self._points[t, :n], self._seqs[t, :n] = keys[by], points, seqs
+            for place in range(n):
+                depth, cut = (uniform_np([start + place], t, kind, self.seed) for kind in (9, 10))
+                grown.insert(points[place], np.array([t]), np.array([place]), depth, cut)
+        self.grove = grown
         self.updates += other.updates
         self.elapsed = max(self.elapsed, other.elapsed)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"trees": [None] * len(self.trees)}
+        return self.__dict__ | {"_points": self._points.astype(np.float32), "drawn": (0, None)}  # points are of single precision
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._points = state["_points"].astype(float)
+        self.grove.refill(self._points)
 
 
 class Threshold:
@@ -404,13 +430,14 @@ class Detector:
         return q * (math.exp(total) - math.exp(self.forest.decay * min(self.forest.updates, self.forest.after))) / (math.exp(total) - 1)
 
     def _judge(self, full: np.ndarray, y: np.ndarray, x: np.ndarray, out: Result) -> None:
-        s, f = self.s, self.forest.forest()
-        out.score = f.score_one(full)
+        s = self.s
+        full = full.astype(np.float32).astype(float)  # as the sample keeps points
+        out.score = self.forest.score(full)
         out.confidence = self._confidence()
         out.threshold, out.grade = self.threshold.grade(out.score)
         distance = 0.0
         if s.scoring != "EXPECTED_INVERSE_DEPTH":
-            d = f.density(full)["distance"]
+            d = self.forest.forest().density(full)["distance"]
             distance = float(d.sum())
             th, g = self.far.primary_grade(distance)
             if s.scoring == "DISTANCE":
@@ -421,7 +448,7 @@ class Detector:
                 out.grade = g
         learn = out.score
         if out.grade > 0:
-            learn = self._explain(f, full, y, x, out)
+            learn = self._explain(self.forest.forest(), full, y, x, out)
         if out.grade > 0:
             self.run += 1
         elif out.mode == "NONE":
@@ -445,7 +472,7 @@ class Detector:
             at = len(full) - (gap + 1) * b
             if at >= 0:
                 fixed[at : at + b] = self.last_anomaly[3]
-                again = f.score_one(fixed)
+                again = self.forest.score(fixed)
                 learn = again
                 _, g = self.threshold.grade(again)
                 if g == 0:
@@ -675,10 +702,17 @@ class Bandit:
         return self.chosen
 
 
+FORMAT = 2  # of dumped state; raised whenever older state can no longer be read
+
+
 def dump(model) -> bytes:
-    """A model's state; trees are left out and rebuilt from the samples."""
-    return pickle.dumps(model)
+    """A model's state with the number of its format; boxes of trees are left out and follow from the points."""
+    return pickle.dumps((FORMAT, model))
 
 
 def restore(raw: bytes):
-    return pickle.loads(raw)
+    """The model of a dump; ValueError where its format is another one."""
+    state = pickle.loads(raw)
+    if not isinstance(state, tuple) or state[0] != FORMAT:
+        raise ValueError(f"state of another format: {state[0] if isinstance(state, tuple) else 1}, not {FORMAT}")
+    return state[1]
