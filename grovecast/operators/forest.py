@@ -193,12 +193,12 @@ def neighbours(points, nodes, within: float = float("inf"), **how):
 
 def imputed(points, nodes, missing: list[int], **how):
     """filled: each point with its missing coordinates taken from the forest's conditional field."""
-    return query(points, nodes, lambda f, q: {"filled": np.array([f.impute(x, missing) for x in q])}, "filled array<double>", **how)
+    return query(points, nodes, lambda f, q: {"filled": f.impute_many(*f._marked(q, missing))}, "filled array<double>", **how)
 
 
 def conditional_summaries(points, nodes, missing: list[int], centrality: float = 1.0, **how):
     def f(forest, q):
-        s = [forest.summary(x, missing, centrality) for x in q]
+        s = list(forest.summaries(q, missing, centrality))
         return {k: np.array([e[k] for e in s]) for k in ("mean", "median", "deviation", "lower", "upper")} | {"total": np.array([float(e["total"]) for e in s])}
 
     return query(points, nodes, f, "mean array<double>, median array<double>, deviation array<double>, lower array<double>, upper array<double>, total double", **how)

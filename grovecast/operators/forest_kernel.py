@@ -8,8 +8,7 @@ a function of its sample alone. Boxes are nested, so the leaf-to-root recursions
 from __future__ import annotations
 
 import math
-import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -271,41 +270,6 @@ class Tree:
         leaf = self.descend(q)[-1]
         return self.leaf[leaf], np.sqrt(((q - self.low[leaf]) ** 2).sum(1))
 
-    def conditional(self, q: np.ndarray, missing: np.ndarray, centrality: float = 1.0, draw: Callable | None = None) -> tuple[int, float]:
-        """(node of a leaf, L1 distance over known dimensions): the most ordinary way to complete one query.
-
-        Where the cut is on a missing dimension both sides are followed and the lesser adjusted rank wins.
-        """
-        left, right, dim, cut, mass, depth, low, high = self.lists()
-        x, gone = q.tolist(), missing.tolist()
-        known = [i for i, g in enumerate(gone) if not g]
-
-        def visit(node: int) -> tuple[float, float, int, float]:
-            d = dim[node]
-            if left[node] < 0:
-                lo = low[node]
-                dist = sum(abs(x[i] - lo[i]) for i in known)
-                rank = (1 / (depth[node] + math.log2(mass[node] + 1)) if depth[node] else 0.0) if dist <= 0 else 1 / (depth[node] + 1)
-                return rank, draw(node) if draw else 0.0, node, dist
-            if gone[d]:
-                a, b = visit(left[node]), visit(right[node])
-                adjusted = lambda r: (1 - centrality) * r[1] + centrality * r[0]
-                rank, rnd, leaf, dist = a if adjusted(a) <= adjusted(b) else b
-            else:
-                rank, rnd, leaf, dist = visit(left[node] if x[d] <= cut[node] else right[node])
-            lo, hi = low[node], high[node]
-            out = sum(max(x[i] - hi[i], lo[i] - x[i], 0.0) for i in known)
-            if out > 0:
-                p = out / (out + sum(hi) - sum(lo))
-                rank = p / (depth[node] + 1) + (1 - p) * rank
-            return rank, rnd, leaf, dist
-
-        deepest = max(depth)
-        if deepest > sys.getrecursionlimit() // 3:
-            sys.setrecursionlimit(deepest * 3 + 1000)
-        _, _, leaf, dist = visit(0)
-        return int(leaf), dist
-
     def check(self) -> bool:
         """Every inner node's cut divides its children's boxes, masses add up, boxes are nested."""
         inner = np.flatnonzero(self.left >= 0)
@@ -316,6 +280,65 @@ class Tree:
         return bool(ok)
 
 
+class Nodes:
+    """Nodes of several trees in common arrays; a leaf is its own child on both sides."""
+
+    def __init__(self, kids: np.ndarray, dim: np.ndarray, cut: np.ndarray, mass: np.ndarray, low: np.ndarray, high: np.ndarray, roots: np.ndarray) -> None:
+        self.kids, self.dim, self.cut, self.mass, self.low, self.high, self.roots = kids, dim, cut, mass, low, high, roots
+
+    @classmethod
+    def of(cls, trees: list[Tree]) -> Nodes:
+        sizes = np.array([len(t.left) for t in trees])
+        roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        join = lambda f: np.concatenate([getattr(t, f) for t in trees])
+        kids, base = np.stack([join("left"), join("right")], 1), np.repeat(roots, sizes)[:, None]
+        kids = np.where(kids < 0, np.arange(len(kids))[:, None], kids + base)
+        return cls(kids, np.maximum(join("dim"), 0), join("cut"), join("mass"), join("low"), join("high"), roots)
+
+    def complete(self, q: np.ndarray, gone: np.ndarray, centrality: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, L1 distance over known dimensions), each (queries, trees): the most ordinary way to complete each query.
+
+        gone marks the missing dimensions of each query. Where the cut is on one of them both sides are followed and
+        the lesser adjusted rank wins. All queries and trees go down and come up again level by level.
+        """
+        many, trees = len(q), len(self.roots)
+        node, row = np.tile(self.roots, many), np.repeat(np.arange(many), trees)
+        tree, levels = np.tile(np.arange(trees), many), []
+        while len(node):
+            inner = np.flatnonzero(self.kids[node, 0] != node)
+            at, of = node[inner], row[inner]
+            d = self.dim[at]
+            both, left = gone[of, d], q[of, d] <= self.cut[at]
+            a, b = np.flatnonzero(both | left), np.flatnonzero(both | ~left)
+            levels.append((node, row, tree, inner, a, b, both))
+            node, row, tree = (np.concatenate([one[a], two[b]]) for one, two in ((self.kids[at, 0], self.kids[at, 1]), (of, of), (tree[inner], tree[inner])))
+        rank = leaf = dist = draw = np.zeros(0)
+        for depth in range(len(levels) - 1, -1, -1):
+            node, row, tree, inner, a, b, both = levels[depth]
+            below = rank, leaf, dist, draw
+            x, known = q[row], ~gone[row]
+            low, high = self.low[node], self.high[node]
+            out = (np.maximum(np.maximum(low - x, x - high), 0.0) * known).sum(1)
+            own = out <= 0
+            # as leaves; inner nodes are overwritten
+            rank = np.where(own, 1 / (depth + np.log2(self.mass[node] + 1.0)) if depth else 0.0, 1 / (depth + 1))
+            leaf, dist = node.copy(), out.copy()
+            draw = uniform_np(node - self.roots[tree], tree, 5, seed) if centrality != 1 else np.zeros(len(node))
+            if len(inner):
+                # each inner node's visited sides among the next level's entries; -1 where a side was not visited
+                first, second = np.full(len(inner), -1), np.full(len(inner), -1)
+                first[a], second[b] = np.arange(len(a)), len(a) + np.arange(len(b))
+                adjusted = (1 - centrality) * below[3] + centrality * below[0]
+                pick = np.where(first < 0, second, first)
+                twice = np.flatnonzero(both)
+                pick[twice] = np.where(adjusted[first[twice]] <= adjusted[second[twice]], first[twice], second[twice])
+                wide = (high - low)[inner].sum(1)
+                p = out[inner] / np.where(out[inner] > 0, out[inner] + wide, 1.0)
+                rank[inner] = p / (depth + 1) + (1 - p) * below[0][pick]
+                leaf[inner], dist[inner], draw[inner] = below[1][pick], below[2][pick], below[3][pick]
+        return leaf.reshape(many, trees), dist.reshape(many, trees)
+
+
 def early_mean(values, precision: float = 0.1, least: int = 5, high_is_critical: bool = True) -> tuple[float, int]:
     """One-sided mean that stops early: (mean, values used). A witness lies on the critical side by half a deviation."""
     total = square = 0.0
@@ -339,6 +362,13 @@ class Forest:
 
     def __init__(self, trees: list[Tree], points: list[np.ndarray], seqs: list[np.ndarray] | None = None) -> None:
         self.trees, self.points, self.seqs = trees, points, seqs or [np.arange(len(p)) for p in points]
+        self._nodes: Nodes | None = None
+
+    @property
+    def nodes(self) -> Nodes:
+        if self._nodes is None:
+            self._nodes = Nodes.of(self.trees)
+        return self._nodes
 
     @classmethod
     def build(cls, samples: list[np.ndarray], seed: int = 42, seqs: list[np.ndarray] | None = None) -> Forest:
@@ -403,41 +433,60 @@ class Forest:
                 e[2] += 1
         return sorted(((k, d, sorted(s), n) for k, (d, s, n) in found.items()), key=lambda e: (e[1], e[0]))
 
+    def conditionals(self, q: np.ndarray, gone: np.ndarray, centrality: float = 1.0, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """conditional() of every query, whose missing dimensions `gone` marks; a block of queries at a time."""
+        q, n = np.where(gone, 0.0, q), self.nodes
+        for at in range(0, len(q), 64):
+            for leaf, dist in zip(*n.complete(q[at : at + 64], gone[at : at + 64], centrality, seed), strict=True):
+                found: dict[bytes, list] = {}
+                for point, d in zip(n.low[leaf], dist.tolist(), strict=True):
+                    found.setdefault(point.tobytes(), [d, tuple(point.tolist()), 0.0])[2] += 1.0
+                order = sorted(found.values(), key=lambda e: (e[0], e[1]))
+                yield np.array([e[1] for e in order]), np.array([e[0] for e in order]), np.array([e[2] for e in order])
+
     def conditional(self, x: np.ndarray, missing, centrality: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(points, distances, weights) of the distinct completions of x, nearest first."""
-        q = np.asarray(x, float).copy()
-        miss = np.zeros(len(q), bool)
-        miss[np.asarray(missing, int)] = True
-        q[miss] = 0.0
-        found: dict[tuple, list] = {}
-        for k, t in enumerate(self.trees):
-            leaf, dist = t.conditional(q, miss, centrality, lambda node, k=k: float(uniform_np(node, k, 5, seed)))
-            e = found.setdefault(tuple(t.low[leaf]), [dist, 0.0])
-            e[1] += 1.0
-        order = sorted(found.items(), key=lambda e: (e[1][0], e[0]))
-        return np.array([k for k, _ in order]), np.array([v[0] for _, v in order]), np.array([v[1] for _, v in order])
+        q, gone = self._marked([x], missing)
+        return next(self.conditionals(q, gone, centrality, seed))
+
+    @staticmethod
+    def _marked(rows, missing) -> tuple[np.ndarray, np.ndarray]:
+        """The queries, and a mark for each missing coordinate: the same for all, or those that `missing` already marks."""
+        q = np.atleast_2d(np.asarray(rows, float))
+        if isinstance(missing, np.ndarray) and missing.dtype == bool and missing.shape == q.shape:
+            return q, missing
+        gone = np.zeros(q.shape, bool)
+        gone[:, np.asarray(missing, int)] = True
+        return q, gone
+
+    def summaries(self, rows, missing, centrality: float = 1.0, percentile: float = 0.9) -> Iterator[dict[str, np.ndarray]]:
+        """Weighted mean, median, deviation and bounds of each row's completions within the adaptive distance threshold."""
+        for points, dist, weight in self.conditionals(*self._marked(rows, missing), centrality):
+            if centrality > 0 and len(dist) > 1:
+                limit = centrality * dist[0] + 1e-6
+                away = np.where(dist > 0, weight, 0.0)
+                run = np.cumsum(away)
+                for share in (1 / 3, 1 / 2):
+                    j = int(np.searchsorted(run, share * run[-1])) if run[-1] > 0 else 0
+                    limit = centrality * dist[min(j, len(dist) - 1)] + 1e-6
+                limit += (1 - centrality) * dist[-1]
+                keep = dist <= limit
+                points, dist, weight = points[keep], dist[keep], weight[keep]
+            yield weighted_summary(points, weight, percentile) | {"points": points, "distance": dist, "weight": weight}
 
     def summary(self, x: np.ndarray, missing, centrality: float = 1.0, percentile: float = 0.9) -> dict[str, np.ndarray]:
-        """Weighted mean, median, deviation and bounds of the completions within the adaptive distance threshold."""
-        points, dist, weight = self.conditional(x, missing, centrality)
-        if centrality > 0 and len(dist) > 1:
-            limit = centrality * dist[0] + 1e-6
-            away = np.where(dist > 0, weight, 0.0)
-            run = np.cumsum(away)
-            for share in (1 / 3, 1 / 2):
-                j = int(np.searchsorted(run, share * run[-1])) if run[-1] > 0 else 0
-                limit = centrality * dist[min(j, len(dist) - 1)] + 1e-6
-            limit += (1 - centrality) * dist[-1]
-            keep = dist <= limit
-            points, dist, weight = points[keep], dist[keep], weight[keep]
-        return weighted_summary(points, weight, percentile) | {"points": points, "distance": dist, "weight": weight}
+        return next(self.summaries([x], missing, centrality, percentile))
+
+    def impute_many(self, rows: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """Rows with the coordinates that `gone` marks filled by the median of their completions."""
+        out = np.array(rows, float)
+        holed = np.flatnonzero(gone.any(1))
+        for k, found in zip(holed, self.summaries(out[holed], gone[holed]) if len(holed) else (), strict=True):
+            out[k, gone[k]] = found["median"][gone[k]]
+        return out
 
     def impute(self, x: np.ndarray, missing) -> np.ndarray:
-        out = np.asarray(x, float).copy()
-        idx = np.asarray(missing, int)
-        if len(idx):
-            out[idx] = self.summary(x, idx)["median"][idx]
-        return out
+        return self.impute_many(*self._marked([x], missing))[0]
 
     def extrapolate(self, shingle: np.ndarray, inputs: int, horizon: int, cyclic: bool = False, at: int = 0, centrality: float = 1.0, percentile: float = 0.9) -> dict[str, np.ndarray]:
         """values, lower, upper (horizon, inputs): the newest block is imputed again and again."""
@@ -467,5 +516,7 @@ def weighted_summary(points: np.ndarray, weight: np.ndarray, percentile: float =
     total = weight.sum()
     mean = (points * weight[:, None]).sum(0) / total
     dev = np.sqrt(np.maximum(0, (points**2 * weight[:, None]).sum(0) / total - mean**2))
-    pick = lambda p: np.array([weighted_pick(points[:, c], weight, p) for c in range(points.shape[1])])
+    by = np.argsort(points, axis=0, kind="stable")
+    run, value = np.cumsum(weight[by], axis=0), np.take_along_axis(points, by, 0)
+    pick = lambda p: value[np.minimum((run < p * run[-1] - 1e-9).sum(0), len(value) - 1), np.arange(value.shape[1])]
     return {"mean": mean, "deviation": dev, "median": pick(0.5), "lower": pick(1 - percentile), "upper": pick(percentile), "total": np.array(total)}

@@ -65,7 +65,7 @@ def impute_run(points: DataFrame, options: forest.Options) -> DataFrame:
     def fill(f, q):
         import numpy as np
 
-        return {"filled": np.array([f.impute(np.nan_to_num(x), np.flatnonzero(np.isnan(x))) for x in q])}
+        return {"filled": f.impute_many(np.nan_to_num(q), np.isnan(q))}
 
     return forest.query(holed, model, fill, "filled array<double>", x="z", keep=["seq"]).select("seq", F.col("filled").alias("x"))
 

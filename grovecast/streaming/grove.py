@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 
-from ..operators.forest_kernel import Tree
+from ..operators.forest_kernel import Forest, Nodes, Tree
 
 
 class Grove:
@@ -282,3 +282,19 @@ class Grove:
                     depth=depth[own], path=np.zeros(self.span, np.int64), leaf=self.leaf[own].copy(), low=self.box[own, : self.dims].copy(), high=-self.box[own, self.dims :],
                 )
         return [self.made[t] for t in which]
+
+
+class LiveForest(Forest):
+    """Queries of a grove as it is now, until its next change; trees are only made where a query needs them."""
+
+    def __init__(self, grove: Grove, live: np.ndarray, points: list[np.ndarray], seqs: list[np.ndarray]) -> None:
+        self.grove, self.live, self.points, self.seqs = grove, live, points, seqs
+
+    @property
+    def trees(self) -> list[Tree]:
+        return self.grove.trees(self.live)
+
+    @property
+    def nodes(self) -> Nodes:
+        g = self.grove
+        return Nodes(g.kids, g.dim, g.cut, g.mass, g.box[:, : g.dims], -g.box[:, g.dims :], g.roots[self.live])

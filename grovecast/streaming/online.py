@@ -14,7 +14,7 @@ import numpy as np
 
 from ..functions.rng import uniform_np
 from ..operators.forest_kernel import Forest
-from .grove import Grove
+from .grove import Grove, LiveForest
 
 
 class Decayed:
@@ -109,11 +109,12 @@ class OnlineForest:
         self._have[into[~full[into]]] += 1
         self.grove.insert(x, into, place, draws[1, into], draws[2, into])
 
-    def forest(self) -> Forest | None:
+    def forest(self) -> LiveForest | None:
+        """Queries of the forest as it is until the next update."""
         live = np.flatnonzero(self._have)
         if not len(live):
             return None
-        return Forest(self.grove.trees(live), [self._points[t, : self._have[t]].copy() for t in live], [self._seqs[t, : self._have[t]].copy() for t in live])
+        return LiveForest(self.grove, live, [self._points[t, : self._have[t]] for t in live], [self._seqs[t, : self._have[t]] for t in live])
 
     def score(self, x: np.ndarray) -> float:
         """0 until ready."""

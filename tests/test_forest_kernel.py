@@ -130,3 +130,42 @@ def test_valid_finds_broken_trees(spark, sf_dir):
     nodes = tq.nodes(spark, sf_dir)
     broken = nodes.withColumn("mass", F.when((F.col("tree") == 1) & (F.col("node") == 0), F.col("mass") + 1).otherwise(F.col("mass")))
     assert {r.tree: r.valid for r in forest.valid(broken).collect()} == {t: t != 1 for t in range(tq.TREES)}
+
+
+def slow_completion(t, x, gone, centrality, draw, node=0, depth=0):
+    """(rank, draw, leaf, distance) of one query in one tree, by recursion."""
+    known = ~gone
+    miss = (np.maximum(0, x - t.high[node]) + np.maximum(0, t.low[node] - x))[known].sum()
+    if t.left[node] < 0:
+        rank = 1 / (depth + 1) if miss > 0 else 1 / (depth + math.log2(t.mass[node] + 1)) if depth else 0.0
+        return rank, draw(node), node, miss
+    d = t.dim[node]
+    sides = [c for c, go in ((t.left[node], gone[d] or x[d] <= t.cut[node]), (t.right[node], gone[d] or x[d] > t.cut[node])) if go]
+    rank, drawn, leaf, dist = min((slow_completion(t, x, gone, centrality, draw, c, depth + 1) for c in sides), key=lambda r: (1 - centrality) * r[1] + centrality * r[0])
+    if miss > 0:
+        p = miss / (miss + (t.high[node] - t.low[node]).sum())
+        rank = p / (depth + 1) + (1 - p) * rank
+    return rank, drawn, leaf, dist
+
+
+@pytest.mark.parametrize("centrality", [1.0, 0.4, 0.0])
+def test_completions_match_recursion(forest, data, centrality):
+    rng = np.random.default_rng(9)
+    q = np.concatenate([data[:12], data[40:42], rng.normal(0, 2, (6, 4)), np.full((1, 4), 9.0)])
+    gone = rng.random(q.shape) < 0.4
+    gone[0], gone[1] = True, False
+    q = np.where(gone, 0.0, q)
+    nodes = forest.nodes
+    leaf, dist = nodes.complete(q, gone, centrality)
+    for i in range(len(q)):
+        for k, t in enumerate(forest.trees):
+            _, _, n, d = slow_completion(t, q[i], gone[i], centrality, lambda node, k=k: float(uniform_np(node, k, 5, 42)) if centrality != 1 else 0.0)
+            assert (t.low[n] == nodes.low[leaf[i, k]]).all() and np.isclose(d, dist[i, k])
+
+
+def test_many_rows_are_imputed_as_one_by_one(forest, data):
+    gone = np.random.default_rng(10).random((90, 4)) < 0.3
+    many = forest.impute_many(data[:90], gone)
+    one = [forest.impute(x, np.flatnonzero(g)) for x, g in zip(data[:90], gone, strict=True)]
+    assert (many == np.array(one)).all() and (many[~gone] == data[:90][~gone]).all()
+    assert forest.impute_many(np.zeros((0, 4)), np.zeros((0, 4), bool)).shape == (0, 4)
