@@ -120,20 +120,31 @@ class OnlineForest:
         """0 until ready."""
         return self.grove.score(np.asarray(x, np.float32).astype(float)) if self.ready else 0.0
 
+    def hold(self, keys: list[np.ndarray], points: list[np.ndarray], seqs: list[np.ndarray]) -> None:
+        """Samples given as a whole, one for each tree; trees are grown from them point by point."""
+        if len(keys) != len(self._have) or max(map(len, keys)) > self.size:
+            raise ValueError("one sample for each tree, none beyond the size")
+        self.grove = Grove(len(keys), self.size, self.dims)
+        for t, (k, p, s) in enumerate(zip(keys, points, seqs, strict=True)):
+            n = self._have[t] = len(k)
+            self._keys[t], self._seqs[t], self._points[t] = -np.inf, 0, 0.0
+            if n:
+                self._keys[t, :n], self._seqs[t, :n], self._points[t, :n] = k, s, np.asarray(p, np.float32)
+        for place in range(int(self._have.max())):
+            into = np.flatnonzero(self._have > place)
+            depth, cut = (uniform_np(place, into, kind, self.seed) for kind in (9, 10))
+            for t, d, c in zip(into, depth, cut, strict=True):  # each tree has a point of its own here
+                self.grove.insert(self._points[t, place], np.array([t]), np.array([place]), np.array([d]), np.array([c]))
+
     def merge(self, other: OnlineForest) -> None:
         """The union's least keys; both clocks are brought to the later one. Trees are grown anew from what stays."""
         gap = other.elapsed - self.elapsed
-        grown, start = Grove(len(self._have), self.size, self.dims), self.updates + other.updates
+        held = []
         for t, (mine, theirs) in enumerate(zip(self.keys, other.keys, strict=True)):
             keys = np.concatenate([mine - max(0.0, gap), theirs - max(0.0, -gap)])
             by = np.argsort(keys, kind="stable")[: self.size]
-            points, seqs = np.concatenate([self.points[t], other.points[t]])[by], np.concatenate([self.seqs[t], other.seqs[t]])[by]
-            n = self._have[t] = len(by)
-            self._keys[t, :n], self._points[t, :n], self._seqs[t, :n] = keys[by], points, seqs
-            for place in range(n):
-                depth, cut = (uniform_np([start + place], t, kind, self.seed) for kind in (9, 10))
-                grown.insert(points[place], np.array([t]), np.array([place]), depth, cut)
-        self.grove = grown
+            held.append((keys[by], np.concatenate([self.points[t], other.points[t]])[by], np.concatenate([self.seqs[t], other.seqs[t]])[by]))
+        self.hold(*(list(v) for v in zip(*held, strict=True)))
         self.updates += other.updates
         self.elapsed = max(self.elapsed, other.elapsed)
 

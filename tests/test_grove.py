@@ -123,3 +123,14 @@ def test_merged_trees_are_sound():
         b.update(w)
     a.merge(b)
     sound(a)
+    v = rows(90, seed=2)
+    for x in v:  # and go on
+        a.update(x)
+    sound(a)
+    c = OnlineForest(3, 4, 16)
+    c.hold(a.keys, a.points, a.seqs)
+    sound(c)
+    c.hold([k[:0] for k in a.keys], [p[:0] for p in a.points], [s[:0] for s in a.seqs])
+    assert c.forest() is None
+    with pytest.raises(ValueError):
+        c.hold(a.keys[:2], a.points[:2], a.seqs[:2])
