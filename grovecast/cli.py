@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--header-row", action="store_true")
     p.add_argument("--random-seed", type=int, default=42)
     p.add_argument("--missing-value-marker", default="NA")
+    p.add_argument("--sequential", action="store_true", help="answer each row by the model of the rows before it, in one task, instead of training on all rows first")
     return p
 
 
@@ -39,7 +40,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     if a.run == "update":
         delimited.update_run(points, options, a.output)
     else:
-        delimited.write_rows(delimited.RUNS[a.run](points, options), a.output, a.delimiter, a.header_row)
+        run = delimited.sequential(points, options, a.run) if a.sequential else delimited.RUNS[a.run](points, options)
+        delimited.write_rows(run, a.output, a.delimiter, a.header_row)
 
 
 if __name__ == "__main__":

@@ -53,13 +53,21 @@ def _points(spark, sf):
     return spark.read.parquet(path).select(F.monotonically_increasing_id().alias("seq"), "x")
 
 
+def _holed(spark, sf):
+    """Every seventh point without its second coordinate."""
+    return _points(spark, sf).withColumn("x", F.when(F.col("seq") % 7 == 0, F.transform("x", lambda v, i: F.when(i != 1, v))).otherwise(F.col("x")))
+
+
 OPT = forest.Options(10, 32, 0.0)
 _RUN = f"(SELECT id AS seq, 0 AS series, {tq._V}, tree, {tq.key_sql('tree', 0.0).replace('seq', 'id')} AS key FROM {tq._E}, (SELECT unnest(range(0, 10)) AS tree) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY key, seq) <= 32)"
 _RUN_SCORE = tq.fold_sql(tq._SEEN, "1 / (depth + 1)", "{s} * log2(max(total) + 1)").replace(tq._S, _RUN)
 query("run_score", f"SELECT id AS seq, score AS anomaly_score FROM ({_RUN_SCORE})")(lambda s, sf: delimited.score_run(_points(s, sf), OPT).select("seq", F.round("anomaly_score", 6).alias("anomaly_score")))
 query("run_attribution")(lambda s, sf: delimited.attribution_run(_points(s, sf), OPT))
 query("run_density")(lambda s, sf: delimited.density_run(_points(s, sf), OPT))
-query("run_impute")(lambda s, sf: delimited.impute_run(_points(s, sf).withColumn("x", F.when(F.col("seq") % 7 == 0, F.transform("x", lambda v, i: F.when(i != 1, v))).otherwise(F.col("x"))), OPT))
+query("run_impute")(lambda s, sf: delimited.impute_run(_holed(s, sf), OPT))
+for _run in ("score", "attribution", "density"):
+    query(f"run_{_run}_sequential")(lambda s, sf, run=_run: delimited.sequential(_points(s, sf), OPT, run))
+query("run_impute_sequential")(lambda s, sf: delimited.sequential(_holed(s, sf), OPT, "impute"))
 
 
 @query("save_load_score", tq.ORACLES["anomaly_score"])

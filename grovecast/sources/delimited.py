@@ -27,13 +27,11 @@ def read_points(spark: SparkSession, path: str, delimiter: str = ",", header: bo
 
 def write_rows(df: DataFrame, path: str, delimiter: str = ",", header: bool = False) -> None:
     """Array columns are laid out as one column for each element."""
+    lists = [c for c, kind in df.dtypes if kind.startswith("array")]
+    sizes = df.agg(*(F.max(F.size(c)).alias(c) for c in lists)).first().asDict() if lists else {}
     out = []
-    for c, kind in df.dtypes:
-        if kind.startswith("array"):
-            size = df.select(F.max(F.size(c))).first()[0] or 0
-            out += [F.col(c)[i].alias(f"{c}_{i}") for i in range(size)]
-        else:
-            out.append(F.col(c))
+    for c in df.columns:
+        out += [F.col(c)[i].alias(f"{c}_{i}") for i in range(sizes[c] or 0)] if c in sizes else [F.col(c)]
     df.select(*out).write.mode("overwrite").option("sep", delimiter).option("header", header).csv(path)
 
 
@@ -75,4 +73,50 @@ def update_run(points: DataFrame, options: forest.Options, path: str) -> None:
     forest.save(forest.train(whole(points), options), path)
 
 
+def sequential(points: DataFrame, options: forest.Options, run: str) -> DataFrame:
+    """A run in which each row is answered by the model of the rows before it, in the order of seq, and then learned.
+
+    score, attribution, density and impute give the columns of the runs above; answers are 0 until options.output_after
+    rows have been learned, and holes are filled with 0 until then. Rows with holes are never learned; the runs other than
+    impute leave them out. This order admits one model only: one task reads the sorted rows as a stream, so its memory
+    is that of the model, but its time grows with the rows. The runs above are the form for large inputs.
+    """
+    if run not in RUNS:
+        raise ValueError(f"unknown run {run}")
+    kinds = {"score": "anomaly_score double", "attribution": "anomaly_low array<double>, anomaly_high array<double>", "density": "prob_mass_up array<double>, prob_mass_down array<double>"}
+    schema = "seq long, x array<double>" + (", " + kinds[run] if run in kinds else "")
+
+    def work(parts):
+        import numpy as np
+        import pandas as pd
+
+        from ..streaming.online import OnlineForest
+
+        model = None
+        for part in parts:
+            out = []
+            for seq, row in zip(part["seq"], part["x"], strict=True):
+                x = np.array([np.nan if v is None else v for v in row], float)
+                if model is None:
+                    model = OnlineForest(len(x), options.trees, options.sample_size, options.decay, options.seed, options.output_after)
+                gone = np.isnan(x)
+                x = np.nan_to_num(x)
+                live = model.forest() if model.ready and run != "score" else None
+                if run == "score":
+                    found = (model.score(x),)
+                elif run == "attribution":
+                    found = tuple(v[0] for v in reversed(live.attribution(x))) if live else (np.zeros(len(x)),) * 2
+                elif run == "density":
+                    found = tuple(live.density(x)["prob"][0].T) if live else (np.zeros(len(x)),) * 2
+                else:
+                    x, found = (live.impute(x, gone[None]) if live and gone.any() else x), ()
+                out.append((seq, x, *found))
+                if not gone.any():
+                    model.update(x)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = (points.where("x is not null") if run == "impute" else whole(points)).select(F.col("seq").cast("long").alias("seq"), F.col("x").cast("array<double>").alias("x"))
+    return rows.repartition(1).sortWithinPartitions("seq").mapInPandas(work, schema)
+
+
 RUNS = {"score": score_run, "attribution": attribution_run, "density": density_run, "impute": impute_run}
