@@ -150,14 +150,23 @@ def dynamic_scores(points, nodes, seen, unseen, damp, ignore: int = 0, normalize
     return query(points, nodes, lambda f, q: {"score": f.raw_score(q, n, seen_f=seen, unseen_f=unseen, damp_f=damp, ignore=ignore)}, "score double", **how)
 
 
-def approximate_scores(points, nodes, precision: float = 0.1, **how):
+def approximate_scores(points, nodes, precision: float = 0.1, high_is_critical: bool = True, score: dict | None = None, **how):
+    """Means over as many trees as it takes; `score`: the caller's seen_f, unseen_f, damp_f, ignore and normalizer."""
     def f(forest, q):
-        both = [forest.approximate_score(x, precision) for x in q]
-        return {"score": np.array([b[0] for b in both]), "trees_used": np.array([b[1] for b in both])}
+        mean, used = forest.approximate_score(q, precision, high_is_critical=high_is_critical, **(score or {}))
+        return {"score": mean, "trees_used": used}
 
     return query(points, nodes, f, "score double, trees_used int", **how)
 
 
+def approximate_attributions(points, nodes, precision: float = 0.1, high_is_critical: bool = True, score: dict | None = None, **how):
+    def f(forest, q):
+        high, low, used = forest.approximate_attribution(q, precision, high_is_critical=high_is_critical, **(score or {}))
+        return {"total": high.sum(1) + low.sum(1), "high": high, "low": low, "trees_used": used}
+
+    return query(points, nodes, f, "total double, high array<double>, low array<double>, trees_used int", **how)
+
+
 def attributions(points, nodes, **how):
     def f(forest, q):
         high, low = forest.attribution(q)
@@ -186,7 +195,7 @@ def densities(points, nodes, q_share: float = 0.001, **how):
 def neighbours(points, nodes, within: float = float("inf"), **how):
     """near: the distinct candidates (point, distance, seqs, count) of each point, nearest first."""
     def f(forest, q):
-        return {"near": [[{"point": list(p), "distance": d, "seqs": s, "count": n} for p, d, s, n in forest.neighbours(x, within)] for x in q]}
+        return {"near": [[{"point": list(p), "distance": d, "seqs": s, "count": n} for p, d, s, n in near] for near in forest.neighbours_of(q, within)]}
 
     return query(points, nodes, f, "near array<struct<point:array<double>,distance:double,seqs:array<bigint>,count:int>>", **how)
 

@@ -389,9 +389,42 @@ class Forest:
     def displacement(self, q: np.ndarray, ignore: int = 0) -> np.ndarray:
         return self.raw_score(q, lambda s, m: s / (1.0 + m), seen_f=displacement_seen, unseen_f=displacement_unseen, damp_f=no_damp, ignore=ignore)
 
-    def approximate_score(self, x: np.ndarray, precision: float = 0.1, least: int = 5) -> tuple[float, int]:
-        x = [float(v) for v in x]
-        return early_mean((t.score_one(x) * math.log2(t.total + 1.0) for t in self.trees), precision, least)
+    def approximate(self, q: np.ndarray, each: Callable, precision: float = 0.1, least: int = 5, high_is_critical: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(means over trees, trees used) by the rule of early_mean for each query: a tree sees only the queries still open.
+
+        each(tree, queries) gives one row of numbers for each query; their sum decides when a query's mean is good enough.
+        """
+        q = np.atleast_2d(np.asarray(q, float))
+        if not self.trees or not len(q):
+            return np.zeros((len(q), 1)), np.zeros(len(q), np.int64)
+        need, sign, opened = max(1, round(1 / precision)), 1.0 if high_is_critical else -1.0, np.arange(len(q))
+        sums, square, used, witnesses = None, np.zeros(len(q)), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for k, tree in enumerate(self.trees, 1):
+            got = np.asarray(each(tree, q[opened]), float).reshape(len(opened), -1)
+            sums = np.zeros((len(q), got.shape[1])) if sums is None else sums
+            judged = got.sum(1)
+            sums[opened] += got
+            square[opened] += judged**2
+            used[opened] = k
+            mean = sums[opened].sum(1) / k
+            if k >= least:
+                dev = np.sqrt(np.maximum(0.0, square[opened] / k - mean**2))
+                witnesses[opened] += sign * (judged - mean) + 1e-6 > 0.5 * dev
+                opened = opened[witnesses[opened] < need]
+                if not len(opened):
+                    break
+        return sums / used[:, None], used
+
+    def approximate_score(self, q: np.ndarray, precision: float = 0.1, least: int = 5, high_is_critical: bool = True, normalizer: Callable = log_normalizer, **how) -> tuple[np.ndarray, np.ndarray]:
+        mean, used = self.approximate(q, lambda t, part: normalizer(t.score(part, **how), t.total), precision, least, high_is_critical)
+        return mean[:, 0], used
+
+    def approximate_attribution(self, q: np.ndarray, precision: float = 0.1, least: int = 5, high_is_critical: bool = True, normalizer: Callable = log_normalizer, **how) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(high, low, trees used)."""
+        q = np.atleast_2d(np.asarray(q, float))
+        mean, used = self.approximate(q, lambda t, part: normalizer(np.hstack(t.attribution(part, **how)), t.total), precision, least, high_is_critical)
+        dims = q.shape[1]
+        return mean[:, :dims], mean[:, dims:], used
 
     def attribution(self, q: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
         q = np.atleast_2d(np.asarray(q, float))
@@ -420,18 +453,22 @@ class Forest:
         total = found["measure"].sum((1, 2))
         return found["measure"] * (cls.density_value(found, q) / np.where(total > 0, total, 1.0))[:, None, None]
 
+    def neighbours_of(self, q: np.ndarray, within: float = math.inf) -> Iterator[list[tuple[tuple, float, list[int], int]]]:
+        """neighbours() of every query; each tree takes all queries down at once."""
+        q = np.atleast_2d(np.asarray(q, float))
+        found = [t.neighbours(q) for t in self.trees]
+        for k in range(len(q)):
+            near: dict[tuple, list] = {}
+            for (i, d), p, s in zip(found, self.points, self.seqs, strict=True):
+                if d[k] < within:
+                    e = near.setdefault(tuple(p[i[k]].tolist()), [float(d[k]), set(), 0])
+                    e[1].add(int(s[i[k]]))
+                    e[2] += 1
+            yield sorted(((p, d, sorted(s), n) for p, (d, s, n) in near.items()), key=lambda e: (e[1], e[0]))
+
     def neighbours(self, x: np.ndarray, within: float = math.inf) -> list[tuple[tuple, float, list[int], int]]:
         """(point, distance, sorted sequence numbers, trees) of each distinct candidate nearer than `within`, nearest first."""
-        q = np.atleast_2d(np.asarray(x, float))
-        found: dict[tuple, list] = {}
-        for t, p, s in zip(self.trees, self.points, self.seqs, strict=True):
-            i, d = t.neighbours(q)
-            if d[0] < within:
-                point = tuple(float(v) for v in p[i[0]])
-                e = found.setdefault(point, [float(d[0]), set(), 0])
-                e[1].add(int(s[i[0]]))
-                e[2] += 1
-        return sorted(((k, d, sorted(s), n) for k, (d, s, n) in found.items()), key=lambda e: (e[1], e[0]))
+        return next(self.neighbours_of(x, within))
 
     def conditionals(self, q: np.ndarray, gone: np.ndarray, centrality: float = 1.0, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """conditional() of every query, whose missing dimensions `gone` marks; a block of queries at a time."""

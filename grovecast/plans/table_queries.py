@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform_sql
 from ..operators import distance, forest, sampling, summary
-from ..operators.forest_kernel import damp, early_mean, log_normalizer, seen, unseen
+from ..operators.forest_kernel import damp, log_normalizer, seen, unseen
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -290,7 +289,10 @@ WIDE = dict(trees=20, sample_size=64)
 _wide = lambda s, sf: nodes(s, sf, None, **WIDE)
 query("anomaly_attribution")(lambda s, sf: forest.attributions(V(s, sf, None), _wide(s, sf), keep=["id"]))
 query("approximate_score")(lambda s, sf: forest.approximate_scores(V(s, sf, None), _wide(s, sf), keep=["id"]))
-query("approximate_attribution")(lambda s, sf: forest.query(V(s, sf, None), nodes(s, sf, None), lambda f, q: {"total": [early_mean([float((h.sum() + w.sum()) * math.log2(t.total + 1)) for t in f.trees for h, w in [t.attribution(x[None])]])[0] for x in q]}, "total double", keep=["id"]))
+query("approximate_attribution")(lambda s, sf: forest.approximate_attributions(V(s, sf, None), _wide(s, sf), keep=["id"]).select("id", "total", "trees_used"))
+_OWN = {"seen_f": lambda d, m: 1 / (d + 2.0), "unseen_f": lambda d, m: 1 / (d + 1.5), "damp_f": lambda a, b: 1.0, "normalizer": lambda s, m: s}
+query("approximate_dynamic_score")(lambda s, sf: forest.approximate_scores(V(s, sf, None), _wide(s, sf), score=_OWN, keep=["id"]))
+query("approximate_dynamic_attribution")(lambda s, sf: forest.approximate_attributions(V(s, sf, None), _wide(s, sf), score=_OWN | {"ignore": 1}, keep=["id"]))
 query("dynamic_attribution")(lambda s, sf: forest.dynamic_attributions(V(s, sf, None), _wide(s, sf), seen, unseen, damp, 1, keep=["id"]))
 _WHOLE = each("(greatest(v{i}, h{i}) - least(v{i}, l{i})) ** 2", " + ")
 _NEW = each("greatest(0, (greatest(v{i}, h{i}) - least(v{i}, l{i})) ** 2 - (h{i} - l{i}) ** 2)", " + ")

@@ -99,6 +99,23 @@ def test_early_mean():
     assert fk.early_mean([]) == (0.0, 0)
 
 
+def test_approximate_scores_stop_as_the_early_mean(forest, data):
+    own = dict(seen_f=lambda d, m: 1 / (d + 2.0), unseen_f=lambda d, m: 1 / (d + 1.5), damp_f=fk.no_damp, ignore=1)
+    q = np.concatenate([data[:60], np.full((1, 4), 9.0)])
+    for how, norm in (({}, fk.log_normalizer), (own, lambda s, m: s)):
+        for critical in (True, False):
+            got, used = forest.approximate_score(q, 0.25, high_is_critical=critical, normalizer=norm, **how)
+            high, low, spent = forest.approximate_attribution(q, 0.25, high_is_critical=critical, normalizer=norm, **how)
+            for i, x in enumerate(q):
+                mean, n = fk.early_mean([float(norm(t.score(x[None], **how)[0], t.total)) for t in forest.trees], 0.25, high_is_critical=critical)
+                assert np.isclose(got[i], mean) and used[i] == n
+                parts = [norm(np.hstack(t.attribution(x[None], **how))[0], t.total) for t in forest.trees]
+                mean, n = fk.early_mean([float(p.sum()) for p in parts], 0.25, high_is_critical=critical)
+                assert spent[i] == n and np.allclose(np.concatenate([high[i], low[i]]), np.mean(parts[:n], axis=0))
+            assert used.min() < len(forest.trees)
+    assert forest.approximate_score(np.zeros((0, 4)))[0].shape == (0,)
+
+
 def test_uniform_is_uniform():
     u = uniform_np(np.arange(100000), 3, 1, 42)
     hist = np.histogram(u, 20, (0, 1))[0]

@@ -9,7 +9,7 @@ import pytest
 from grovecast.plans import catalogue
 
 #: sequential models: run on a few short series below; test_online.py has what they compute
-SLOW = {n for n in catalogue.QUERIES if n.startswith(("detector_", "caster_", "sequential_", "prequential_", "predictive_", "stream_process", "approximate_"))}
+SLOW = {n for n in catalogue.QUERIES if n.startswith(("detector_", "caster_", "sequential_", "prequential_", "predictive_", "stream_process"))}
 
 
 @pytest.fixture(scope="module")
