@@ -7,8 +7,9 @@ half is replicated to every anchor within radius + 1, at most 17 of them; two ha
 the home of either. Rows are then compared per anchor.
 
 Majority votes tell a similarity of 0.8 poorly: at three bits of 64 most such pairs are missed. Where documents are to be
-deduplicated by similarity (`similar`, `deduplicate`), the same anchors and comparison serve fingerprints of WORDS words
-whose bits come from min-wise samples of the shingles.
+deduplicated by similarity (`similar`, `deduplicate`), fingerprints of WORDS words serve whose bits come from min-wise samples
+of the shingles. Of their quarter words (16 bits, Hamming(15, 11) as anchors) one at least differs in at most one bit where
+the whole differs in fewer than two bits for each quarter, so that anchors of radius 1 find all such pairs.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 SMALL = 8
-_MASKS = np.array([sum(1 << (j - 1) for j in range(1, 32) if j >> k & 1) for k in range(5)], np.uint64)
-def _pair_table() -> np.ndarray:
-    """By syndrome: the masks that lead to the 15 codewords at distance two."""
-    out = np.zeros((32, 16), np.uint64)
-    for s in range(1, 32):
-        flips = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 32) if (i ^ s) > i]
-        out[s, : len(flips)] = flips
-    return out[:, :15]
 
 
-_FLIPS = _pair_table()
+def _pair_table(bits: int) -> np.ndarray:
+    """By syndrome: the masks that lead to the codewords at distance two (15 of 32 bits, 7 of 16)."""
+    out = np.zeros((bits, bits // 2 - 1), np.uint64)
+    for s in range(1, bits):
+        out[s] = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, bits) if (i ^ s) > i]
+    return out
+
+
+#: by the bits of a part: the masks of its code's checks, and its pair table
+_MASKS = {bits: np.array([sum(1 << (j - 1) for j in range(1, bits) if j >> k & 1) for k in range(bits.bit_length() - 1)], np.uint64) for bits in (16, 32)}
+_FLIPS = {bits: _pair_table(bits) for bits in (16, 32)}
 
 
 def shingle_hashes(text: bytes | None, width: int = 3) -> list[int]:
@@ -73,46 +76,46 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor key) of all replicas of the fingerprints, one row of 64-bit words each: 17 at most of each half word."""
+def anchors(fp: np.ndarray, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor key) of all replicas of the fingerprints, one row of 64-bit words each: 17 at most of each half word, 9 of each quarter."""
     rows, keys = [], []
     index = np.arange(len(fp))
-    for part in range(2 * fp.shape[1]):
-        x = half(fp, part)
-        syndrome, home = at_home(x)
+    for part in range(64 // bits * fp.shape[1]):
+        x = half(fp, part, bits)
+        syndrome, home = at_home(x, bits)
         tag = np.uint64(part) << np.uint64(32)
         off = np.flatnonzero(syndrome)
-        far = (x[off, None] ^ _FLIPS[syndrome[off]]).ravel()
-        rows += [index, index, np.repeat(index[off], 15)]
-        keys += [home | tag, home ^ np.uint64(0x80000000) | tag, far | tag]
+        far = (x[off, None] ^ _FLIPS[bits][syndrome[off]]).ravel()
+        rows += [index, index, np.repeat(index[off], bits // 2 - 1)]
+        keys += [home | tag, home ^ np.uint64(1 << (bits - 1)) | tag, far | tag]
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
-def half(fp: np.ndarray, part) -> np.ndarray:
-    """The 32 bits of each fingerprint that have the number `part` (one for all, or one for each)."""
-    word = fp[:, part >> 1] if isinstance(part, int) else fp[np.arange(len(fp)), part >> 1]
-    return word >> (np.uint64(32) * np.asarray(part & 1).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+def half(fp: np.ndarray, part, bits: int = 32) -> np.ndarray:
+    """The bits of each fingerprint, a half word or a quarter, that have the number `part` (one for all, or one for each)."""
+    at = part // (64 // bits)
+    word = fp[:, at] if isinstance(part, int) else fp[np.arange(len(fp)), at]
+    return word >> (np.uint64(bits) * np.asarray(part % (64 // bits)).astype(np.uint64)) & np.uint64((1 << bits) - 1)
 
 
-def at_home(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(syndrome, home anchor) of halves."""
-    syndrome = sum((np.bitwise_count(x & m) & 1).astype(np.int64) << k for k, m in enumerate(_MASKS))
+def at_home(x: np.ndarray, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(syndrome, home anchor) of halves or quarters."""
+    syndrome = sum((np.bitwise_count(x & m) & 1).astype(np.int64) << k for k, m in enumerate(_MASKS[bits]))
     return syndrome, x ^ np.where(syndrome > 0, np.uint64(1) << (np.maximum(syndrome, 1) - 1).astype(np.uint64), np.uint64(0))
 
 
-def _linked(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Do fingerprints differ in at most `most` bits, and in at most one in the half that brought them together."""
-    return (np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= most) & (np.bitwise_count(x ^ y) <= 1)
+def _linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= most
 
 
-def _forest(fp: np.ndarray, x: np.ndarray, most: int) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges that span the linked parts of one anchor's rows: each row is compared with those not yet reached."""
     links, left = [], np.arange(len(fp))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = _linked(fp[left], fp[i], x[left], x[i], most)
+            near = _linked(fp[left], fp[i], most)
             if near.any():
                 hit = left[near]
                 links += [(i, j) for j in hit.tolist()]
@@ -121,24 +124,40 @@ def _forest(fp: np.ndarray, x: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of fp that are linked, for whole anchors in a row; where an anchor is large, edges that span its links."""
+def _meet(fp: np.ndarray, home: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """All links between the rows at home and the rest of one large anchor; edges that span its links where those are many."""
+    links: list[tuple[int, int]] = []
+    for at in range(0, len(home), 128):
+        mine = home[at : at + 128]
+        # words after the first are only compared where that one is near enough
+        a, b = np.nonzero(np.bitwise_count(fp[mine, None, 0] ^ fp[None, :, 0]) <= most)
+        a = mine[a]
+        ok = a != b
+        a, b = a[ok], b[ok]
+        ok = _linked(fp[a], fp[b], most)
+        links += zip(a[ok].tolist(), b[ok].tolist(), strict=True)
+        if len(links) > 8 * len(fp):
+            return _forest(fp, most)
+    return links
+
+
+def _compare(key: np.ndarray, fp: np.ndarray, most: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of fp that are linked, for whole anchors in a row; where links are many, edges that span them."""
     a, b = [], []
     cuts = np.flatnonzero(np.diff(key)) + 1
     starts = np.concatenate([[0], cuts])
     size = np.diff(np.concatenate([starts, [len(key)]]))
     of = np.repeat(size, size)
-    x = half(fp, key >> 32)
-    home = at_home(x)[1].astype(np.int64) == key & 0xFFFFFFFF
+    home = at_home(half(fp, key >> 32, bits), bits)[1].astype(np.int64) == key & 0xFFFFFFFF
     for d in range(1, SMALL):
         i = np.flatnonzero((key[:-d] == key[d:]) & (of[:-d] <= SMALL)) if len(key) > d else np.zeros(0, int)
         i = i[home[i] | home[i + d]]
-        i = i[_linked(fp[i], fp[i + d], x[i], x[i + d], most)]
+        i = i[_linked(fp[i], fp[i + d], most)]
         a.append(i)
         b.append(i + d)
     for g in np.flatnonzero(size > SMALL):
         s = slice(starts[g], starts[g] + size[g])
-        if pairs := _forest(fp[s], x[s], most):
+        if pairs := _meet(fp[s], np.flatnonzero(home[s]), most):
             p = np.array(pairs) + starts[g]
             a.append(p[:, 0])
             b.append(p[:, 1])
@@ -160,11 +179,12 @@ def _words(b: pa.RecordBatch, count: int) -> np.ndarray:
 def links(fps: DataFrame, most: int = 3, words: int = 1) -> DataFrame:
     """Edges (a, b) between the nodes of distinct fingerprints (columns fp, fp1, ... of `words` words).
 
-    Linked are fingerprints that differ in at most `most` bits and in at most one bit of some half word; of one word and
-    up to three bits these are all pairs. The edges have the closure of all links.
+    Linked are all pairs of fingerprints that differ in at most `most` bits, fewer than two for each part, so that some part
+    differs in at most one. The edges have the closure of all links.
     """
-    if most < 0 or words == 1 and most > 3:
-        raise ValueError("two halves with radius-one anchors serve at most three differing bits")
+    bits = 32 if words == 1 else 16
+    if not 0 <= most < 2 * (64 // bits) * words:
+        raise ValueError(f"radius-one anchors of {bits} bits serve fewer than {2 * (64 // bits) * words} differing bits")
     names = ["fp", *(f"fp{w}" for w in range(1, words))]
 
     def replicate(batches):
@@ -172,12 +192,12 @@ def links(fps: DataFrame, most: int = 3, words: int = 1) -> DataFrame:
             fp = _words(b, words)
             for at in range(0, len(fp), 10000):
                 part = fp[at : at + 10000]
-                row, key = anchors(part)
+                row, key = anchors(part, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(part[row, w].view(np.int64)) for w in range(words))], ["anchor", *names])
 
     def edges(parts):
         key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = _compare(key, fp, most)
+        a, b = _compare(key, fp, most, bits)
         return pa.RecordBatch.from_arrays([pa.array(node(fp[a])), pa.array(node(fp[b]))], ["a", "b"])
 
     def compare(batches):
@@ -254,9 +274,9 @@ def sketch(text: bytes | None, width: int = 5) -> np.ndarray:
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): groups of documents whose sets of `width`-word shingles are alike, by their sketches.
 
-    Two documents are linked if their sketches agree in the share of bits that the similarity asks for, and differ in at
-    most one bit in some half word, which the anchors find. A null or empty text is like any other of them. Rows without
-    a doc_id are left out; rows that share one are in one group.
+    Two documents are linked if their sketches agree in the share of bits that the similarity asks for; the anchors find
+    all of these. A null or empty text is like any other of them. Rows without a doc_id are left out; rows that share one
+    are in one group.
     """
     most = int((1 - similarity) / 2 * _BINS)
     names = ["fp", *(f"fp{w}" for w in range(1, WORDS))]

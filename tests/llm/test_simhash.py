@@ -145,6 +145,30 @@ def test_random_links(spark):
                 assert got[fps[i]] == got[fps[j]]
 
 
+def test_links_of_sketches_are_whole(spark):
+    """All pairs of up to 19 of 192 bits are linked, also where the bits are spread evenly over the words."""
+    rng = np.random.default_rng(6)
+    fps = []
+    for k in range(200):
+        x = rng.integers(0, 2**64, 3, dtype=np.uint64)
+        y = x.copy()
+        for n in range(19):  # a third of the bits in each word, by turns in each half of it
+            y[n % 3] ^= np.uint64(1) << np.uint64(32 * (n // 3 % 2) + (n // 6) * 7 + k % 7)
+        fps += [x, y]
+        if k < 20:  # more of them at one anchor than are compared one by one
+            for _ in range(20):
+                z = y.copy()
+                for b in rng.choice(192, rng.integers(1, 20), replace=False):
+                    z[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+                fps.append(z)
+    u = np.unique(np.array(fps, np.uint64), axis=0)
+    df = spark.createDataFrame([tuple(r) for r in u.view(np.int64).tolist()], "fp long, fp1 long, fp2 long")
+    got = {r.node: r.root for r in components(simhash.links(df.repartition(3), 19, 3)).collect()}
+    root = [got.get(n, n) for n in simhash.node(u).tolist()]
+    pairs = [(i, j) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]).sum(1) <= 19).tolist()]
+    assert len(pairs) > 500 and all(root[i] == root[j] for i, j in pairs)
+
+
 def test_edges(spark, tmp_path):
     rows = [(1, None, "x"), (2, "", "y"), (3, " \n", "z"), (None, "", "q"), (4, "one", "s"), (4, "one", "s"), (5, "A b " * 30000, "t"), (6, "a B " * 30000, "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
