@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +43,78 @@ def soft_assign(points: DataFrame, centres: DataFrame, norm: str = "L2", ratio:
     return d.withColumn("share", inverse / F.sum(inverse).over(Window.partitionBy("id"))).drop("__m")
 
 
+BLOCK = 16384  # rows of either side that meet in one task
+
+
+def _least(q: np.ndarray, s: np.ndarray, seq: np.ndarray, k: int, norm: str, within: float | None):
+    """(query, sample row, distance) of the k nearest sample rows of each query; rows without a distance come last.
+
+    Squared distances by a matrix product, which err by far less than the margin, choose who is measured term by term.
+    """
+    size = np.einsum("ij,ij->i", s, s)
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        if norm == "L2":
+            own = np.einsum("ij,ij->i", part, part)
+            with np.errstate(invalid="ignore", over="ignore"):
+                rough = own[:, None] + size - 2.0 * (part @ s.T)
+                rough[~np.isfinite(rough)] = np.inf
+                last = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(s) > k else np.full(len(part), np.inf)
+                margin = 1e-9 * (own + np.nanmax(np.where(np.isfinite(size), size, 0.0), initial=0.0))
+                i, j = np.nonzero(rough <= (last + np.where(np.isfinite(margin), margin, np.inf))[:, None])
+        else:
+            i, j = (v.ravel() for v in np.indices((len(part), len(s))))
+        d = np.zeros(len(i))
+        for c in range(q.shape[1]):
+            gap = np.abs(part[i, c] - s[j, c])
+            d = np.maximum(d, gap) if norm == "LINF" else d + (gap * gap if norm == "L2" else gap)
+        d = np.sqrt(d) if norm == "L2" else d
+        if within is not None:
+            i, j, d = (v[d < within] for v in (i, j, d))
+        by = np.lexsort((seq[j], d, i))
+        i, j, d = i[by], j[by], d[by]
+        keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        yield i[keep] + at, j[keep], d[keep]
+
+
 def nearest(queries: DataFrame, sample: DataFrame, k: int, norm: str = "L2", within: float | None = None) -> DataFrame:
-    """(id, seq, distance, rank): the k nearest rows of a bounded sample (seq, point) to each query (id, x)."""
-    d = queries.select("id", "x").join(small(sample.select("seq", "point")), how="cross").select("id", "seq", NORMS[norm](F.col("x"), F.col("point")).alias("distance"))
-    if within is not None:
-        d = d.where(F.col("distance") < within)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "seq"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(id, seq, distance, rank): the k nearest rows of a sample (seq, point), of any size, to each query (id, x).
+
+    Exact: every query meets every row, a block of either side in a task. Null vectors and coordinates give a null
+    distance, which ranks last; of equal distances the least seq comes first.
+    """
+    if norm not in NORMS:
+        raise ValueError(f"unknown norm {norm}")
+    kinds = dict(queries.select("id").dtypes) | dict(sample.select("seq").dtypes)
+
+    def dealt(df: DataFrame, x: str, mine: str, others: str, count: int, other_count: int) -> DataFrame:
+        here = F.monotonically_increasing_id()
+        return df.withColumn(x, F.col(x).cast("array<double>")).withColumn(mine, F.pmod(F.xxhash64(here), F.lit(count)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(other_count - 1))))
+
+    def vectors(column: pd.Series) -> np.ndarray:
+        width = max((len(v) for v in column if v is not None), default=1)
+        none = np.full(width, np.nan)
+        return np.array([none if v is None else np.array(v, float) for v in column]).reshape(len(column), width)
+
+    def meet(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(rows):
+            return pd.DataFrame({"id": [], "seq": [], "distance": []})
+        seq = rows["seq"].to_numpy()
+        q, s = vectors(mine["x"]), vectors(rows["point"])
+        if q.shape[1] != s.shape[1]:  # one side has no vector at all
+            width = max(q.shape[1], s.shape[1])
+            q, s = (v if v.shape[1] == width else np.full((len(v), width), np.nan) for v in (q, s))
+        i, j, d = (np.concatenate(v) for v in zip(*_least(q, s, seq, k, norm, within), strict=True))
+        return pd.DataFrame({"id": mine["id"].to_numpy()[i], "seq": seq[j], "distance": d})
+
+    queries, sample = queries.select("id", "x"), sample.select("seq", "point")
+    many, rows = (max(1, -(-df.count() // BLOCK)) for df in (queries, sample))
+    left = dealt(queries, "x", "__q", "__s", many, rows).groupBy("__q", "__s")
+    right = dealt(sample, "point", "__s", "__q", rows, many).groupBy("__q", "__s")
+    found = left.cogroup(right).applyInPandas(meet, f"id {kinds['id']}, seq {kinds['seq']}, distance double")
+    found = found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "seq"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def cluster_scores(objects: DataFrame, representatives: DataFrame, distance, cap: float = 10.0) -> DataFrame:

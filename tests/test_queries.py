@@ -100,6 +100,18 @@ def test_run_score_numbers_rows_by_id(spark, sf_dir, tmp_path):
     assert not differing(spark, "run_score", str(tmp_path))
 
 
+def test_knn_over_blocks(spark, sf_dir, tmp_path, monkeypatch):
+    """Many blocks, copies of a vector, a vector that is missing; and no bound on the rows of the sample."""
+    from grovecast.operators import distance
+
+    monkeypatch.setattr(distance, "BLOCK", 150)
+    monkeypatch.setattr(distance, "CENTRES_MOST", 100)
+    monkeypatch.setattr(distance.small, "__defaults__", (100,))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT vec_id, CASE WHEN vec_id = 7 THEN NULL WHEN vec_id % 9 = 0 THEN (SELECT embedding FROM '{sf_dir}/embeddings.parquet' WHERE vec_id = 0) ELSE embedding END AS embedding, label FROM '{sf_dir}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    assert not differing(spark, "knn_in_sample", str(tmp_path))
+
+
 def test_llm_is_optional():
     """The library imports and lists its queries where the subpackage for training data is missing."""
     import subprocess
