@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 SMALL = 8
+HELD = 1 << 18  # edges that a task holds to fold them into stars
 
 
 def _pair_table(bits: int) -> np.ndarray:
@@ -164,6 +165,23 @@ def _compare(key: np.ndarray, fp: np.ndarray, most: int, bits: int = 32) -> tupl
     return np.concatenate(a), np.concatenate(b)
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the closure of the edges (a, b), one for each node but the least of each linked part, which all lead to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], low)
+        np.minimum.at(root, root[v], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    i = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[i], ids[root[i]]
+
+
 def node(fp: np.ndarray) -> np.ndarray:
     """One 64-bit number for each fingerprint: itself if it has one word, else a hash of its words."""
     out = fp[:, 0]
@@ -180,7 +198,8 @@ def links(fps: DataFrame, most: int = 3, words: int = 1) -> DataFrame:
     """Edges (a, b) between the nodes of distinct fingerprints (columns fp, fp1, ... of `words` words).
 
     Linked are all pairs of fingerprints that differ in at most `most` bits, fewer than two for each part, so that some part
-    differs in at most one. The edges have the closure of all links.
+    differs in at most one. The edges have the closure of all links: a task sends stars, so that their number follows that of
+    the rows it compared, never that of a group's pairs.
     """
     bits = 32 if words == 1 else 16
     if not 0 <= most < 2 * (64 // bits) * words:
@@ -198,9 +217,23 @@ def links(fps: DataFrame, most: int = 3, words: int = 1) -> DataFrame:
     def edges(parts):
         key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
         a, b = _compare(key, fp, most, bits)
-        return pa.RecordBatch.from_arrays([pa.array(node(fp[a])), pa.array(node(fp[b]))], ["a", "b"])
+        return _stars(node(fp[a]), node(fp[b]))
 
     def compare(batches):
+        held: list = []
+        for stars in found(batches):
+            held.append(stars)
+            if sum(len(a) for a, _ in held) > HELD:
+                held = [_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > HELD // 2:
+                    yield sent(held.pop())
+        if held:
+            yield sent(_stars(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    def sent(stars):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars], ["a", "b"])
+
+    def found(batches):
         open_: list = []  # the last anchor may go on in the next batch
         for b in batches:
             if not b.num_rows:

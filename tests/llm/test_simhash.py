@@ -169,6 +169,24 @@ def test_links_of_sketches_are_whole(spark):
     assert len(pairs) > 500 and all(root[i] == root[j] for i, j in pairs)
 
 
+def test_links_of_a_large_group_are_few(spark):
+    """Near copies of one text: their edges grow with the group, not with its pairs, and still hold it together."""
+    rng = np.random.default_rng(8)
+    base, count = rng.integers(0, 2**64, 3, dtype=np.uint64), {}
+    for size in (300, 1200):
+        u = np.tile(base, (size, 1))
+        for row in u:
+            for b in rng.choice(192, 6, replace=False):
+                row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        u = np.unique(u, axis=0)
+        df = spark.createDataFrame([tuple(r) for r in u.view(np.int64).tolist()], "fp long, fp1 long, fp2 long")
+        edges = simhash.links(df, 19, 3).distinct().cache()
+        count[size] = edges.count()
+        assert {r.root for r in components(edges).collect()} == {int(simhash.node(u).min())}
+        assert components(edges).count() == len(u)
+    assert count[1200] < 12 * 1200 and count[1200] < 5 * count[300]
+
+
 def test_edges(spark, tmp_path):
     rows = [(1, None, "x"), (2, "", "y"), (3, " \n", "z"), (None, "", "q"), (4, "one", "s"), (4, "one", "s"), (5, "A b " * 30000, "t"), (6, "a B " * 30000, "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
